@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilspark.llm import bpe
+from vigilspark.llm import bpe, linededup, mixing, neardup, quality, substrings, urlfilter
+
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +23,81 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.cluster(table(spark, sf_dir, "documents").select("doc_id", "text"), k=4, similarity=0.8).drop("row_key")
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return judged.select("doc_id", *quality.MEASURES, "base_failed", "left_words", "kept")
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), urlfilter.rule_table(spark, URL_RULES)).drop("url")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return cut.select("doc_id", "n_lines", "n_removed", "kept_words", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_minhash_neardup": op3_minhash_neardup,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_url_filters": op5_url_filters,
+    "op8_line_dedup": op8_line_dedup,
+    "op10_mixing": op10_mixing,
+}
+
+_UPPER, _LOWER = urlfilter.UPPER, urlfilter.LOWER
+_RULES = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in URL_RULES)
+_LINE = rf"regexp_replace(regexp_replace(translate(line, '{_UPPER}', '{_LOWER}'), '[ \t\n\x0B\f\r]+', ' ', 'g'), '^ | $', '', 'g')"
+SQL: dict[str, str] = {
+    "op2_substring_dedup": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS words FROM documents),
+s AS (SELECT doc_id, words, unnest(range(1, len(words) - {substrings.WINDOW - 2})) AS pos FROM d WHERE len(words) >= {substrings.WINDOW}),
+h AS (SELECT doc_id, pos, sha256(array_to_string(words[pos:pos + {substrings.WINDOW - 1}], ' ')) AS h FROM s),
+twice AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + {substrings.WINDOW})) AS pos FROM h SEMI JOIN twice USING (h)),
+w AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM d),
+k AS (SELECT w.doc_id, count(*) FILTER (g.pos IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY w.pos) FILTER (g.pos IS NULL) AS kept FROM w LEFT JOIN gone g USING (doc_id, pos) GROUP BY w.doc_id)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+    "op5_url_filters": f"""
+WITH parsed AS (
+  SELECT page_id,
+    CASE WHEN instr(url, '://') > 0 THEN translate(regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*'), '{_UPPER}', '{_LOWER}') ELSE '' END AS host,
+    CASE WHEN instr(url, '://') > 0 THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+  FROM pages),
+rules(verdict, rule, host, path) AS (VALUES {_RULES}),
+fits AS (
+  SELECT p.page_id, r.rule, r.verdict, row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.rule) DESC) AS k
+  FROM parsed p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
+FROM parsed p LEFT JOIN (SELECT * FROM fits WHERE k = 1) f USING (page_id)""",
+    "op8_line_dedup": f"""
+WITH l AS (
+  SELECT doc_id, coalesce('s' || source, '') AS site, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos
+  FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, site, pos, line, {_LINE} AS norm FROM l),
+found AS (SELECT norm, min(doc_id) AS keeper FROM n WHERE norm <> '' GROUP BY norm HAVING count(DISTINCT site) >= {linededup.MIN_SITES}),
+marked AS (
+  SELECT n.*, f.norm IS NOT NULL AND NOT (f.keeper = n.doc_id AND row_number() OVER (PARTITION BY n.doc_id, n.norm ORDER BY pos) = 1) AS gone
+  FROM n LEFT JOIN found f USING (norm)),
+kept AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+    coalesce(sum(CASE WHEN norm = '' THEN 0 ELSE length(norm) - length(replace(norm, ' ', '')) + 1 END) FILTER (NOT gone), 0)::BIGINT AS kept_words,
+    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept_text
+  FROM marked GROUP BY doc_id)
+SELECT doc_id, n_lines, n_removed, kept_words, sha256(kept_text) AS kept_sha256 FROM kept""",
 }
-SQL: dict[str, str] = {}

@@ -12,12 +12,15 @@ sums times the inverse power of its start, then a bit mixer.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK_BYTES = 1 << 20
 _U = np.uint64
@@ -158,5 +161,95 @@ def row_of(at: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(at) - 1), np.diff(at))
 
 
-def hex_list(parts: list[bytes]) -> list[str]:
-    return [p.hex() for p in parts]
+def span_hashes(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of the runs first..last-1 of h."""
+    sums = _sums(h)
+    return mix((sums[last] - sums[first]) * powers(len(h))[1][first] + (last - first).astype(_U))
+
+
+def per_row(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sum of flags between neighbouring offsets."""
+    sums = np.zeros(len(flags) + 1, np.int64)
+    np.cumsum(flags, out=sums[1:])
+    return sums[at[1:]] - sums[at[:-1]]
+
+
+@dataclass
+class Lines:
+    """Lines (text between line feeds) of some whole texts."""
+
+    starts: np.ndarray  # byte offsets
+    ends: np.ndarray
+    first: np.ndarray  # word offsets
+    last: np.ndarray
+    at: np.ndarray  # n+1 line offsets of the texts
+
+
+def lines_of(w: Words) -> Lines:
+    breaks = np.flatnonzero(w.data == 0x0A)
+    # A text has one line more than line feeds, an empty one too.
+    at = np.searchsorted(breaks, w.rows) + np.arange(len(w.rows))
+    owner = row_of(at)
+    begin = np.empty(int(at[-1]), np.int64)
+    begin[at[:-1]] = w.rows[:-1]
+    inner = np.ones(len(begin), bool)
+    inner[at[:-1]] = False
+    begin[inner] = breaks + 1
+    end = np.empty_like(begin)
+    end[:-1] = begin[1:] - 1
+    tail = at[1:] - 1
+    end[tail] = w.rows[1:][owner[tail]]
+    return Lines(begin, end, np.searchsorted(w.starts, begin), np.searchsorted(w.starts, end), at)
+
+
+def row_key(text: str = "text", doc_id: str = "doc_id") -> Column:
+    """Tells rows apart together with the id: rows of the same id and text are alike to every operator."""
+    return F.xxhash64(F.col(doc_id), F.col(text), F.lit(17))
+
+
+def same_row(a: DataFrame, b: DataFrame, doc_id: str = "doc_id", key: str = "row_key") -> Column:
+    return a[doc_id].eqNullSafe(b[doc_id]) & (a[key] == b[key])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores that no column has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def map_texts(docs: DataFrame, text: str, keep: list[str], added: dict[str, T.DataType], fn: Callable[[Words, pa.RecordBatch], list[pa.Array]], limit: int = CHUNK_BYTES) -> DataFrame:
+    """docs with the columns keep and, for each chunk of whole texts, what fn makes of it; a narrow pass."""
+    df = docs.select(F.col(text).alias(inner := free_name(docs, "text_in")), *[c for c in keep])
+    schema = T.StructType([*[df.schema[c] for c in keep], *[T.StructField(k, v) for k, v in added.items()]])
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            passed = batch.select(keep)
+            for w in word_chunks(batch.column(inner), limit):
+                part = passed.slice(w.first, w.n)
+                yield pa.RecordBatch.from_arrays([*part.columns, *fn(w, part)], names=[*keep, *added])
+
+    return df.mapInArrow(batches, schema)
+
+
+def lists(values: pa.Array, at: np.ndarray) -> pa.Array:
+    """values cut at the offsets."""
+    return pa.ListArray.from_arrays(pa.array((at - at[0]).astype(np.int32)), values)
+
+
+def joined_words(w: Words, keep: np.ndarray) -> list[bytes]:
+    """Each text's kept words, joined by one space."""
+    starts, ends = w.starts[keep], w.ends[keep]
+    inner = ends < w.rows[1:][row_of(w.at)[keep]]
+    data = w.data.copy()
+    data[ends[inner]] = 0x20
+    steps = np.zeros(len(data) + 2, np.int8)
+    steps[starts] += 1
+    np.add.at(steps, ends + inner, -1)
+    taken = np.cumsum(steps[: len(data)], dtype=np.int8) > 0
+    sums = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(taken, out=sums[1:])
+    out, at = data[taken], sums[w.rows]
+    return [out[a:b].tobytes().rstrip(b" ") for a, b in zip(at[:-1], at[1:])]
