@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilspark.llm import bpe, linededup, mixing, neardup, quality, substrings, urlfilter
+from vigilspark.llm import bpe, linededup, mixing, neardup, pii, quality, substrings, toxicity, urlfilter, vectors
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -41,11 +41,24 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), urlfilter.rule_table(spark, URL_RULES)).drop("url")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return cut.select("doc_id", "n_lines", "n_removed", "kept_words", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 0.9).drop("embedding")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
@@ -56,7 +69,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_neardup": op3_minhash_neardup,
     "op4_quality_rules": op4_quality_rules,
     "op5_url_filters": op5_url_filters,
+    "op6_pii": op6_pii,
+    "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
+    "op9_embedding_neardup": op9_embedding_neardup,
     "op10_mixing": op10_mixing,
 }
 
@@ -64,6 +80,15 @@ _UPPER, _LOWER = urlfilter.UPPER, urlfilter.LOWER
 _RULES = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in URL_RULES)
 _LINE = rf"regexp_replace(regexp_replace(translate(line, '{_UPPER}', '{_LOWER}'), '[ \t\n\x0B\f\r]+', ' ', 'g'), '^ | $', '', 'g')"
 SQL: dict[str, str] = {
+    "op9_embedding_neardup": """
+WITH RECURSIVE u AS (
+  SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_dot_product(a.v, b.v) >= 0.9),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+part AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM part LEFT JOIN n USING (vec_id)""",
     "op2_substring_dedup": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS words FROM documents),
 s AS (SELECT doc_id, words, unnest(range(1, len(words) - {substrings.WINDOW - 2})) AS pos FROM d WHERE len(words) >= {substrings.WINDOW}),
