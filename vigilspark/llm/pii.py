@@ -32,7 +32,7 @@ KINDS = ("email", "ip", "card", "phone", "term")
 CONTEXT = 120  # characters on either side of an entity in which terms count
 MIN_DOCS = 3
 GENERALISE, REMOVE = 0.8, 0.95
-DOT, GAP = "", ""
+DOT, GAP = chr(0xE001), chr(0xE000)  # private-use characters, first blanked in the text
 _LOCAL, _LABEL = f"A-Za-z0-9._%+{DOT}-", "A-Za-z0-9-"
 EMAIL = rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[{_LABEL}]+{DOT}[{_LABEL}{DOT}]*"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
