@@ -1,0 +1,130 @@
+"""Registered queries of the review engine over the driver's tables, with their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vigilspark.operators import findings, rules, secrets
+from vigilspark.sources import lines
+
+# Code-like lines, one for each event by its number: the test data hold prose.
+POOL = (
+    "bcryptRounds = {n}", "maxAttempts: {n}", "const path = req.query.path", "sessionStorage.setItem('token', t)", "verify(token, key)",
+    "app.use(requireAuth)", "cookie: secure=false", "exec(userInput)", "password = 'hunter2hunter2'", "log.info('done {n}')",
+)
+RULES = (
+    rules.Rule("demo.guard.deleted", "auth", "critical", "medium", "deleted", require=(r"(?i)requireauth|verify\(",)),
+    rules.Rule("demo.exec.input", "injection", "high", "high", "added", paths=("src/**/*.js",), require=(r"\bexec\(",), near=(r"req\.query",)),
+    rules.Rule("demo.cookie.secure", "session", "medium", "high", "any", require=(r"(?i)secure\s*=\s*false",), absent=(r"requireAuth",)),
+    rules.Rule("demo.password.literal", "auth", "high", "medium", "added", ignore=("src/1*.py",), any=(r"(?i)password\s*=", r"(?i)passwd\s*="), mask=True),
+)
+ZONES = [("core", ("src/1*.*", "src/2*.*"), 1), ("edge", ("src/**",), -1)]
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    ext = F.get(F.array(*[F.lit(x) for x in ("py", "js", "go", "env")]), (F.col("doc_id") % 4).cast("int"))
+    return docs.select(F.concat(F.lit("src/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), ext).alias("path"), F.col("text").alias("content"))
+
+
+def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")
+    n = (F.col("event_id") * 7 % 13).cast("string")
+    line = F.replace(F.get(F.array(*[F.lit(x) for x in POOL]), (F.col("event_id") * 3 % len(POOL)).cast("int")), F.lit("{n}"), n)
+    hunk, kind = F.floor(F.col("event_id") / 20), F.get(F.array(F.lit("added"), F.lit("deleted"), F.lit("context")), (F.col("event_id") % 3).cast("int"))
+    path = F.concat(F.lit("src/"), (hunk % 97).cast("string"), F.when(hunk % 2 == 0, ".js").otherwise(".py"))
+    return e.select(F.lit("d").alias("diff_id"), F.lit(0).alias("file_ix"), hunk.alias("hunk_ix"), F.col("event_id").alias("line_ix"), path.alias("path"), kind.alias("kind"), line.alias("text"), F.col("event_id").alias("old_no"), (F.col("event_id") + 1).alias("new_no"))
+
+
+def secret_scan(spark, sf_dir):
+    return secrets.scan(files(spark, sf_dir))
+
+
+def secret_score(spark, sf_dir):
+    return findings.score(findings.summary(secret_scan(spark, sf_dir), files(spark, sf_dir)))
+
+
+def secret_baseline(spark, sf_dir):
+    found = secret_scan(spark, sf_dir)
+    known = found.filter(F.col("line") % 2 == 0).select(F.col("rule_id").alias("rule"), "path", "line")
+    return findings.without_baseline(found, known)
+
+
+def rule_review(spark, sf_dir):
+    return rules.evaluate(event_lines(spark, sf_dir), RULES).select("id", "rule_id", "severity", "path", "line", "side", "snippet")
+
+
+def zone_review(spark, sf_dir):
+    shifted = findings.shift_by_zone(rule_review(spark, sf_dir), ZONES)
+    return findings.at_least(shifted, "high").select("id", "rule_id", "zone", "base_severity", "severity", "path", "line")
+
+
+def downgrade_review(spark, sf_dir):
+    return rules.downgrades(event_lines(spark, sf_dir)).select("hunk_ix", "path", "rule_id", "key", "was", "now")
+
+
+def file_review(spark, sf_dir):
+    return rules.evaluate(lines.files_as_diff(files(spark, sf_dir)), [rules.Rule("demo.password.literal", "auth", "high", require=(r"(?i)(password|token|secret)\s*=",), mask=True)]).select("id", "rule_id", "severity", "path", "line", "side", "snippet")
+
+
+def diff_parse(spark, sf_dir):
+    """One diff for each tenth order, written and parsed again."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey % 10 = 0")
+    k = F.col("o_orderkey").cast("string")
+    raw = F.concat(F.lit("diff --git a/f b/f\n--- a/f\n+++ b/src/"), k, F.lit(".go\n@@ -3,2 +"), k, F.lit(",3 @@ head\n keep\n-old "), "o_orderpriority", F.lit("\n+new "), "o_orderstatus", F.lit("\n+tail\n"))
+    return lines.diff_lines(orders.select(k.alias("diff_id"), raw.alias("raw"))).select("diff_id", "hunk_ix", "path", "kind", "text", "old_no", "new_no")
+
+
+QUERIES = {"secret_scan": secret_scan, "secret_score": secret_score, "secret_baseline": secret_baseline, "rule_review": rule_review, "zone_review": zone_review, "downgrade_review": downgrade_review, "file_review": file_review, "diff_parse": diff_parse}
+
+_q = lambda s: s.replace("'", "''")
+_FILES = "f AS (SELECT 'src/' || source || '/' || doc_id || '.' || (['py', 'js', 'go', 'env'])[doc_id % 4 + 1] AS path, text AS content FROM documents)"
+_LINES = "l AS (SELECT path, unnest(range(1, len(string_split(content, chr(10))) + 1))::INT AS line, unnest(string_split(content, chr(10))) AS text FROM f WHERE strpos(content, chr(0)) = 0)"
+_HITS = " UNION ALL ".join(f"SELECT path, line, text, '{p.id}' AS rule_id, '{p.severity}' AS severity, '{p.confidence}' AS confidence, regexp_extract(text, '{_q(p.regex)}', {p.group}) AS value, {p.entropy} AS least FROM l WHERE regexp_matches(text, '{_q(p.regex)}')" + (f" AND regexp_matches(path, '{p.path}')" if p.path else "") for p in secrets.PATTERNS)
+_SCAN = f"""WITH {_FILES}, {_LINES}, h AS ({_HITS}),
+c AS (SELECT h.*, list_transform(list_distinct(string_split(value, '')), lambda x: (length(value) - length(replace(value, x, ''))) / length(value)) AS p FROM h),
+e AS (SELECT c.*, abs(list_sum(list_transform(p, lambda x: -x * log2(x)))) AS bits FROM c),
+g AS (SELECT * FROM e WHERE bits >= least OR least = 0),
+o AS (SELECT * FROM g QUALIFY rule_id <> 'secret.scan.generic' OR count(*) OVER (PARTITION BY path, line) = 1),
+s AS (SELECT rule_id, severity, confidence, path, line, 'file' AS side, round(bits, 2) AS entropy,
+  trim(substr(text, 1, strpos(text, value) - 1) || CASE WHEN strlen(value) <= 8 THEN '********' ELSE left(value, 4) || '****' || right(value, 4) END || substr(text, strpos(text, value) + length(value))) AS snippet FROM o),
+found AS (SELECT left(sha256(rule_id || '|' || path || '|' || line || '|' || snippet), 16) AS id, * FROM s)"""
+_SUM = "SELECT (SELECT count(*) FROM f) AS files, count(*) AS findings, " + ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in ("low", "medium", "high", "critical")) + " FROM found"
+_POOL = ", ".join(f"'{_q(x)}'" for x in POOL)
+_EVENTS = f"""l AS (SELECT event_id // 20 AS hunk_ix, event_id AS line_ix, 'src/' || (event_id // 20) % 97 || CASE WHEN (event_id // 20) % 2 = 0 THEN '.js' ELSE '.py' END AS path,
+  (['added', 'deleted', 'context'])[event_id % 3 + 1] AS kind, replace(([{_POOL}])[event_id * 3 % {len(POOL)} + 1], '{{n}}', (event_id * 7 % 13)::VARCHAR) AS text, event_id AS old_no, event_id + 1 AS new_no FROM events)"""
+_REVIEW = rf"""WITH {_EVENTS}, t AS (SELECT hunk_ix, string_agg(text, chr(10) ORDER BY line_ix) AS hunk FROM l GROUP BY hunk_ix),
+m AS (SELECT l.*, t.hunk FROM l JOIN t USING (hunk_ix)),
+r AS (
+  SELECT 0 AS rule_ix, 'demo.guard.deleted' AS rule_id, 'critical' AS severity, trim(text) AS snippet, m.* FROM m WHERE kind = 'deleted' AND regexp_matches(text, '(?i)requireauth|verify\(')
+  UNION ALL SELECT 1, 'demo.exec.input', 'high', trim(text), m.* FROM m WHERE kind = 'added' AND regexp_matches(path, '^src/(.*/)?[^/]*\.js$') AND regexp_matches(text, '\bexec\(') AND regexp_matches(hunk, 'req\.query')
+  UNION ALL SELECT 2, 'demo.cookie.secure', 'medium', trim(text), m.* FROM m WHERE regexp_matches(text, '(?i)secure\s*=\s*false') AND NOT regexp_matches(hunk, 'requireAuth')
+  UNION ALL SELECT 3, 'demo.password.literal', 'high', trim(regexp_replace(text, '([A-Za-z0-9_./+=-]{{4}})[A-Za-z0-9_./+=-]{{4,}}([A-Za-z0-9_./+=-]{{4}})', '\1****\2', 'g')), m.* FROM m WHERE kind = 'added' AND NOT regexp_matches(path, '^src/1[^/]*\.py$') AND regexp_matches(text, '(?i)passw(or)?d\s*=')),
+n AS (SELECT *, CASE WHEN kind = 'deleted' THEN old_no ELSE new_no END AS line FROM r),
+i AS (SELECT left(sha256(rule_id || '|' || path || '|' || line || '|' || kind || '|' || snippet), 16) AS id, * FROM n QUALIFY row_number() OVER (PARTITION BY rule_id, path, line, kind, snippet ORDER BY hunk_ix, line_ix, rule_ix) = 1)"""
+_RANK = "CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END"
+SQL = {
+    "secret_scan": f"{_SCAN} SELECT id, rule_id, severity, confidence, path, line, side, snippet, entropy FROM found",
+    "secret_score": f"{_SCAN}, s2 AS ({_SUM}), v AS (SELECT *, (10.0 * critical + 7.0 * high + 4.0 * medium + low) / greatest(files, 1) AS x FROM s2) SELECT * EXCLUDE (x), round(x, 2)::DOUBLE AS value, CASE WHEN x = 0 THEN 'none' WHEN x <= 1.5 THEN 'low' WHEN x <= 3.5 THEN 'medium' WHEN x <= 6.0 THEN 'high' ELSE 'critical' END AS rating FROM v",
+    "secret_baseline": f"{_SCAN} SELECT id, rule_id, severity, confidence, path, line, side, snippet, entropy FROM found WHERE line % 2 <> 0",
+    "rule_review": f"{_REVIEW} SELECT id, rule_id, severity, path, line, kind AS side, snippet FROM i",
+    "zone_review": rf"""{_REVIEW}, z AS (SELECT *, regexp_matches(path, '^src/[12][^/]*\.[^/]*$') AS core, {_RANK} AS rank FROM i),
+y AS (SELECT *, least(4, greatest(1, rank + CASE WHEN core THEN 1 ELSE -1 END)) AS moved FROM z)
+SELECT id, rule_id, CASE WHEN core THEN 'core' ELSE 'edge' END AS zone, severity AS base_severity, (['low', 'medium', 'high', 'critical'])[moved] AS severity, path, line FROM y WHERE moved >= 3""",
+    "downgrade_review": f"""WITH {_EVENTS}, s AS (
+  SELECT hunk_ix, path, kind, 'downgrade.crypto.bcrypt' AS rule_id, 'bcrypt' AS key, regexp_extract(text, '(\\d+)$', 1)::BIGINT AS v FROM l WHERE starts_with(text, 'bcryptRounds') AND kind <> 'context'
+  UNION ALL SELECT hunk_ix, path, kind, 'downgrade.auth.ratelimit', 'maxattempts', regexp_extract(text, '(\\d+)$', 1)::BIGINT FROM l WHERE starts_with(text, 'maxAttempts') AND kind <> 'context'),
+g AS (SELECT hunk_ix, path, rule_id, key, max(v) FILTER (kind = 'deleted') AS dmax, min(v) FILTER (kind = 'deleted') AS dmin, max(v) FILTER (kind = 'added') AS amax, min(v) FILTER (kind = 'added') AS amin FROM s GROUP BY ALL)
+SELECT hunk_ix, path, rule_id, key, dmax AS was, amin AS now FROM g WHERE key = 'bcrypt' AND amin < dmax
+UNION ALL SELECT hunk_ix, path, rule_id, key, dmin, amax FROM g WHERE key = 'maxattempts' AND amax > dmin""",
+    "file_review": f"""WITH {_FILES}, c AS (SELECT path, regexp_replace(replace(content, chr(13) || chr(10), chr(10)), '\\n$', '') AS content FROM f),
+l AS (SELECT path, unnest(range(1, len(string_split(content, chr(10))) + 1))::INT AS line, unnest(string_split(content, chr(10))) AS text FROM c),
+m AS (SELECT path, line, trim(regexp_replace(text, '([A-Za-z0-9_./+=-]{{4}})[A-Za-z0-9_./+=-]{{4,}}([A-Za-z0-9_./+=-]{{4}})', '\\1****\\2', 'g')) AS snippet FROM l WHERE regexp_matches(text, '(?i)(password|token|secret)\\s*='))
+SELECT left(sha256('demo.password.literal|' || path || '|' || line || '|added|' || snippet), 16) AS id, 'demo.password.literal' AS rule_id, 'high' AS severity, path, line, 'added' AS side, snippet FROM m""",
+    "diff_parse": """WITH o AS (SELECT o_orderkey::VARCHAR AS k, * FROM orders WHERE o_orderkey % 10 = 0)
+SELECT k AS diff_id, 0::BIGINT AS hunk_ix, 'src/' || k || '.go' AS path, 'context' AS kind, 'keep' AS text, 3 AS old_no, k::INT AS new_no FROM o
+UNION ALL SELECT k, 0, 'src/' || k || '.go', 'deleted', 'old ' || o_orderpriority, 4, NULL FROM o
+UNION ALL SELECT k, 0, 'src/' || k || '.go', 'added', 'new ' || o_orderstatus, NULL, k::INT + 1 FROM o
+UNION ALL SELECT k, 0, 'src/' || k || '.go', 'added', 'tail', NULL, k::INT + 2 FROM o""",
+}
