@@ -48,7 +48,7 @@ def _hashes(w: textkit.Words, _) -> list[pa.Array]:
 
 def spread(docs: DataFrame, min_sites: int, margin: float, text: str, site: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
     """The line hashes of each row (a table), and the boilerplate lines with their keepers."""
-    named = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.concat(F.lit("s"), F.col(site)), F.lit("")).alias("site"), F.col(text).alias("text"), textkit.row_key(text, doc_id).alias("row_key"))
+    named = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.concat(F.lit("s"), F.col(site)), F.lit("null")).alias("site"), F.col(text).alias("text"), textkit.row_key(text, doc_id).alias("row_key"))
     hashed = settle(textkit.map_texts(named, "text", ["doc_id", "row_key", "site"], {"lines": T.ArrayType(T.LongType())}, _hashes), "lines")
     each = hashed.select("doc_id", "row_key", "site", F.explode(F.array_distinct("lines")).alias("line"))
     # A line of fewer rows than min_sites cannot be on so many sites: it needs no sketch.

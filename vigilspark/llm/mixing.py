@@ -15,8 +15,8 @@ most of the rows is many blocks.  Random numbers come from the seed, the source,
 the level and the block, so reruns agree.
 
 Cases.  Null texts have size 0; a null source is a source, the last one.  A
-source without words has target 0 and takes nothing.  Rows that agree in id and
-text are rounded as one and share the outcome.  An empty table gives an empty
+source without words has target 0 and takes nothing.  Rows that agree in id,
+source and text are rounded as one and share the outcome.  An empty table gives an empty
 table.  Other columns pass through; those named like an added one are replaced.
 """
 
@@ -92,9 +92,9 @@ def _rounded(seed: int, level: int):
 
 
 def plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 42, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """One row for each document that differs in id or text: doc_id, row_key, rows, size, source_size, target, copies."""
+    """One row for each document that differs in id, source or text: doc_id, row_key, rows, size, source_size, target, copies."""
     spark = docs.sparkSession
-    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"), textkit.row_key(text, doc_id).alias("row_key"))
+    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"), textkit.row_key(text, doc_id, source).alias("row_key"))
     counted = textkit.map_texts(named, "text", ["doc_id", "source", "row_key"], {"size": T.LongType()}, lambda w, _: [pa.array(w.counts, pa.int64())])
     units = settle(counted.groupBy("doc_id", "source", "row_key", "size").agg(F.count("*").alias("rows")), "sizes")
     # One row a source: the number of sources is the only thing that the driver holds.
@@ -126,7 +126,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     """docs with size, source_size, target, copies (times that the mix holds the row) and taken (size times copies)."""
     planned = plan(docs, text=text, source=source, doc_id=doc_id, **settings).select(F.col("doc_id").alias("mix_id"), F.col("row_key").alias("mix_key"), *ADDED[:4])
     kept = docs.drop(*ADDED)
-    keyed = kept.withColumn(k := textkit.free_name(kept, "row_key"), textkit.row_key(text, doc_id))
+    keyed = kept.withColumn(k := textkit.free_name(kept, "row_key"), textkit.row_key(text, doc_id, source))
     joined = keyed.join(planned, keyed[doc_id].eqNullSafe(planned["mix_id"]) & (keyed[k] == planned["mix_key"]))
     return joined.select(*[keyed[c] for c in kept.columns], *ADDED[:4], (F.col("size") * F.col("copies")).alias("taken"))
 

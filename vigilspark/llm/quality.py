@@ -80,7 +80,7 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str
     """docs without the text, with the measures, base_failed, left_words (in lines that stay) and kept."""
     added = [*MEASURES, "base_failed", "left_words", "kept"]
     others = [c for c in docs.columns if c not in (*added, *LINES, "row_key", text)]
-    named = docs.select(*others, F.col(text).alias("text"), textkit.row_key(text, doc_id).alias("row_key"))
+    named = docs.select(*others, F.col(text).alias("text"), textkit.row_key(text, doc_id, host).alias("row_key"))
     measured = settle(textkit.map_texts(named, "text", [*others, "row_key"], MEASURES | LINES, lambda w, _: measure(w)), "quality")
 
     # A text that a host has many times counts once, and so do a text's equal lines.
@@ -93,7 +93,7 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str
 
     zipped = measured.select(doc_id, "row_key", F.col(host).alias("in_host"), F.explode(F.arrays_zip("lines", "line_words")).alias("l"))
     hit = zipped.join(often, (F.col("l.lines") == F.col("line")) & F.col("in_host").eqNullSafe(F.col("host")))
-    # Rows alike in id and text are one here, so their sum counts each of them.
+    # Rows alike in id, host and text are one here, so their sum counts each of them.
     lost = hit.groupBy(F.col(doc_id).alias("lost_id"), F.col("row_key").alias("lost_key")).agg(F.sum("l.line_words").alias("lost"))
     alike = measured.groupBy(F.col(doc_id).alias("lost_id"), F.col("row_key").alias("lost_key")).agg(F.count("*").alias("alike"))
     lost = lost.join(alike.filter("alike > 1").withColumnsRenamed({"lost_id": "a_id", "lost_key": "a_key"}), F.col("lost_id").eqNullSafe(F.col("a_id")) & (F.col("lost_key") == F.col("a_key")), "left").select("lost_id", "lost_key", (F.col("lost") / F.coalesce("alike", F.lit(1))).cast("long").alias("lost"))

@@ -112,7 +112,7 @@ SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 FROM parsed p LEFT JOIN (SELECT * FROM fits WHERE k = 1) f USING (page_id)""",
     "op8_line_dedup": f"""
 WITH l AS (
-  SELECT doc_id, coalesce('s' || source, '') AS site, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos
+  SELECT doc_id, coalesce('s' || source, 'null') AS site, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos
   FROM documents WHERE text IS NOT NULL),
 n AS (SELECT doc_id, site, pos, line, {_LINE} AS norm FROM l),
 found AS (SELECT norm, min(doc_id) AS keeper FROM n WHERE norm <> '' GROUP BY norm HAVING count(DISTINCT site) >= {linededup.MIN_SITES}),

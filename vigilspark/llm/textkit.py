@@ -202,9 +202,9 @@ def lines_of(w: Words) -> Lines:
     return Lines(begin, end, np.searchsorted(w.starts, begin), np.searchsorted(w.starts, end), at)
 
 
-def row_key(text: str = "text", doc_id: str = "doc_id") -> Column:
-    """Tells rows apart together with the id: rows of the same id and text are alike to every operator."""
-    return F.xxhash64(F.col(doc_id), F.col(text), F.lit(17))
+def row_key(text: str = "text", doc_id: str = "doc_id", *others: str) -> Column:
+    """Tells rows apart together with the id: rows of the same id, text and other columns given are alike to the operator."""
+    return F.xxhash64(F.col(doc_id), F.col(text), *[F.col(c) for c in others], F.lit(17))
 
 
 def same_row(a: DataFrame, b: DataFrame, doc_id: str = "doc_id", key: str = "row_key") -> Column:
