@@ -4,13 +4,13 @@ A source's target in words, over its size, is the number of copies that each of
 its documents is due: a whole part, and a fraction that must become 0 or 1.
 Pairs of fractions exchange words, in a random direction that keeps both
 expectations, until one of the two is integral (dependent rounding with
-weights).  A pair's words stay what they were, so a source misses its target by
-no more than the one fraction left at the end.  Documents are taken from the
-longest to the shortest, which makes that rest short.
+weights).  A pair's words stay what they were, so only the one fraction left at
+the end, which is rounded to the nearer side, parts a source from its target: by
+half a document at most.
 
 The rounding is a tree: hash blocks of a source's documents run as separate
 groups, each leaves one fraction, and groups of FAN_IN such rests meet in the
-next level until a source has one, which a coin decides.  A source that holds
+next level until a source has one.  A source that holds
 most of the rows is many blocks.  Random numbers come from the seed, the source,
 the level and the block, so reruns agree.
 
@@ -113,8 +113,7 @@ def plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1
         met = settle(met.groupBy("source_no", "block").applyInArrow(_rounded(seed, level), met.schema), "rests")
         decided.append(met.filter((F.col("p") <= 0) | (F.col("p") >= 1)))
         open_ = met.filter((F.col("p") > 0) & (F.col("p") < 1))
-    coin = F.pmod(F.xxhash64("doc_id", "row_key", F.lit(seed), F.lit("last")), F.lit(1_000_003)) / 1_000_003
-    rests = open_.withColumn("p", (coin < F.col("p")).cast("double"))
+    rests = open_.withColumn("p", (F.col("p") >= 0.5).cast("double"))
     for d in decided:
         rests = rests.unionByName(d)
     rests = rests.select("doc_id", "row_key", F.col("p").alias("p_last"))
