@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from vigilspark.llm import textkit
 from vigilspark.llm.store import settle
 
-BLOCK = 20_000
+BLOCK = 4_000
 FAN_IN = 64
 ADDED = ("size", "source_size", "target", "copies", "taken")
 
