@@ -65,6 +65,58 @@ def glob_regex(pattern: str) -> str:
 
 
 def any_glob(path: Column, patterns: Iterable[str]) -> Column:
-    """Whether one of the globs matches; without globs none does."""
-    exprs = [F.trim(path).rlike(glob_regex(p)) for p in patterns if p.strip()]
-    return reduce(lambda a, b: a | b, exprs, F.lit(False))
+    """Whether one of the globs matches, as one regular expression; without globs none does."""
+    exprs = [glob_regex(p)[1:-1] for p in patterns if p.strip()]
+    return F.trim(path).rlike("^(?:" + "|".join(exprs) + ")$") if exprs else F.lit(False)
+
+
+_WORD = "[0-9A-Za-z_]"
+_EDGE = f"(?-iu:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+_BLANKS = r"\t\n\f\r "
+
+
+def re2(pattern: str) -> str:
+    """An RE2 pattern in Java's dialect: ASCII word edges and blanks, $ only at the end of the text, Unicode case folding, and a dot that only stops at line feeds."""
+    flags = re.match(r"\(\?([ims]+)\)", pattern)
+    named = flags.group(1) if flags else ""
+    out, in_set, rest = [], False, pattern[flags.end() :] if flags else pattern
+    for token in re.findall(r"\\.|.", rest, flags=re.DOTALL):
+        if token == r"\b" and not in_set:
+            token = _EDGE
+        elif token == r"\s":
+            token = _BLANKS if in_set else f"[{_BLANKS}]"
+        elif token == r"\S" and not in_set:
+            token = f"[^{_BLANKS}]"
+        elif token == "$" and not in_set and "m" not in named:
+            token = r"\z"
+        elif token == "[" and in_set:
+            token = r"\["
+        elif token in "[]":
+            in_set = token == "["
+        out.append(token)
+    return f"(?d{named}{'u' if 'i' in named else ''})" + "".join(out)
+
+
+def language(path: Column) -> Column:
+    """The language that a path's ending names, or unknown."""
+    ending = F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1))
+    known = {"go": (".go",), "javascript": (".js", ".jsx", ".mjs", ".cjs"), "typescript": (".ts", ".tsx"), "python": (".py",), "ruby": (".rb",), "jvm": (".java", ".kt"), "config": (".json", ".yaml", ".yml", ".toml")}
+    return F.coalesce(*[F.when(ending.isin(*ends), name) for name, ends in known.items()], F.lit("unknown"))
+
+
+# What paths of fixtures, and of documents and other reviewed matter, look like; in lower case.
+FIXTURE = r"_test\.go$|/testdata/|/fixtures/|/examples/"
+ARTIFACT = rf"\.(md|rst|txt)$|/docs/|{FIXTURE}|(^|/)src/(rule|engine|analyze|tui)/"
+
+
+def fixture(path: Column) -> Column:
+    return F.lower(path).rlike(FIXTURE)
+
+
+def artifact(path: Column) -> Column:
+    """Documents, fixtures and a rule engine's own sources, which no rule reads."""
+    return F.lower(path).rlike(ARTIFACT)
+
+
+def executable(path: Column) -> Column:
+    return (language(path) != "unknown") & ~artifact(path)

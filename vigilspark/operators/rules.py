@@ -1,11 +1,13 @@
 """Declarative rules over diff lines.
 
 A rule is a side, path scopes, patterns of the line (all of require, one of any)
-and of its hunk (all of near, none of absent), and an entropy floor.  All rules
-of a run become one projection: a line carries an array of the rules that it
-matches, so the fact table is read once however many rules there are, and the
-patterns are literals that compile once per task.  Only hunks that a line
-pattern touches are joined to their hunk's text."""
+and of its hunk (all of near, none of absent), and an entropy floor; typed rules
+read imports, settings or required calls instead.  All rules of a run become one
+projection: a line carries an array of the rules that it matches, so the fact
+table is read once however many rules there are, and the patterns are literals
+that compile once per task.  Only hunks that a line touches are put together,
+each is judged once for the rules that touch it, and the verdicts, not the
+texts, go back to the lines.  Patterns are RE2's (functions.text.re2)."""
 
 from __future__ import annotations
 
@@ -34,42 +36,141 @@ class Rule:
     any: tuple[str, ...] = ()
     near: tuple[str, ...] = ()
     absent: tuple[str, ...] = ()
+    imports: tuple[str, ...] = ()
     entropy: float = 0.0
     mask: bool = False
+    type: str = ""  # one of TYPES, or none: patterns only
+    forbidden_paths: tuple[str, ...] = ()
+    keys: tuple[str, ...] = ()
+    calls: tuple[str, ...] = ()  # of requiredCall and requiredMiddleware: none may be in the hunk
+    allowed_values: tuple[str, ...] = ()
+    forbidden_values: tuple[str, ...] = ()
+    constraint_key: str = ""
+    constraint_pattern: str = ""
+    min_value: float = 0.0  # 0: no bound
+    max_value: float = 0.0
+
+
+TYPES = ("forbiddenImport", "deletedLineGuard", "forbiddenEnv", "requiredMiddleware", "requiredCall", "configKeyConstraint", "pathBoundary")
+# How imports and settings are written.
+IMPORT = r"""(?i)(import\s+.*from\s+["']([^"']+)["']|require\(["']([^"']+)["']\)|import\s+["']([^"']+)["'])"""
+ENV = r"^\s*([A-Za-z_][A-Za-z0-9_\.-]*)\s*[:=]\s*(.+)$"
+SETTING = r"""(?i)^\s*["']?([A-Za-z0-9_\.-]+)["']?\s*[:=]\s*([^#]+)$"""
 
 
 def _all(parts: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
-def _line_test(r: Rule) -> Column:
+def _some(parts: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a | b, parts, F.lit(False))
+
+
+def _like(value: Column, patterns: Sequence[str]) -> list[Column]:
+    return [value.rlike(T.re2(p)) for p in patterns]
+
+
+def _import() -> Column:
+    """What a line imports, or an empty string."""
+    return F.coalesce(*[F.nullif(F.trim(F.regexp_extract("text", T.re2(IMPORT), k)), F.lit("")) for k in (2, 3, 4)], F.lit(""))
+
+
+def _value(raw: Column) -> Column:
+    """A setting's value without its comma and quotes."""
+    return F.regexp_replace(F.trim(F.regexp_replace(F.trim(raw), ",$", "")), "^[\"']+|[\"']+$", "")
+
+
+def _one_of(value: Column, words: Sequence[str]) -> Column:
+    return F.lower(value).isin(*[w.strip().lower() for w in words])
+
+
+def _typed(r: Rule) -> Column:
+    line, trimmed = F.col("text"), F.trim(F.col("text"))
+    if r.type in ("forbiddenImport", "pathBoundary"):
+        module = _import()
+        imports = _some(_like(module, r.imports) + _like(line, r.imports))
+        fits = module != ""
+        if r.type == "forbiddenImport" or r.imports:
+            return fits & imports
+        return fits & (T.any_glob(module, r.forbidden_paths) | imports) if r.forbidden_paths else fits
+    if r.type == "deletedLineGuard":
+        return (F.col("kind") == "deleted") & _all(_like(line, r.require))
+    if r.type in ("requiredCall", "requiredMiddleware"):
+        return (F.col("kind") == "added") & (_some(_like(line, r.require)) if r.require else F.lit(True))
+    if r.type == "forbiddenEnv":
+        key, value = (F.regexp_extract(trimmed, T.re2(ENV), k) for k in (1, 2))
+        fits = (F.col("kind") == "added") & (key != "") & _some(_like(key, r.keys) + _like(F.lower(key), r.keys))
+        return fits & _one_of(_value(value), r.forbidden_values) if r.forbidden_values else fits
+    if r.type == "configKeyConstraint":
+        key, value = F.regexp_extract(trimmed, T.re2(SETTING), 1), _value(F.regexp_extract(trimmed, T.re2(SETTING), 2))
+        fits = (F.col("kind") == "added") & (key != "")
+        if r.constraint_key:
+            fits = fits & (F.lower(key) == r.constraint_key.lower())
+        elif r.keys:
+            fits = fits & _some(_like(key, r.keys))
+        wrong = [~_one_of(value, r.allowed_values)] if r.allowed_values else []
+        wrong += [_one_of(value, r.forbidden_values)] if r.forbidden_values else []
+        wrong += [~value.rlike(T.re2(r.constraint_pattern))] if r.constraint_pattern else []
+        number = value.try_cast("double")
+        wrong += [number.isNull()] if r.min_value or r.max_value else []
+        wrong += [F.coalesce(number < r.min_value, F.lit(False))] if r.min_value else []
+        wrong += [F.coalesce(number > r.max_value, F.lit(False))] if r.max_value else []
+        return fits & _some(wrong)
+    raise ValueError(f"{r.id}: unknown type {r.type}")
+
+
+def _line_test(r: Rule, in_scope: Column) -> Column:
     line = F.col("text")
     parts = [] if r.target == "any" else [F.col("kind") == r.target]
-    if r.paths:
-        parts.append(T.any_glob(F.col("path"), r.paths))
-    if r.ignore:
-        parts.append(~T.any_glob(F.col("path"), r.ignore))
-    parts += [line.rlike(p) for p in r.require]
-    if r.any:
-        parts.append(reduce(lambda a, b: a | b, [line.rlike(p) for p in r.any]))
-    if r.entropy:
-        parts.append(T.entropy(line, skip_blanks=True) >= r.entropy)
+    parts += [in_scope] if r.paths else []
+    parts += [~T.any_glob(F.col("path"), r.ignore)] if r.ignore else []
+    if r.type:
+        return _all([*parts, _typed(r)])
+    parts += _like(line, r.require)
+    parts += [_some(_like(line, r.any))] if r.any else []
+    parts += [T.entropy(line, skip_blanks=True) >= r.entropy] if r.entropy else []
     return _all(parts)
 
 
-def evaluate(lines: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Findings of the rules: id, rule_id, category, severity, confidence, path, line, side, snippet, and the order columns; first of equal ids wins."""
-    tagged = F.filter(F.array(*[F.when(_line_test(r), F.lit(i)) for i, r in enumerate(rules)]), lambda i: i.isNotNull())
-    hits = lines.withColumn("rules", tagged).filter(F.size("rules") > 0)
-    if any(r.near or r.absent for r in rules):
-        touched = hits.select(*HUNK).distinct()
+def _hunk_test(r: Rule) -> Column:
+    hunk, absent = F.col("hunk_text"), r.calls if r.type else r.absent
+    return _all(_like(hunk, () if r.type else r.near) + [~c for c in _like(hunk, absent)])
+
+
+def _confidence(r: Rule) -> Column:
+    """A pattern rule's confidence grows by near patterns, by a path scope and by entropy well above its floor."""
+    if r.type:
+        return F.lit(r.confidence)
+    names = ("low", "medium", "high")
+    base = max(names.index(r.confidence) if r.confidence in names else 0, 0) + bool(r.near) + bool(r.paths)
+    plain = F.lit(names[min(base, 2)])
+    return F.when(T.entropy(F.col("text"), skip_blanks=True) >= r.entropy + 0.4, names[min(base + 1, 2)]).otherwise(plain) if r.entropy else plain
+
+
+def evaluate(lines: DataFrame, rules: Sequence[Rule], allow_values: Sequence[str] = (), allow_regexes: Sequence[str] = (), ignore: Sequence[str] = (), skip_artifacts: bool = False) -> DataFrame:
+    """Findings of the rules: id, rule_id, category, severity, confidence, path, line, side, snippet, and the order columns; first of equal ids wins.
+
+    Lines with an allowed value or pattern, paths that an ignore glob fits and,
+    if wished, documents and fixtures have none; null texts match nothing."""
+    seen = lines.filter(~T.any_glob(F.col("path"), ignore)) if ignore else lines
+    seen = seen.filter(~T.artifact(F.col("path"))) if skip_artifacts else seen
+    if allow_values or allow_regexes:
+        seen = seen.filter(~_some([F.contains("text", F.lit(v)) for v in allow_values] + _like(F.col("text"), allow_regexes)))
+    scopes = list(dict.fromkeys(r.paths for r in rules if r.paths))
+    scoped = seen.withColumn("scopes", F.array(*[T.any_glob(F.col("path"), s) for s in scopes])) if scopes else seen
+    scope = lambda r: F.get("scopes", F.lit(scopes.index(r.paths))) if r.paths else F.lit(True)
+    tagged = F.filter(F.array(*[F.when(_line_test(r, scope(r)), F.lit(i)) for i, r in enumerate(rules)]), lambda i: i.isNotNull())
+    hits = scoped.withColumn("rules", tagged).filter(F.size("rules") > 0).drop("scopes")
+    wide = [i for i, r in enumerate(rules) if r.near or r.absent or r.calls]
+    if wide:
+        wanted = hits.withColumn("i", F.explode("rules")).filter(F.col("i").isin(*wide)).groupBy(*HUNK).agg(F.collect_set("i").alias("wanted"))
         parts = F.sort_array(F.collect_list(F.struct("line_ix", "text")))
-        hunks = lines.join(touched, list(HUNK), "left_semi").groupBy(*HUNK).agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("hunk_text"))
-        hits = hits.join(hunks, list(HUNK))
-        hunk = F.col("hunk_text")
-        fits = F.array(*[_all([hunk.rlike(p) for p in r.near] + [~hunk.rlike(p) for p in r.absent]) for r in rules])
-        hits = hits.withColumn("fits", fits).withColumn("rules", F.filter("rules", lambda i: F.get("fits", i)))
-    infos = F.array(*[F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence"), F.lit(r.mask).alias("mask"), F.lit(i).alias("rule_ix")) for i, r in enumerate(rules)])
+        hunks = lines.join(wanted.select(*HUNK), list(HUNK), "left_semi").groupBy(*HUNK).agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("hunk_text"))
+        holds = F.array(*[F.when(F.array_contains("wanted", i) & _hunk_test(rules[i]), F.lit(i)) for i in wide])
+        judged = wanted.join(hunks, list(HUNK)).select(*HUNK, F.filter(holds, lambda i: i.isNotNull()).alias("holds"))
+        kept = F.filter("rules", lambda i: ~i.isin(*wide) | F.coalesce(F.array_contains("holds", i), F.lit(False)))
+        hits = hits.join(judged, list(HUNK), "left").withColumn("rules", kept)
+    infos = F.array(*[F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"), _confidence(r).alias("confidence"), F.lit(r.mask and not r.type).alias("mask"), F.lit(i).alias("rule_ix")) for i, r in enumerate(rules)])
     found = hits.withColumn("i", F.explode("rules")).withColumn("r", F.get(infos, F.col("i"))).select(*HUNK, "line_ix", "path", "kind", "text", "old_no", "new_no", "r.*")
     number = F.when(F.col("kind") == "deleted", F.col("old_no")).otherwise(F.col("new_no"))
     snippet = F.trim(F.when(F.col("mask"), T.mask_tokens(F.col("text"))).otherwise(F.col("text")))
@@ -80,17 +181,43 @@ def evaluate(lines: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return shaped.groupBy("diff_id", "id").agg(F.min_by(F.struct(*rest), order).alias("f")).select("diff_id", "id", "f.*")
 
 
-# How a control's strength is read from a line (rule, words, which direction is worse).
-STRENGTHS = (
-    ("downgrade.crypto.bcrypt", r"(?i)(bcrypt(?:cost|rounds)?|password(?:cost|rounds)?|salt(?:rounds)?|workfactor)\s*[:=]\s*(\d{1,3})", "lower"),
-    ("downgrade.auth.ratelimit", r"(?i)(rateLimit|rate_limit|maxAttempts|maxLoginAttempts|maxRequests|requestsPerMinute|requestsPerSecond|burst|throttle|limitPerIP|limitPerUser|tooManyRequestsAfter)\s*[:=]\s*(\d{1,7})", "higher"),
-)
+# How a control's strength is read from a line.
+SAMESITE = (r"""(?i)(sameSite|samesite)\s*[:=]\s*["']?(strict|lax|none)""", r"(?i)(samesite)=(strict|lax|none)")
+DURATION = r"""(?i)(maxAge|max-age|expiresIn|expiration|expiry|ttl|idleTimeout|sessionTimeout|requestTimeout|readTimeout|writeTimeout|headerTimeout|timeout)\s*[:=]?\s*["']?([0-9]+)\s*(ms|s|m|h|d)?"""
+LIFETIMES = ("maxage", "expiresin", "expiration", "expiry", "ttl")
+BCRYPT = (r"(?i)(bcrypt)\.[A-Za-z0-9_]+\([^\n,]+,\s*(\d{1,3})\)", r"(?i)(bcrypt(?:cost|rounds)?|password(?:cost|rounds)?|salt(?:rounds)?|workfactor)\s*[:=]\s*(\d{1,3})")
+RATE_LIMIT = r"(?i)(rateLimit|rate_limit|maxAttempts|maxLoginAttempts|maxRequests|requestsPerMinute|requestsPerSecond|burst|throttle|limitPerIP|limitPerUser|tooManyRequestsAfter)\s*[:=]\s*(\d{1,7})"
+MFA = r"(?i)(requireMFA|mfaRequired|mfaEnforced|enforceMFA|requireOtp|otpRequired)\s*[:=]\s*(true|false)"
+NO_MFA = ("skipmfa", "disablemfa", "mfaoptional", "optionalmfa")
+UNITS = {"": 1, "ms": 1, "s": 1000, "m": 60_000, "h": 3_600_000, "d": 86_400_000}
+
+
+def _signals() -> Column:
+    """The strengths that a line sets: an array of (rule_id, key, value, worse)."""
+    line, low = F.col("text"), F.lower(F.col("text"))
+    part = lambda p, k: F.nullif(F.regexp_extract(line, T.re2(p), k), F.lit(""))
+    first = lambda ps, k: F.coalesce(*[part(p, k) for p in ps])
+    has = lambda *words: _some([F.contains(low, F.lit(w)) for w in words])
+    key = lambda c: F.regexp_replace(F.lower(c), "[_.-]", "")
+    signal = lambda rule, k, v, worse, when: F.when(v.isNotNull() & when, F.struct(F.lit(rule).alias("rule_id"), k.alias("key"), v.alias("value"), F.lit(worse).alias("worse")))
+    site = F.lower(first(SAMESITE, 2))
+    unit = F.lower(F.coalesce(part(DURATION, 3), F.lit("")))
+    spent = part(DURATION, 2).try_cast("long") * reduce(lambda out, u: F.when(unit == u, UNITS[u]).otherwise(out), UNITS, F.lit(None).cast("long"))
+    named, always = key(part(DURATION, 1)), F.lit(True)
+    mfa = F.lower(part(MFA, 2))
+    return F.array(
+        signal("downgrade.cookie.samesite", F.lit("samesite"), F.when(site == "strict", 3).when(site == "lax", 2).when(site == "none", 1).cast("long"), "lower", always),
+        signal("downgrade.cookie.lifetime", F.lit("lifetime"), spent, "higher", named.isin(*LIFETIMES) & has("cookie", "session", "token", "auth") & ~has("cache-control")),
+        signal("downgrade.crypto.bcrypt", F.lit("bcrypt"), first(BCRYPT, 2).cast("long"), "lower", always),
+        signal("downgrade.auth.ratelimit", key(part(RATE_LIMIT, 1)), part(RATE_LIMIT, 2).cast("long"), "higher", always),
+        signal("downgrade.timeout", named, spent, "higher", ~named.isin(*LIFETIMES) & ~has("cache")),
+        signal("downgrade.auth.mfa", F.lit("mfa"), F.when(mfa == "true", 1).when((mfa == "false") | has(*NO_MFA), 0).cast("long"), "lower", always),
+    )
 
 
 def downgrades(lines: DataFrame) -> DataFrame:
     """Controls that a hunk weakens: the strongest deleted value against the weakest added one, per rule and key."""
-    signals = F.array(*[F.when(F.col("text").rlike(regex), F.struct(F.lit(rule).alias("rule_id"), F.when(F.lit(worse) == "lower", "bcrypt").otherwise(F.lower(F.regexp_extract("text", regex, 1))).alias("key"), F.regexp_extract("text", regex, 2).cast("long").alias("value"), F.lit(worse).alias("worse"))) for rule, regex, worse in STRENGTHS])
-    found = lines.filter(F.col("kind").isin("added", "deleted")).withColumn("s", F.explode(F.filter(signals, lambda s: s.isNotNull()))).select(*HUNK, "path", "kind", "s.*")
+    found = lines.filter(F.col("kind").isin("added", "deleted")).withColumn("s", F.explode(F.filter(_signals(), lambda s: s.isNotNull()))).select(*HUNK, "path", "kind", "s.*")
     value = lambda kind, f: f(F.when(F.col("kind") == kind, F.col("value")))
     paired = found.groupBy(*HUNK, "path", "rule_id", "key", "worse").agg(
         F.when(F.col("worse") == "lower", value("deleted", F.max)).otherwise(value("deleted", F.min)).alias("was"),

@@ -45,13 +45,13 @@ def scan(files: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS, allow_value
     A narrow pass: lines explode, one filter drops those that no pattern
     matches, the rest carry an array of hits."""
     lines = file_lines(files.filter(F.instr("content", "\0") == 0), as_review=False).filter(F.octet_length("text") <= MAX_LINE_BYTES)
-    lines = lines.filter(reduce(lambda a, b: a | b, [F.col("text").rlike(p.regex) for p in patterns]))
+    lines = lines.filter(reduce(lambda a, b: a | b, [F.col("text").rlike(T.re2(p.regex)) for p in patterns]))
     allowed = lambda c: reduce(lambda a, b: a | b, [*[F.contains(c, F.lit(v)) for v in allow_values], *[c.rlike(r) for r in allow_regexes]], F.lit(False))
 
     def hit(p: Pattern):
-        value = F.regexp_extract("text", p.regex, p.group)
-        fits = F.col("text").rlike(p.regex) & ~allowed(value) & ~allowed(F.col("text"))
-        fits = fits & F.col("path").rlike(p.path) if p.path else fits
+        value = F.regexp_extract("text", T.re2(p.regex), p.group)
+        fits = F.col("text").rlike(T.re2(p.regex)) & ~allowed(value) & ~allowed(F.col("text"))
+        fits = fits & F.col("path").rlike(T.re2(p.path)) if p.path else fits
         fits = fits & (T.entropy(value) >= p.entropy) if p.entropy else fits
         return F.when(fits, F.struct(F.lit(p.id).alias("rule_id"), F.lit(p.severity).alias("severity"), F.lit(p.confidence).alias("confidence"), value.alias("value")))
 
