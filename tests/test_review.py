@@ -125,8 +125,8 @@ def test_analyzers(spark):
         (2, "a/y.js", "added", "router.get(h)"), (2, "a/y.js", "context", None), (3, "package.json", "added", '"expres": "latest"'), (3, "package.json", "added", '"lodash": "4"'), (4, "a/z.md", "added", "exec(req.query.x)"), (5, "a/q.py", "added", "exec(request.args)"),
     )
     flows = {(r.rule_id, r.line) for r in analyzers.flows(lines).collect()}
-    # Hunk 0 has a guard word, which only its deleted line holds; a name of one letter taints by substring.
-    assert flows == {("semantic.traversal.flow", 5), ("semantic.traversal.flow", 6), ("semantic.command.flow", 12)} or flows == {("semantic.traversal.flow", 5), ("semantic.command.flow", 12)}
+    # Hunk 0 has a guard word, which only its deleted line holds; p, as a part of open, also taints line 6.
+    assert flows == {("semantic.traversal.flow", 5), ("semantic.traversal.flow", 6), ("semantic.command.flow", 12)}
     assert {r.rule_id for r in analyzers.signals(lines).collect()} == {"supply.version.floating", "supply.typosquat"}
     assert [r.rule_id for r in analyzers.branches(lines).collect()] == ["branch.guard.regression"]
-    assert analyzers.tainted_lines(["b = req.body", "c = b", "b = authorize(b)", "use(c)", "z"], set()) == [True, True, True, True, False]
+    assert analyzers.tainted_lines(["b = req.body", "c = b", "b = authorize(b)", "use(c)", "z"], set()) == [True, True, False, True, False]
