@@ -273,3 +273,25 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(got[i].predicted == y for i, y in held) / len(held) > 0.97
     assert {r.predicted for r in toxicity.score(docs, marks.limit(0)).collect()} == {0}
     assert toxicity.score(docs.limit(0), marks).count() == 0
+
+
+def test_terms_of_rare_entities(spark):
+    filler = " ".join(["plain words"] * 40)  # 480 characters
+    texts = [f"the plain words of number {i % 7}" for i in range(60)]
+    texts += [f"Quonkery {filler} mail ann@site.com and {filler} quonkery"] + [f"+49 30 1234567 {filler} Vimbledon the"] * 2 + ["", None]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows + rows[60:62], "doc_id long, text string")  # rows alike count once
+    found = {r.doc_id: r for r in pii.find(docs).collect()}
+    seen = [set(re.findall(r"[^\W\d_]\w{2,}", (t or "").lower())) for t in texts]
+    entities = {60: [60], 61: [61, 62], 62: [61, 62]}
+    for i, t in enumerate(texts):
+        want = []
+        for m in re.finditer(r"[^\W\d_]\w{2,}", t or ""):
+            holders = entities.get(i, [])
+            if holders and not any(s.start < m.end() and m.start() < s.end for s in found[i].base):
+                both, n = sum(m[0].lower() in seen[j] for j in holders), sum(m[0].lower() in x for x in seen)
+                share = np.log2(both * len(texts) / (len(holders) * n)) / np.log2(len(texts) / len(holders))
+                want += [(m.start(), m.end(), "" if share >= 0.95 else "[WORD]")] if share >= 0.8 else []
+        assert [(s.start, s.end, s.value) for s in found[i].terms] == want
+    assert [s.start for s in found[60].terms][0] == 0 and len(found[60].terms) == 4  # "quonkery" at either end, "mail" and "and"
+    assert texts[61][found[61].terms[0].start :].startswith("Vimbledon")

@@ -1,13 +1,18 @@
 r"""Operator 6: personal data, and terms that give it away.
 
 Base spans are e-mails, IP addresses, card and phone numbers, found by patterns.
-Their distinct values are the protected entities.  Words near an entity are
-counted with it over the corpus, and the information that a term gives about an
-entity is their pointwise mutual information, as a share of the entity's own
-information content -log p(e): a share of 1 means that the term occurs only with
-the entity, as good as naming it.  Terms of MIN_DOCS documents or more with the
-entity whose share reaches GENERALISE are generalised where they stand near it,
-and removed from REMOVE on.
+Their distinct values are the protected entities.  The words of a whole document
+are counted with each of its entities over the corpus, and the information that a
+term gives about an entity is their pointwise mutual information, as a share of
+the entity's own information content -log p(e): a share of 1 means that the term
+occurs only with the entity, as good as naming it.  Terms whose share reaches
+GENERALISE are generalised wherever they stand in a document of the entity, and
+removed from REMOVE on.  There is no least number of documents: of n documents,
+an entity in one of them gets the words of that document that at most
+n^(1 - GENERALISE) documents hold.
+
+A document makes a row for each of its entities and distinct words, and equal
+pairs of a task leave it as one row; nothing grows with pairs of documents.
 
 Everything is DataFrame operations.  Patterns are written so that a long run of
 one character class costs one pass (look-behind and possessive repeats), and
@@ -29,8 +34,6 @@ from vigilspark.llm import textkit
 from vigilspark.llm.store import settle
 
 KINDS = ("email", "ip", "card", "phone", "term")
-CONTEXT = 120  # characters on either side of an entity in which terms count
-MIN_DOCS = 3
 GENERALISE, REMOVE = 0.8, 0.95
 DOT, GAP = chr(0xE001), chr(0xE000)  # private-use characters, first blanked in the text
 _LOCAL, _LABEL = f"A-Za-z0-9._%+{DOT}-", "A-Za-z0-9-"
@@ -39,13 +42,18 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = rf"(?<![0-9{GAP}])[0-9][0-9{GAP}]{{13,}}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"[\p{L}][\p{L}\p{N}_]{2,}+"
+CHUNK = 64  # words placed at a time
 SPAN = "struct<start:int,rank:int,kind:string,end:int,value:string>"
 
 
-def located(text: Column, pattern: str, rank: int) -> Column:
-    """All matches as spans, in code points."""
+def _pieces(text: Column, pattern: str) -> Column:
+    """Each match with the gap before it."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+    return F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("match")), lambda x: x["match"].isNotNull())
+
+
+def _placed(pieces: Column, at: Column, rank: int) -> Column:
+    start = F.struct(at.alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
 
     def add(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["gap"])
@@ -53,8 +61,22 @@ def located(text: Column, pattern: str, rank: int) -> Column:
         span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), F.lit(KINDS[rank]).alias("kind"), end.alias("end"), x["match"].alias("value"))
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("match")), lambda x: x["match"].isNotNull())
-    return F.aggregate(pairs, start, add, lambda acc: acc["spans"])
+    return F.aggregate(pieces, start, add, lambda acc: acc["spans"])
+
+
+def located(text: Column, pattern: str, rank: int) -> Column:
+    """All matches as spans, in code points."""
+    return _placed(_pieces(text, pattern), F.lit(0), rank)
+
+
+def words_at(text: Column) -> Column:
+    """located() for all words of a text, in chunks, so that the work doesn't grow with their number's square."""
+    let = lambda x, f: F.transform(F.array(x), f)[0]
+    deal = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / CHUNK).cast("int")), lambda i: F.slice(p, i * CHUNK + 1, F.lit(CHUNK)))
+    long = lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.length(x["match"]))
+    before = lambda lengths, i: F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda n, x: n + x)
+    place = lambda chunks: let(F.transform(chunks, long), lambda lengths: F.flatten(F.transform(chunks, lambda c, i: let(before(lengths, i), lambda at: _placed(c, at, 4)))))
+    return let(_pieces(text, TERM), lambda p: F.when(F.size(p) > 0, let(deal(p), place)).otherwise(F.array().cast(f"array<{SPAN}>")))
 
 
 def digits(value: Column) -> Column:
@@ -88,37 +110,37 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(whole(emails), ips, whole(cards), phones))
 
 
-def find(docs: DataFrame, min_docs: int = MIN_DOCS, generalise: float = GENERALISE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def find(docs: DataFrame, generalise: float = GENERALISE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, row_key, base (spans), terms (spans of terms that disclose an entity, value: what they get)."""
     named = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), textkit.row_key(text, doc_id).alias("row_key"))
     based = named.withColumn("base", base_spans(F.col("text")))
-    around = F.transform("base", lambda s: F.struct(F.greatest(F.lit(0), s["start"] - CONTEXT).alias("at"), s.alias("span"), F.substr(F.col("text"), F.greatest(F.lit(0), s["start"] - CONTEXT) + 1, s["end"] - F.greatest(F.lit(0), s["start"] - CONTEXT) + CONTEXT).alias("near"), F.length("text").alias("size")))
-    held = settle(based.withColumn("around", around).drop("text"), "pii")
-
-    # Terms near entities: whole words that no base span touches.
-    near = held.select("doc_id", "row_key", "base", F.explode("around").alias("a"))
-    entity = F.xxhash64("a.span.kind", F.lower("a.span.value"))
-    words = near.select("doc_id", "row_key", "base", entity.alias("entity"), F.col("a.at").alias("at"), F.col("a.size").alias("size"), F.length("a.near").alias("length"), F.explode(located(F.col("a.near"), TERM, 4)).alias("w"))
-    whole = ((F.col("w.start") > 0) | (F.col("at") == 0)) & ((F.col("w.end") < F.col("length")) | (F.col("at") + F.col("length") >= F.col("size")))
-    words = words.filter(whole).select("doc_id", "row_key", "base", "entity", F.lower("w.value").alias("term"), (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end"))
-    words = words.filter(~F.exists("base", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))).drop("base")
-
-    both = words.select("doc_id", "row_key", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_docs)
-    both = settle(both, "pairs")
-    entities = near.select("doc_id", "row_key", entity.alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    held = settle(based.withColumn("text", F.when(F.size("base") > 0, F.col("text"))), "pii")
+    row = ["doc_id", "row_key"]
+    size = held.groupBy(*row).count().agg(F.count("*").alias("total"), F.max("count").alias("most")).first()
+    once = lambda df: df.dropDuplicates(row) if (size.most or 1) > 1 else df
+    total = size.total
+
+    own = F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))
+    links = settle(once(held.filter(F.col("text").isNotNull())).select(*row, own.alias("entities"), words.alias("words")), "links")
+    pairs = links.select(*row, "words", F.explode("entities").alias("entity")).select(*row, "entity", F.explode("words").alias("term"))
+    both = settle(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")), "pairs")
+    entities = settle(links.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")), "entities")
     # Every term of every document is counted; equal terms of a task leave it as one row.
-    terms = named.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    total = held.count()
+    terms = settle(once(named).select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")), "terms")
     rated = both.join(entities, "entity").join(terms, "term")
     known = -F.log2(F.col("n_entity") / total)
     told = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
     telling = settle(rated.withColumn("share", F.when(known > 0, told / known)).filter(F.col("share") >= generalise).select("entity", "term", "share"), "telling")
 
-    hits = words.join(telling, ["entity", "term"]).groupBy("doc_id", "row_key", "start", "end").agg(F.max("share").alias("share"))
-    span = F.struct(F.col("start"), F.lit(4).alias("rank"), F.lit("term").alias("kind"), F.col("end"), F.when(F.col("share") >= REMOVE, "").otherwise("[WORD]").alias("value"))
-    hits = hits.groupBy(F.col("doc_id").alias("t_id"), F.col("row_key").alias("t_key")).agg(F.array_sort(F.collect_list(span)).alias("terms"))
-    joined = held.drop("around").join(hits, held["doc_id"].eqNullSafe(F.col("t_id")) & (held["row_key"] == F.col("t_key")), "left")
-    return joined.select("doc_id", "row_key", "base", F.coalesce("terms", F.array().cast(f"array<{SPAN}>")).alias("terms"))
+    hits = pairs.join(telling, ["entity", "term"]).groupBy(*row, "term").agg(F.max("share").alias("share"))
+    hits = hits.groupBy(F.col("doc_id").alias("t_id"), F.col("row_key").alias("t_key")).agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("telling"))
+    joined = held.join(hits, held["doc_id"].eqNullSafe(F.col("t_id")) & (held["row_key"] == F.col("t_key")), "left")
+    # Whole words that no base span touches.
+    share = lambda w: F.element_at("telling", F.lower(w["value"]))
+    free = lambda w: ~F.exists("base", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
+    shown = F.transform(F.filter(words_at(F.col("text")), lambda w: share(w).isNotNull() & free(w)), lambda w: w.withField("value", F.when(share(w) >= REMOVE, "").otherwise("[WORD]")))
+    return joined.select(*row, "base", F.when(F.col("telling").isNotNull(), shown).otherwise(F.array().cast(f"array<{SPAN}>")).alias("terms"))
 
 
 def listed(spans: Column) -> Column:
