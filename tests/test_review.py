@@ -130,3 +130,15 @@ def test_analyzers(spark):
     assert {r.rule_id for r in analyzers.signals(lines).collect()} == {"supply.version.floating", "supply.typosquat"}
     assert [r.rule_id for r in analyzers.branches(lines).collect()] == ["branch.guard.regression"]
     assert analyzers.tainted_lines(["b = req.body", "c = b", "b = authorize(b)", "use(c)", "z"], set()) == [True, True, False, True, False]
+
+
+def test_every_order_is_a_diff(spark, tmp_path):
+    from vigilspark.plans import queries
+
+    orders = [(k, "O" if k % 3 else "F", f"{k % 5}-URGENT") for k in (1, 2, 9, 10, 11, 20, 123)]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    want = []
+    for k, status, priority in orders:
+        lines_of = [("context", "keep", 3, k), ("deleted", f"old {priority}", 4, None), ("added", f"new {status}", None, k + 1), ("added", "tail", None, k + 2)]
+        want += [(str(k), 0, f"src/{k}.go", *line) for line in lines_of]
+    assert sorted(map(tuple, queries.diff_parse(spark, str(tmp_path)).collect()), key=repr) == sorted(want, key=repr)

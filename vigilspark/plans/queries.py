@@ -69,8 +69,8 @@ def file_review(spark, sf_dir):
 
 
 def diff_parse(spark, sf_dir):
-    """One diff for each tenth order, written and parsed again."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey % 10 = 0")
+    """One diff for each order, written and parsed again."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     k = F.col("o_orderkey").cast("string")
     raw = F.concat(F.lit("diff --git a/f b/f\n--- a/f\n+++ b/src/"), k, F.lit(".go\n@@ -3,2 +"), k, F.lit(",3 @@ head\n keep\n-old "), "o_orderpriority", F.lit("\n+new "), "o_orderstatus", F.lit("\n+tail\n"))
     return lines.diff_lines(orders.select(k.alias("diff_id"), raw.alias("raw"))).select("diff_id", "hunk_ix", "path", "kind", "text", "old_no", "new_no")
