@@ -295,3 +295,11 @@ def test_terms_of_rare_entities(spark):
         assert [(s.start, s.end, s.value) for s in found[i].terms] == want
     assert [s.start for s in found[60].terms][0] == 0 and len(found[60].terms) == 4  # "quonkery" at either end, "mail" and "and"
     assert texts[61][found[61].terms[0].start :].startswith("Vimbledon")
+
+
+def test_lines_of_copies_and_of_large_hosts(spark):
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(12))
+    copies = [(i, own("copy"), "a") for i in range(21)] + [(21, own("fewer"), "a")] * 30 + [(30 + i, own("twenty"), "a") for i in range(20)]
+    large = [(100 + i, " ".join(f"always{j}" for j in range(12)) + "\n" + f"only {i}", "b") for i in range(21)] + [(200 + i, own(i), "b") for i in range(2000)]
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(copies + large, "doc_id long, text string, source string")).collect()}
+    assert {i for i, kept in got.items() if not kept} == {*range(21), *range(100, 121)}

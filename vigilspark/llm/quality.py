@@ -3,17 +3,17 @@
 Two base rules look at a document alone: too few words, or too many of them in
 five-word windows that the document repeats.  The third looks across documents:
 each line, normalised (A-Z lower-cased, runs of white space one space, ends
-trimmed) and hashed, is counted over the distinct texts of its host; lines above
-the limit are furniture, and a document that keeps too little without them is
-depleted and rejected.  Copies of a text count once, as finding copies is the
-near-duplicate operator's work.
+trimmed) and hashed, is counted over the distinct documents of its host; lines in
+more than LINE_DOCS of them are furniture, whatever the host's size, and a
+document that keeps too little without them is depleted and rejected.  Copies of
+a text under ids of their own are documents of their own.
 
 The texts are read once; what follows moves 64-bit line hashes only, and the
-count of a line is spread over the texts that hold it.
+count of a line is spread over the documents that hold it.
 
 Cases.  Null and empty texts have no words and fail the base rules; lines
-without a word count nowhere.  A null host is a host.  Repeated rows are judged
-alike.  Other columns pass through; those named like an output are replaced.
+without a word count nowhere.  A null host is a host.  Repeated rows (alike in id,
+host and text) count once and are judged alike.  Other columns pass through; those named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ SYMBOLS[list(b"#*$%&|<>")] = True
 REPEAT_WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-LINE_TEXTS = 20  # a line is furniture in more texts of a host than this
-LINE_SHARE = 0.02  # and than this share of them
+LINE_DOCS = 20  # a line is furniture in more documents of a host than this
+LINE_SHARE = 0.0  # and, if set, than this share of them
 KEPT_SHARE = 0.3  # a document keeps at least this share of its words
 _U = np.uint64
 
@@ -76,20 +76,20 @@ def measure(w: textkit.Words) -> list[pa.Array]:
     return [*[pa.array(c, pa.int64()) for c in counts], textkit.lists(pa.array(folded.view(np.int64)), at), textkit.lists(pa.array((lines.last - lines.first)[worded].astype(np.int32)), at)]
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str = "doc_id", line_texts: int = LINE_TEXTS, line_share: float = LINE_SHARE, kept_share: float = KEPT_SHARE) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str = "doc_id", line_texts: int = LINE_DOCS, line_share: float = LINE_SHARE, kept_share: float = KEPT_SHARE) -> DataFrame:
     """docs without the text, with the measures, base_failed, left_words (in lines that stay) and kept."""
     added = [*MEASURES, "base_failed", "left_words", "kept"]
     others = [c for c in docs.columns if c not in (*added, *LINES, "row_key", text)]
     named = docs.select(*others, F.col(text).alias("text"), textkit.row_key(text, doc_id, host).alias("row_key"))
     measured = settle(textkit.map_texts(named, "text", [*others, "row_key"], MEASURES | LINES, lambda w, _: measure(w)), "quality")
 
-    # A text that a host has many times counts once, and so do a text's equal lines.
-    of_text = F.xxhash64(F.col("lines"), F.col("n_words"), F.col("word_chars"))
-    each = measured.select(F.col(host).alias("host"), of_text.alias("of_text"), F.explode(F.array_distinct("lines")).alias("line"))
-    counted = each.groupBy("host", "line").agg(F.count_distinct("of_text").alias("texts"))
-    hosts = measured.groupBy(F.col(host).alias("of_host")).agg(F.count_distinct(of_text).alias("host_texts"))
-    often = counted.filter(F.col("texts") > line_texts).join(hosts, F.col("host").eqNullSafe(F.col("of_host")))
-    often = often.filter(F.col("texts") > line_share * F.col("host_texts")).select("host", "line")
+    # The key holds the id, so it stands for the document; a document's equal lines count once.
+    each = measured.select(F.col(host).alias("host"), "row_key", F.explode(F.array_distinct("lines")).alias("line"))
+    often = each.groupBy("host", "line").agg(F.count_distinct("row_key").alias("docs")).filter(F.col("docs") > line_texts)
+    if line_share > 0:
+        hosts = measured.groupBy(F.col(host).alias("of_host")).agg(F.count_distinct("row_key").alias("host_docs"))
+        often = often.join(hosts, F.col("host").eqNullSafe(F.col("of_host"))).filter(F.col("docs") > line_share * F.col("host_docs"))
+    often = often.select("host", "line")
 
     zipped = measured.select(doc_id, "row_key", F.col(host).alias("in_host"), F.explode(F.arrays_zip("lines", "line_words")).alias("l"))
     hit = zipped.join(often, (F.col("l.lines") == F.col("line")) & F.col("in_host").eqNullSafe(F.col("host")))
