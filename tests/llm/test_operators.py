@@ -297,6 +297,24 @@ def test_terms_of_rare_entities(spark):
     assert texts[61][found[61].terms[0].start :].startswith("Vimbledon")
 
 
+def test_many_rare_toxic_words(spark):
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices("aeioulnrst", k=rng.randint(3, 8))) for _ in range(400)]
+    bad = ["".join(rng.choices("bcdfghkmpvwxyz", k=7)) for _ in range(70)]  # each in about 1.4 % of the toxic documents
+    rows = []
+    for i in range(3000):
+        words = rng.choices(vocabulary, k=rng.randint(5, 60))
+        if i % 2:
+            words.insert(rng.randrange(len(words)), rng.choice(bad) + rng.choice(["", "!", "x"]))
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    held = toxicity.score(docs, marks).filter(toxicity.held_out(F.col("doc_id"))).collect()
+    for y in (0, 1):
+        of = [r.predicted == y for r in held if r.doc_id % 2 == y]
+        assert len(of) > 200 and sum(of) / len(of) > 0.95
+
+
 def test_lines_of_copies_and_of_large_hosts(spark):
     own = lambda i: " ".join(f"w{i}x{j}" for j in range(12))
     copies = [(i, own("copy"), "a") for i in range(21)] + [(21, own("fewer"), "a")] * 30 + [(30 + i, own("twenty"), "a") for i in range(20)]

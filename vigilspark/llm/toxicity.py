@@ -5,9 +5,10 @@ as a character), a document the average of its words, and a softmax reads that
 average; vectors and softmax are trained together, in numpy, so a misspelling
 that training never saw still shares n-grams with the word it hides.  The
 n-grams with vectors are those that documents of the two classes hold unequally
-(chi-square of at least CHI, and of CHI_SHARE of the rows); other n-grams, and words that have none with a
-vector, are out of the vocabulary and not averaged, so the ordinary words of a
-long text don't drown the few that matter.
+(chi-square of at least CHI, the 1 % level, however many rows train: 7 rows of
+one class suffice where classes are of a size); other n-grams, and words that
+have none with a vector, are out of the vocabulary and not averaged, so the
+ordinary words of a long text don't drown the few that matter.
 
 Training takes at most TRAIN_ROWS labelled rows of each class (those of the least
 hashes), which bounds what the driver holds; every document is scored, whole.
@@ -36,7 +37,7 @@ TRAIN_ROWS = 3000
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
 DIM = 4
-CHI, CHI_SHARE = 25.0, 0.04
+CHI = 6.63
 EPOCHS = 120
 RATE = 0.05
 SHRINK = 1e-4
@@ -119,17 +120,18 @@ class _Sums:
             order = np.argsort(a, kind="stable")
             a = a[order]
             starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
-            self.ways.append((b[order], weight[order, None].astype(np.float32), starts, a[starts], n))
+            self.ways.append((b[order].astype(np.int32), weight[order].astype(np.float32), starts, a[starts], n))
 
     def __call__(self, x: np.ndarray, way: int) -> np.ndarray:
         source, weight, starts, rows, n = self.ways[way]
         out = np.zeros((n, x.shape[1]), np.float32)
         if len(starts):
-            out[rows] = np.add.reduceat(x[source] * weight, starts, 0)
+            for k in range(x.shape[1]):  # a column at a time holds less
+                out[rows, k] = np.add.reduceat(x[:, k][source] * weight, starts)
         return out
 
 
-def train(texts: list[str], labels: list[int], share: float, epochs: int = EPOCHS, dim: int = DIM, chi: float = CHI, chi_share: float = CHI_SHARE, seed: int = 3) -> Model:
+def train(texts: list[str], labels: list[int], share: float, epochs: int = EPOCHS, dim: int = DIM, chi: float = CHI, seed: int = 3) -> Model:
     """share: of label 1 among all rows that could train, which the sample's weights restore."""
     y = np.array(labels, np.int64)
     known = np.zeros(BUCKETS, bool)
@@ -147,29 +149,35 @@ def train(texts: list[str], labels: list[int], share: float, epochs: int = EPOCH
     totals = np.bincount(y, minlength=2)[:, None]
     each = holds.sum(0) / totals.sum()
     expected = np.maximum(each * (1 - each), 1e-12) * (totals.prod() / totals.sum())
-    known = (holds[1] - totals[1] * each) ** 2 / expected >= max(chi, chi_share * len(y))
-    base = 0
+    known = (holds[1] - totals[1] * each) ** 2 / expected >= chi
+    base, seen = 0, np.zeros(0, _U)
     for w in textkit.word_chunks(pa.array(texts, pa.string())):
         buckets, n = word_grams(w)
         at = np.concatenate([[0], np.cumsum(n)])
         has = np.flatnonzero(_sums(known[buckets], at) > 0)
-        h = w.hashes(textkit.FOLDED)[has]
-        distinct, first = np.unique(h, return_index=True)
-        own = np.concatenate([np.zeros(0, np.int64), *[np.arange(at[i], at[i + 1]) for i in has[first]]])
-        whose = np.repeat(distinct, n[has[first]])
+        distinct, first, word = np.unique(w.hashes(textkit.FOLDED)[has], return_index=True, return_inverse=True)
+        v = max(1, len(distinct))
+        pair, times = np.unique((base + textkit.row_of(w.at)[has]) * v + word, return_counts=True)
+        new = np.flatnonzero(~np.isin(distinct, seen))  # a word's n-grams are kept once
+        own = np.concatenate([np.zeros(0, np.int64), *[np.arange(at[i], at[i + 1]) for i in has[first[new]]]])
+        whose = np.repeat(distinct[new], n[has[first[new]]])
         stay = known[buckets[own]]
-        chunks.append((base + textkit.row_of(w.at)[has], h, whose[stay], buckets[own][stay]))
+        chunks.append(((pair // v).astype(np.int32), distinct[pair % v], times.astype(np.int32), whose[stay], buckets[own][stay].astype(np.int32)))
+        seen = np.union1d(seen, distinct)
         base += w.n
-    doc, word, whose, gram = (np.concatenate(x) for x in zip(*chunks))
+        del buckets, at, has, word, pair, own, whose, w
+    doc, word, often, whose, gram = (np.concatenate(x) for x in zip(*chunks))
+    del chunks
     hashes, word = np.unique(word, return_inverse=True)
+    word = word.astype(np.int32)
     used, gram = np.unique(gram, return_inverse=True)
-    v, g = max(1, len(hashes)), max(1, len(used))
+    g, v = max(1, len(used)), max(1, len(hashes))
     pair, times = np.unique(np.searchsorted(hashes, whose) * g + gram, return_counts=True)
     shares = times / np.bincount(pair // g, times, v)[pair // g]
     to_words = _Sums(pair // g, pair % g, shares, len(hashes), len(used))
-    pair, times = np.unique(doc * v + word, return_counts=True)
-    shares = times / np.bincount(pair // v, times, len(y))[pair // v]
-    to_docs = _Sums(pair // v, pair % v, shares, len(y), len(hashes))
+    shares = (often / np.bincount(doc, often, len(y))[doc]).astype(np.float32)
+    to_docs = _Sums(doc, word, shares, len(y), len(hashes))
+    del doc, word, often, whose, gram, pair, times, shares
 
     rng = np.random.default_rng(seed)
     state = [rng.normal(0, 0.1, (len(used), dim)).astype(np.float32), rng.normal(0, 1, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)]
