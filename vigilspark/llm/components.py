@@ -2,8 +2,10 @@
 
 Large star: each node's greater neighbours link to the least of its
 neighbourhood.  Small star: each node's lesser neighbours do.  Both are an
-aggregation and a join, so a node of many links is no group in a task.  Rounds
-are logarithmic; each is written to the shared folder, which cuts lineage.
+aggregation and a join.  A node of very many links is one key of that join;
+there are few such nodes whatever the size of the table, so they are met by
+broadcast (textkit.meet).  Rounds are logarithmic; each is written to the shared
+folder, which cuts lineage, and the one before is deleted.
 """
 
 from __future__ import annotations
@@ -11,30 +13,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilspark.llm.store import settle
+from vigilspark.llm import textkit
+from vigilspark.llm.store import discard, settle
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
-    """links (a > b) rewired to the least node of each neighbourhood."""
+def _star(links: DataFrame, n: int, large: bool) -> tuple[DataFrame, DataFrame]:
+    """links (a > b) rewired to the least node of each neighbourhood, and a table to discard."""
     sides = links.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*")
     around = sides if large else sides.filter("v < u")
-    least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    met = around.join(least, "u")
-    moved = met.filter("v > u") if large else met.filter("v <> m").unionByName(least.select("u", F.col("u").alias("v"), "m"))
-    return moved.select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    least = settle(around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", F.least("u", "m").alias("m"), "degree"), "least")
+    met = textkit.meet(around, least, "u", "degree", 2 * n)
+    moved = met.filter("v > u") if large else met.filter("v <> m").select("u", "v", "m").unionByName(least.select("u", F.col("u").alias("v"), "m"))
+    return moved.select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), least
 
 
 def components(links: DataFrame) -> DataFrame:
     """(a, b) links of longs -> (node, root): the least node that each linked node reaches."""
     now = settle(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
-    mark = None
     while True:
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_000_007).alias("s"), F.sum(F.xxhash64("b", "a") % 998_244_353).alias("t")).first()
-        if seen == mark:
+        ends = now.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.lit(1).alias("child")), F.struct(F.col("b").alias("u"), F.lit(0).alias("child")))).alias("e")).select("e.*")
+        # Stars alone are left once each child has one link and no child is a root.
+        seen = ends.groupBy("u").agg(F.count("*").alias("n"), F.sum("child").alias("c")).agg(F.sum("c").alias("n"), F.bool_or((F.col("c") > 1) | ((F.col("c") == 1) & (F.col("n") > 1))).alias("more")).first()
+        if not seen.more:
             break
-        mark = seen
-        if not seen.n:
-            break
-        now = settle(_star(_star(now, True), False), "links")
+        for large in (True, False):
+            moved, least = _star(now, seen.n, large)
+            before, now = now, settle(moved, "links")
+            discard(before, least)
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

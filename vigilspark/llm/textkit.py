@@ -5,13 +5,15 @@ which over UTF-8 is the same as ``[^\\x20\\x09-\\x0D]+`` over characters.  A
 batch is cut into chunks of whole texts of about a megabyte, so that memory
 follows the longest text and not the batch.
 
-All hashes are polynomials over 64-bit wrap-around arithmetic (Rabin-Karp) with
-an odd base, taken from running sums: a window's hash is the difference of two
-sums times the inverse power of its start, then a bit mixer.
+A word's hash takes its bytes, eight at a time, through a mixer; long words go
+through BLAKE2b.  Runs of words are Rabin-Karp polynomials over the word hashes
+modulo two primes below 2^32, taken from running sums: a run's hash is the
+difference of two sums times the inverse power of its start, 64 bits together.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -24,34 +26,31 @@ from pyspark.sql import types as T
 
 CHUNK_BYTES = 1 << 20
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15)
-_ONE = _U(1)
+PRIMES = ((_U(4294967291), 3141592653), (_U(4294967279), 2718281828))  # each with the base of its polynomials
+LONG = 256  # bytes
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-PLAIN = np.random.default_rng(20240917).integers(1, 2**63, 256, dtype=np.int64).astype(_U) * _U(2) + _ONE
-FOLDED = PLAIN.copy()
-FOLDED[0x41:0x5B] = PLAIN[0x61:0x7B]
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[0x41:0x5B] += 0x20
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
 
-_powers: list[np.ndarray] = [np.ones(0, _U), np.ones(0, _U)]
+_powers: dict[int, list[np.ndarray]] = {}
 
 
-def _inverse_of_base() -> np.uint64:
-    b, x = int(_BASE), 1
-    for _ in range(7):
-        x = x * (2 - b * x) % 2**64
-    return _U(x)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the base and of its inverse."""
-    if len(_powers[0]) <= n:
-        size = max(n + 1, CHUNK_BYTES * 2)
-        for k, base in enumerate((_BASE, _inverse_of_base())):
-            steps = np.full(size, base, _U)
-            steps[0] = _ONE
-            _powers[k] = np.cumprod(steps)
-    return _powers[0], _powers[1]
+def powers(which: int, n: int) -> list[np.ndarray]:
+    """Powers 0..n of a prime's base and of the base's inverse."""
+    prime, base = PRIMES[which]
+    known = _powers.get(which)
+    if known is None or len(known[0]) <= n:
+        known = []
+        for b in (base, pow(base, -1, int(prime))):
+            x = np.ones(1, _U)
+            while len(x) <= n:
+                x = np.concatenate([x, x * _U(pow(b, len(x), int(prime))) % prime])
+            known.append(x)
+        _powers[which] = known
+    return known
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -63,9 +62,34 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def _sums(values: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(values) + 1, _U)
-    np.cumsum(values * powers(len(values))[0][: len(values)], out=out[1:])
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    left = ends - starts
+    h = mix(left.astype(_U) + _U(0x9E3779B97F4A7C15))
+    long = np.flatnonzero(left > LONG)
+    live = np.flatnonzero((left > 0) & (left <= LONG))
+    at, left = starts[live], left[live]
+    while len(live):
+        h[live] = mix(h[live] ^ (eight[at] & _MASKS[np.minimum(left, 8)]))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in long:
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def _runs(h: np.ndarray, first: np.ndarray | slice, last: np.ndarray | slice) -> np.ndarray:
+    """The polynomials of the runs first..last-1 of h, both residues in 64 bits."""
+    out = None
+    for which, (prime, _) in enumerate(PRIMES):
+        up, down = powers(which, len(h))
+        sums = np.zeros(len(h) + 1, _U)
+        np.cumsum(h % prime * up[: len(h)] % prime, out=sums[1:])
+        part = (sums[last] - sums[first]) % prime * down[: len(h) + 1][first] % prime
+        out = part if out is None else out << _U(32) | part
     return out
 
 
@@ -88,11 +112,9 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.at)
 
-    def hashes(self, table: np.ndarray = PLAIN) -> np.ndarray:
-        """A 64-bit hash of each word; table gives each byte its number."""
-        sums = _sums(table[self.data])
-        span = sums[self.ends] - sums[self.starts]
-        return mix(span * powers(len(self.data))[1][self.starts] + (self.ends - self.starts).astype(_U))
+    def hashes(self, fold: bool = False) -> np.ndarray:
+        """A 64-bit hash of each word, with A-Z lower-cased if wished."""
+        return byte_hashes(FOLD[self.data] if fold else self.data, self.starts, self.ends)
 
     def text_of(self, row: int) -> bytes:
         return self.data[self.rows[row] : self.rows[row + 1]].tobytes()
@@ -133,10 +155,7 @@ def split_words(first: int, data: np.ndarray, rows: np.ndarray) -> Words:
 def windows(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k values, also those that cross texts."""
     n = len(h) - k + 1
-    if n <= 0:
-        return np.zeros(0, _U)
-    sums = _sums(h)
-    return mix((sums[k:] - sums[:n]) * powers(len(h))[1][:n])
+    return mix(_runs(h, slice(0, n), slice(k, n + k))) if n > 0 else np.zeros(0, _U)
 
 
 def inside(at: np.ndarray, k: int) -> np.ndarray:
@@ -163,8 +182,7 @@ def row_of(at: np.ndarray) -> np.ndarray:
 
 def span_hashes(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Hashes of the runs first..last-1 of h."""
-    sums = _sums(h)
-    return mix((sums[last] - sums[first]) * powers(len(h))[1][first] + (last - first).astype(_U))
+    return mix(mix(_runs(h, first, last)) + (last - first).astype(_U))
 
 
 def per_row(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -219,6 +237,16 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named in0, in1, ..., which clash with no helper column."""
+    return df.toDF(*[f"in{i}" for i in range(len(df.columns))])
+
+
+def restored(names: list[str], but: str = "") -> list[Column]:
+    """The columns of numbered() under their own names, without one of them if wished."""
+    return [F.col(f"in{i}").alias(c) for i, c in enumerate(names) if c != but]
+
+
 def map_texts(docs: DataFrame, text: str, keep: list[str], added: dict[str, T.DataType], fn: Callable[[Words, pa.RecordBatch], list[pa.Array]], limit: int = CHUNK_BYTES) -> DataFrame:
     """docs with the columns keep and, for each chunk of whole texts, what fn makes of it; a narrow pass."""
     df = docs.select(F.col(text).alias(inner := free_name(docs, "text_in")), *[c for c in keep])
@@ -234,6 +262,30 @@ def map_texts(docs: DataFrame, text: str, keep: list[str], added: dict[str, T.Da
     return df.mapInArrow(batches, schema)
 
 
+def spaced(w: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """All words with one space after each, and where each begins and ends in that."""
+    length = w.ends - w.starts
+    ends = np.cumsum(length + 1) - 1
+    begins = ends - length
+    out = np.full(int(ends[-1]) + 1 if len(ends) else 0, 0x20, np.uint8)
+    word = np.flatnonzero(~SPACE[w.data])
+    out[word + np.repeat(begins - w.starts, length)] = w.data[word]
+    return out.tobytes(), begins, ends
+
+
+def meet(left: DataFrame, right: DataFrame, on: str | list[str], weight: str, total: int, how: str = "inner", shares: int = 256) -> DataFrame:
+    """left joined to right, which has one row for each value of on and, as weight, about the rows of left that have it.
+
+    Values above a 256th of all rows would be one task's work, and there are fewer than 256 of them whatever the
+    size of the tables: they are broadcast, the rest is left to Spark.  right is read twice, so it should be a table.
+    total is the sum of weight; how is inner or left."""
+    on = [on] if isinstance(on, str) else on
+    hot = right.filter(F.col(weight) * shares > total)
+    cold = right.filter(F.col(weight) * shares <= total)
+    often, seldom = left.join(F.broadcast(hot.select(*on)), on, "left_semi"), left.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return often.join(F.broadcast(hot), on).unionByName(seldom.join(cold, on, how))
+
+
 def lists(values: pa.Array, at: np.ndarray) -> pa.Array:
     """values cut at the offsets."""
     return pa.ListArray.from_arrays(pa.array((at - at[0]).astype(np.int32)), values)
