@@ -2,17 +2,22 @@
 
 A rule is a host and a path prefix.  The canonical key of a url is its host with
 the labels reversed ("com.example.www"), then its path; a rule then covers an
-interval of keys: those of one host whose path starts with the rule's.  A url
-belongs to its host and to every parent of it, so it has a key for each.  Keys
-and rule starts are sorted together within a host.  Intervals of prefixes are
-nested or apart, so each rule start carries the stack of the rules open there;
-a url's key meets the last start before it, and the deepest rule of that stack
-that still covers it is the longest.  Of the hosts of a url, the longest rule
-wins.
+interval of keys: those of one host whose path starts with the rule's, from the
+prefix itself to the prefix and a byte that no UTF-8 text has.  A url belongs to
+its host and to every parent of it, so it has a key for each.  Within a host the
+keys and both ends of all intervals are sorted together.  Intervals of prefixes
+are nested or apart, so the sweep keeps a stack: a rule's beginning puts it on
+top of the rules that enclose it, its end leaves those.  A url's key meets the
+stack that the last such event before it left, whose top is the longest rule.
+Of the hosts of a url, the longest rule wins.
+
+The rules that enclose a rule are found by an equal join with the beginnings of
+its prefix, so that a host of many rules costs no more than their text.
 
 Keys of hosts without rules leave before the sort.  A host that many urls share
-is split: its rules go to every slice, its urls to one each.  Everything is
-DataFrame operations.
+is split: its rules go to every slice, its urls to one each.  A pair of host and
+path is judged once and met again by its rows; a pair of very many rows is
+broadcast.  Everything is DataFrame operations.
 
 Cases.  A null url, or one without "://", has an empty host and path and fits no
 rule.  Repeated rows are judged each for itself; equal rules count once, and
@@ -27,6 +32,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigilspark.llm import textkit
+from vigilspark.llm.store import settle
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,15 +56,23 @@ def rule_table(spark, rules: Sequence[tuple[str, str]]) -> DataFrame:
     for verdict, rule in rules:
         host, slash, path = rule.partition("/")
         host = host.translate(str.maketrans(UPPER, LOWER))
-        rows[(".".join(reversed(host.split("."))), slash + path)] = (rule, "block" if "block" in (verdict, rows.get((host, slash + path), ("", ""))[1]) else verdict)
+        key = (".".join(reversed(host.split("."))), slash + path)
+        rows[key] = (rule, "block" if "block" in (verdict, rows.get(key, ("", ""))[1]) else verdict)
     return spark.createDataFrame([(h, p, *v) for (h, p), v in rows.items()], "host_key string, prefix string, rule string, verdict string")
 
 
+_STACK = "array<struct<n:int,rule:string,verdict:string>>"
+
+
 def stacks(rules: DataFrame) -> DataFrame:
-    """rules with stack: the rules of the host, itself last, whose prefix begins this one's."""
-    w = Window.partitionBy("host_key").orderBy("prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = F.collect_list(F.struct("prefix", "rule", "verdict")).over(w)
-    return rules.withColumn("stack", F.filter(before, lambda r: F.startswith(F.col("prefix"), r["prefix"]))).select("host_key", "prefix", "stack")
+    """The events of the sweep: host_key, place (bytes), kind (0 begins, 2 ends) and the stack of rules open after it, the longest last."""
+    begins = rules.select("host_key", "prefix", F.explode(F.sequence(F.lit(0), F.length("prefix"))).alias("n")).select("host_key", "prefix", F.left("prefix", F.col("n")).alias("outer"))
+    outer = rules.select("host_key", F.col("prefix").alias("outer"), F.struct(F.length("prefix").alias("n"), "rule", "verdict").alias("open"))
+    opened = begins.join(outer, ["host_key", "outer"]).groupBy("host_key", "prefix").agg(F.array_sort(F.collect_list("open")).alias("stack"))
+    place = F.encode("prefix", "utf-8")
+    first = F.struct(place.alias("place"), F.lit(0).alias("kind"), F.col("stack"))
+    last = F.struct(F.concat(place, F.unhex(F.lit("FF"))).alias("place"), F.lit(2).alias("kind"), F.slice("stack", F.lit(1), F.size("stack") - 1).alias("stack"))
+    return opened.select("host_key", F.explode(F.array(first, last)).alias("e")).select("host_key", "e.*")
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url", slices: int | None = None) -> DataFrame:
@@ -65,24 +81,27 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     slices: parts that a host's urls are dealt to; by default the shuffle partitions."""
     spark = pages.sparkSession
     slices = slices or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    out = ["host", "path", "rule", "verdict"]
-    kept = pages.drop(*out)
-    parsed = kept.withColumns({"host": host_of(kept[url]), "path": path_of(kept[url])})
+    names = [c for c in pages.columns if c == url or c not in ("host", "path", "rule", "verdict")]
+    rows = textkit.numbered(pages.select(*names))
+    given = F.col(f"in{names.index(url)}")
+    parsed = rows.withColumns({"host": host_of(given), "path": path_of(given)})
 
     # What a rule says depends on host and path alone, so each such pair is judged once.
-    asked = parsed.filter("host <> ''").groupBy("host", "path").agg(F.lit(1).alias("one")).select("host", "path")
+    asked = parsed.filter("host <> ''").groupBy("host", "path").agg(F.count("*").alias("rows"))
     labels = F.reverse(F.split("host", r"\."))
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.concat_ws(".", F.slice(labels, 1, k)))
     keys = asked.withColumn("host_key", F.explode(parents))
     keys = keys.join(rules.select("host_key").distinct(), "host_key", "left_semi")
-    points = keys.select("host_key", F.pmod(F.xxhash64("host", "path"), F.lit(slices)).alias("slice"), "path", F.lit(1).alias("kind"), "host", F.lit(None).cast("array<struct<prefix:string,rule:string,verdict:string>>").alias("stack"))
-    starts = stacks(rules).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<bigint>")))
-    starts = starts.select("host_key", "slice", F.col("prefix").alias("path"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("host"), "stack")
-
-    sweep = Window.partitionBy("host_key", "slice").orderBy("path", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = points.unionByName(starts).withColumn("stack", F.last("stack", ignorenulls=True).over(sweep)).filter("kind = 1")
-    fits = swept.select("host", "path", "host_key", F.when(F.size("stack") > 0, F.try_element_at(F.filter("stack", lambda r: F.startswith(F.col("path"), r["prefix"])), F.lit(-1))).alias("hit")).filter("hit is not null")
-    best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("hit.rule").alias("n"), F.length("host_key").alias("h"), F.col("hit.rule").alias("rule"), F.col("hit.verdict").alias("verdict"))).alias("best"))
-    best = best.select(F.col("host").alias("fit_host"), F.col("path").alias("fit_path"), "best")
-    judged = parsed.join(best, (parsed["host"] == best["fit_host"]) & (parsed["path"] == best["fit_path"]), "left")
-    return judged.select(*[parsed[c] for c in kept.columns], "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    points = keys.select("host_key", F.pmod(F.xxhash64("host", "path"), F.lit(slices)).alias("slice"), F.encode("path", "utf-8").alias("place"), F.lit(1).alias("kind"), "host", "path", "rows", F.lit(None).cast(_STACK).alias("stack"))
+    events = stacks(rules).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<bigint>")))
+    events = events.select("host_key", "slice", "place", "kind", F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("long").alias("rows"), F.col("stack").cast(_STACK).alias("stack"))
+
+    sweep = Window.partitionBy("host_key", "slice").orderBy("place", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = points.unionByName(events).withColumn("stack", F.last("stack", ignorenulls=True).over(sweep)).filter("kind = 1")
+    fits = swept.select("host", "path", "host_key", "rows", F.try_element_at("stack", F.lit(-1)).alias("hit")).filter("hit is not null")
+    best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("hit.rule").alias("n"), F.length("host_key").alias("h"), F.col("hit.rule").alias("rule"), F.col("hit.verdict").alias("verdict"))).alias("best"), F.any_value("rows").alias("rows"))
+    best = settle(best.select("host", "path", "best.rule", "best.verdict", "rows"), "urls")
+    total = best.agg(F.sum("rows")).first()[0] or 0
+    judged = textkit.meet(parsed.filter("host <> ''"), best, ["host", "path"], "rows", total, "left").drop("rows")
+    blank = parsed.filter("host = ''").withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(None).cast("string")})
+    return judged.unionByName(blank).select(*textkit.restored(names), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
