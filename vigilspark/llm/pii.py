@@ -11,8 +11,12 @@ removed from REMOVE on.  There is no least number of documents: of n documents,
 an entity in one of them gets the words of that document that at most
 n^(1 - GENERALISE) documents hold.
 
-A document makes a row for each of its entities and distinct words, and equal
-pairs of a task leave it as one row; nothing grows with pairs of documents.
+What a term tells depends on the documents that hold the entity, so entities of
+the same documents are one class (told apart by their number and 128 bits over
+them): a list of thousands of addresses in one document is one class, not
+thousands.  A document makes a row for each of its classes and distinct words,
+and equal pairs of a task leave it as one row; nothing grows with pairs of
+documents, nor with pairs of places within one.
 
 Everything is DataFrame operations.  Patterns are written so that a long run of
 one character class costs one pass (look-behind and possessive repeats), and
@@ -27,7 +31,7 @@ replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilspark.llm import textkit
@@ -35,14 +39,15 @@ from vigilspark.llm.store import settle
 
 KINDS = ("email", "ip", "card", "phone", "term")
 GENERALISE, REMOVE = 0.8, 0.95
-DOT, GAP = chr(0xE001), chr(0xE000)  # private-use characters, first blanked in the text
+DOT, GAP = chr(0xE001), chr(0xE000)  # private-use characters; where a text has them, OTHER, which no pattern takes either, stands in
+OTHER = chr(0xFFFD)
 _LOCAL, _LABEL = f"A-Za-z0-9._%+{DOT}-", "A-Za-z0-9-"
 EMAIL = rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[{_LABEL}]+{DOT}[{_LABEL}{DOT}]*"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = rf"(?<![0-9{GAP}])[0-9][0-9{GAP}]{{13,}}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"[\p{L}][\p{L}\p{N}_]{2,}+"
-CHUNK = 64  # words placed at a time
+CHUNK = 64  # pieces placed at a time, or the square root of their number
 SPAN = "struct<start:int,rank:int,kind:string,end:int,value:string>"
 
 
@@ -65,18 +70,14 @@ def _placed(pieces: Column, at: Column, rank: int) -> Column:
 
 
 def located(text: Column, pattern: str, rank: int) -> Column:
-    """All matches as spans, in code points."""
-    return _placed(_pieces(text, pattern), F.lit(0), rank)
-
-
-def words_at(text: Column) -> Column:
-    """located() for all words of a text, in chunks, so that the work doesn't grow with their number's square."""
+    """All matches as spans, in code points: in chunks, so that the work doesn't grow with the square of their number."""
     let = lambda x, f: F.transform(F.array(x), f)[0]
-    deal = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / CHUNK).cast("int")), lambda i: F.slice(p, i * CHUNK + 1, F.lit(CHUNK)))
+    size = lambda p: F.greatest(F.lit(CHUNK), F.ceil(F.sqrt(F.size(p).cast("double"))).cast("int"))
+    deal = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / size(p)).cast("int")), lambda i: F.slice(p, i * size(p) + 1, size(p)))
     long = lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.length(x["match"]))
     before = lambda lengths, i: F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda n, x: n + x)
-    place = lambda chunks: let(F.transform(chunks, long), lambda lengths: F.flatten(F.transform(chunks, lambda c, i: let(before(lengths, i), lambda at: _placed(c, at, 4)))))
-    return let(_pieces(text, TERM), lambda p: F.when(F.size(p) > 0, let(deal(p), place)).otherwise(F.array().cast(f"array<{SPAN}>")))
+    place = lambda chunks: let(F.transform(chunks, long), lambda lengths: F.flatten(F.transform(chunks, lambda c, i: let(before(lengths, i), lambda at: _placed(c, at, rank)))))
+    return let(_pieces(text, pattern), lambda p: F.when(F.size(p) > 0, let(deal(p), place)).otherwise(F.array().cast(f"array<{SPAN}>")))
 
 
 def digits(value: Column) -> Column:
@@ -97,7 +98,7 @@ def luhn(number: Column) -> Column:
 def base_spans(text: Column) -> Column:
     """The base spans of a text, by start and kind."""
     none = F.array().cast(f"array<{SPAN}>")
-    clean = F.translate(text, DOT + GAP, "  ")
+    clean = F.translate(text, DOT + GAP, OTHER + OTHER)
     dotted = F.regexp_replace(clean, rf"(?<=[{_LABEL}])\.(?=[{_LABEL}])", DOT)
     emails = F.when(F.contains(text, F.lit("@")), located(dotted, EMAIL, 0)).otherwise(none)
     part = lambda v: F.forall(F.split(v, r"\."), lambda p: (F.length(F.regexp_replace(p, "^0+(?=.)", "")) <= 3) & (F.try_to_number(F.right(p, F.lit(3)), F.lit("999")) <= 255))
@@ -106,16 +107,19 @@ def base_spans(text: Column) -> Column:
     right = lambda n: F.when(n.between(14, 19), True).otherwise(False)
     cards = F.when(text.rlike(r"(?:[0-9][\x20-]?){14}"), F.filter(F.filter(located(joined, CARD, 2), lambda s: right(F.length(digits(s["value"])))), lambda s: luhn(digits(s["value"])))).otherwise(none)
     phones = F.when(F.contains(text, F.lit("+")), F.filter(located(text, PHONE, 3), lambda s: F.length(digits(s["value"])).between(10, 15))).otherwise(none)
-    whole = lambda spans: F.transform(spans, lambda s: s.withField("value", F.substr(text, s["start"] + 1, s["end"] - s["start"])))
-    return F.array_sort(F.concat(whole(emails), ips, whole(cards), phones))
+    # What the markers stand for: a dot in an address; a card's value is its digits.
+    emails = F.transform(emails, lambda s: s.withField("value", F.translate(s["value"], DOT, ".")))
+    cards = F.transform(cards, lambda s: s.withField("value", digits(s["value"])))
+    return F.array_sort(F.concat(emails, ips, cards, phones))
 
 
 def find(docs: DataFrame, generalise: float = GENERALISE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, row_key, base (spans), terms (spans of terms that disclose an entity, value: what they get)."""
     named = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), textkit.row_key(text, doc_id).alias("row_key"))
     based = named.withColumn("base", base_spans(F.col("text")))
-    held = settle(based.withColumn("text", F.when(F.size("base") > 0, F.col("text"))), "pii")
-    row = ["doc_id", "row_key"]
+    # The rows' own numbers are settled with the table.
+    held = settle(based.withColumn("text", F.when(F.size("base") > 0, F.col("text"))).withColumn("uid", F.monotonically_increasing_id()), "pii")
+    row, group = ["doc_id", "row_key"], ["n_entity", "one", "two"]
     size = held.groupBy(*row).count().agg(F.count("*").alias("total"), F.max("count").alias("most")).first()
     once = lambda df: df.dropDuplicates(row) if (size.most or 1) > 1 else df
     total = size.total
@@ -123,24 +127,34 @@ def find(docs: DataFrame, generalise: float = GENERALISE, text: str = "text", do
     own = F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
     words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))
     links = settle(once(held.filter(F.col("text").isNotNull())).select(*row, own.alias("entities"), words.alias("words")), "links")
-    pairs = links.select(*row, "words", F.explode("entities").alias("entity")).select(*row, "entity", F.explode("words").alias("term"))
-    both = settle(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")), "pairs")
-    entities = settle(links.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")), "entities")
+    places = links.select(*row, F.explode("entities").alias("entity"))
+    over = lambda *c: F.bit_xor(F.xxhash64(*c))
+    entities = settle(places.groupBy("entity").agg(F.count("*").alias("n_entity"), over("doc_id", "row_key").alias("one"), over("row_key", "doc_id", F.lit(1)).alias("two")), "entities")
+    n_places = entities.agg(F.sum("n_entity")).first()[0] or 0
+    classes = textkit.meet(places, entities, "entity", "n_entity", n_places).groupBy(*row).agg(F.collect_set(F.struct(*group)).alias("classes"))
+    classes = classes.withColumnsRenamed({"doc_id": "c_id", "row_key": "c_key"})
+    told_of = settle(links.join(classes, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("row_key") == F.col("c_key"))).select(*row, "words", "classes"), "classes")
+    pairs = told_of.select(*row, "words", F.explode("classes").alias("c")).select(*row, "c.*", F.explode("words").alias("term"))
+    both = settle(pairs.groupBy(*group, "term").agg(F.count("*").alias("n_both")), "pairs")
     # Every term of every document is counted; equal terms of a task leave it as one row.
     terms = settle(once(named).select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")), "terms")
-    rated = both.join(entities, "entity").join(terms, "term")
+    rated = textkit.meet(both, terms, "term", "n_term", terms.agg(F.sum("n_term")).first()[0] or 0)
     known = -F.log2(F.col("n_entity") / total)
     told = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
-    telling = settle(rated.withColumn("share", F.when(known > 0, told / known)).filter(F.col("share") >= generalise).select("entity", "term", "share"), "telling")
-
-    hits = pairs.join(telling, ["entity", "term"]).groupBy(*row, "term").agg(F.max("share").alias("share"))
-    hits = hits.groupBy(F.col("doc_id").alias("t_id"), F.col("row_key").alias("t_key")).agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("telling"))
-    joined = held.join(hits, held["doc_id"].eqNullSafe(F.col("t_id")) & (held["row_key"] == F.col("t_key")), "left")
-    # Whole words that no base span touches.
-    share = lambda w: F.element_at("telling", F.lower(w["value"]))
-    free = lambda w: ~F.exists("base", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
-    shown = F.transform(F.filter(words_at(F.col("text")), lambda w: share(w).isNotNull() & free(w)), lambda w: w.withField("value", F.when(share(w) >= REMOVE, "").otherwise("[WORD]")))
-    return joined.select(*row, "base", F.when(F.col("telling").isNotNull(), shown).otherwise(F.array().cast(f"array<{SPAN}>")).alias("terms"))
+    telling = settle(rated.withColumn("share", F.when(known > 0, told / known)).filter(F.col("share") >= generalise).select(*group, "term", "n_both", "share"), "telling")
+
+    hits = textkit.meet(pairs, telling, [*group, "term"], "n_both", both.agg(F.sum("n_both")).first()[0] or 0).groupBy(F.col("doc_id").alias("t_id"), F.col("row_key").alias("t_key"), "term").agg(F.max("share").alias("share"))
+    spoken = held.filter(F.col("text").isNotNull()).select("uid", *row, F.explode(located(F.col("text"), TERM, 4)).alias("w")).select("uid", *row, "w.start", "w.end", F.lower("w.value").alias("term"))
+    spoken = spoken.join(hits, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("row_key") == F.col("t_key")) & (spoken["term"] == hits["term"])).select("uid", "start", "end", "share")
+    # Words that no base span touches: of the spans that begin before a word's end, the greatest end is not above its start.
+    fixed = held.filter(F.size("base") > 0).select("uid", F.explode("base").alias("s")).select("uid", "s.start", "s.end", F.lit(None).cast("double").alias("share"))
+    before = Window.partitionBy("uid").orderBy(F.when(F.col("share").isNull(), F.col("start")).otherwise(F.col("end")), F.col("share").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = spoken.unionByName(fixed).withColumn("reach", F.max(F.when(F.col("share").isNull(), F.col("end"))).over(before))
+    free = swept.filter(F.col("share").isNotNull() & (F.coalesce("reach", F.lit(0)) <= F.col("start")))
+    shown = F.struct("start", F.lit(4).alias("rank"), F.lit(KINDS[4]).alias("kind"), "end", F.when(F.col("share") >= REMOVE, "").otherwise("[WORD]").alias("value"))
+    found = free.groupBy(F.col("uid").alias("of")).agg(F.array_sort(F.collect_list(shown)).alias("terms"))
+    none = F.array().cast(f"array<{SPAN}>")
+    return held.join(found, F.col("uid") == F.col("of"), "left").select(*row, "base", F.coalesce(F.col("terms").cast(f"array<{SPAN}>"), none).alias("terms"))
 
 
 def listed(spans: Column) -> Column:
@@ -155,11 +169,12 @@ def report(found: DataFrame) -> DataFrame:
 
 def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **settings) -> DataFrame:
     """docs with pii (all spans) and sanitised: the text with [EMAIL] and so on for base spans, and telling terms generalised or removed."""
-    found = find(docs, text=text, doc_id=doc_id, **settings).dropDuplicates(["doc_id", "row_key"]).select(F.col("doc_id").alias("f_id"), F.col("row_key").alias("f_key"), F.array_sort(F.concat("base", "terms")).alias("pii"))
-    kept = docs.drop("pii", "sanitised")
-    keyed = kept.withColumn(key := textkit.free_name(kept, "row_key"), textkit.row_key(text, doc_id))
-    joined = keyed.join(found, keyed[doc_id].eqNullSafe(F.col("f_id")) & (keyed[key] == F.col("f_key")))
-    body = F.coalesce(F.col(text), F.lit(""))
+    found = find(docs, text=text, doc_id=doc_id, **settings).dropDuplicates(["doc_id", "row_key"]).select("doc_id", "row_key", F.array_sort(F.concat("base", "terms")).alias("pii"))
+    names = [c for c in docs.columns if c == text or c not in ("pii", "sanitised")]
+    rows = textkit.numbered(docs.select(*names))
+    at = {c: f"in{i}" for i, c in enumerate(names)}
+    joined = rows.withColumn("key", textkit.row_key(at[text], at[doc_id])).join(found, F.col(at[doc_id]).eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("row_key")))
+    body = F.coalesce(F.col(at[text]), F.lit(""))
 
     def add(acc: Column, s: Column) -> Column:
         shown = F.when(s["rank"] < 4, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(s["value"])
@@ -168,4 +183,4 @@ def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **sett
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     made = F.aggregate("pii", start, add, lambda acc: F.concat(acc["out"], F.substr(body, acc["at"] + 1, F.length(body))))
-    return joined.select(*[keyed[c] for c in kept.columns], "pii", F.when(F.col(text).isNotNull(), made).alias("sanitised"))
+    return joined.select(*textkit.restored(names), "pii", F.when(F.col(at[text]).isNotNull(), made).alias("sanitised"))
