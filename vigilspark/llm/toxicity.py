@@ -10,13 +10,15 @@ one class suffice where classes are of a size); other n-grams, and words that
 have none with a vector, are out of the vocabulary and not averaged, so the
 ordinary words of a long text don't drown the few that matter.
 
-Training takes at most TRAIN_ROWS labelled rows of each class (those of the least
-hashes), which bounds what the driver holds; every document is scored, whole.
+Training takes at most TRAIN_ROWS labelled rows of each class, those of the least
+hashes, and of these as many whole texts as TRAIN_BYTES hold, which bounds what
+the driver holds; every document is scored, whole.
 For scoring, vectors and softmax fold into one number per n-gram bucket: a table
 of fixed size, looked up for all n-grams of a chunk of text at once.
 
-Cases.  Null and empty texts get the score of the bias alone.  Null labels don't
-train; with one class or none the score is that class's share (0 with none).
+Cases.  Null and empty texts get the score of the bias alone.  Null labels, and
+ids labelled both 0 and 1, don't train; of texts of one id the one of the least
+hash does; with one class or none the score is that class's share (0 with none).
 Repeated rows are scored each for itself.  Other columns pass through; those
 named like an output are replaced.
 """
@@ -34,6 +36,7 @@ from pyspark.sql import types as T
 from vigilspark.llm import textkit
 
 TRAIN_ROWS = 3000
+TRAIN_BYTES = 24 << 20
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
 DIM = 4
@@ -67,11 +70,11 @@ def word_grams(w: textkit.Words) -> tuple[np.ndarray, np.ndarray]:
     continue one) of the word with a space at either end."""
     data = _folded(w)
     heads = np.flatnonzero((data & 0xC0) != 0x80)  # where characters start, at offset 1 the first
-    code = textkit.mix(np.add.reduceat(data.astype(_U) * textkit.powers(len(data))[0][: len(data)] * textkit.powers(len(data))[1][np.repeat(heads, np.diff(np.append(heads, len(data))))], heads))
+    code = textkit.byte_hashes(data, heads, np.append(heads[1:], len(data)))
     first = np.searchsorted(heads, w.starts + 1) - 1
     last = np.searchsorted(heads, w.ends + 1) + 1
     length = last - first
-    space = textkit.mix(np.array([0x20], _U))[0]
+    space = code[0]
     counts = np.stack([np.maximum(length - n + 1, 0) for n in GRAMS])
     total = counts.sum(0)
     at = np.concatenate([[0], np.cumsum(total)])
@@ -155,7 +158,7 @@ def train(texts: list[str], labels: list[int], share: float, epochs: int = EPOCH
         buckets, n = word_grams(w)
         at = np.concatenate([[0], np.cumsum(n)])
         has = np.flatnonzero(_sums(known[buckets], at) > 0)
-        distinct, first, word = np.unique(w.hashes(textkit.FOLDED)[has], return_index=True, return_inverse=True)
+        distinct, first, word = np.unique(w.hashes(fold=True)[has], return_index=True, return_inverse=True)
         v = max(1, len(distinct))
         pair, times = np.unique((base + textkit.row_of(w.at)[has]) * v + word, return_counts=True)
         new = np.flatnonzero(~np.isin(distinct, seen))  # a word's n-grams are kept once
@@ -201,20 +204,32 @@ def train(texts: list[str], labels: list[int], share: float, epochs: int = EPOCH
     return Model(table, known, float(state[2][1] - state[2][0]))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows: int, text: str, doc_id: str, label: str) -> tuple[list[str], list[int], float]:
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int, text: str, doc_id: str, label: str, most_bytes: int = TRAIN_BYTES) -> tuple[list[str], list[int], float]:
     """Texts and labels of at most rows documents of each class outside the held-out fold, and the share of label 1."""
-    marked = labels.select(F.col(doc_id).alias("l_id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isNotNull() & F.col("l_id").isNotNull() & ~held_out(F.col("l_id")))
-    counts = {r.y: r.n for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect() if r.y in (0, 1)}
+    y = F.col(label).cast("int")
+    marked = labels.select(F.col(doc_id).alias("l_id"), y.alias("y")).filter(F.col("y").isin(0, 1) & F.col("l_id").isNotNull() & ~held_out(F.col("l_id")))
+    marked = marked.groupBy("l_id").agg(F.min("y").alias("y"), F.max("y").alias("other")).filter("y = other").drop("other")
+    counts = {r.y: r.n for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
     some = None
     for y in sorted(counts):
-        # 2^32 evenly spread hashes: below the limit there are about so many rows; the order and limit make the bound exact.
         picked = marked.filter(F.col("y") == y).withColumn("h", F.xxhash64("l_id")).orderBy("h", "l_id").limit(rows)
         some = picked if some is None else some.unionByName(picked)
     if some is None:
         return [], [], 0.0
-    ids = F.broadcast(some.select("l_id", "y"))  # 2 * rows rows at most
-    found = docs.select(F.col(doc_id).alias("d_id"), F.col(text).alias("t")).join(ids, F.col("d_id") == F.col("l_id")).select("d_id", "t", "y").dropDuplicates(["d_id"]).toArrow().sort_by("d_id")
-    return [t or "" for t in found["t"].to_pylist()], found["y"].to_pylist(), counts.get(1, 0) / max(1, sum(counts.values()))
+    ids = {r.l_id: (r.h, r.y) for r in some.collect()}  # 2 * rows rows at most
+    spark, kind = docs.sparkSession, marked.schema["l_id"].dataType.simpleString()
+    texts = docs.select(F.col(doc_id).alias("d_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    of = lambda wanted: texts.join(F.broadcast(spark.createDataFrame([(i,) for i in wanted], f"d_id {kind}")), "d_id")
+    # Of rows of one id, the text of the least hash trains.
+    one = F.struct(F.xxhash64("t").alias("h"), F.octet_length("t").alias("bytes"))
+    sizes = {r.d_id: r.one for r in of(ids).groupBy("d_id").agg(F.min(one).alias("one")).collect()}
+    taken, room = {}, most_bytes
+    for i in sorted(sizes, key=lambda i: (ids[i][0], i)):
+        if sizes[i].bytes <= room:
+            taken[i], room = sizes[i].h, room - sizes[i].bytes
+    found = {r.d_id: r.t for r in of(taken).groupBy("d_id").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t"))["t"].alias("t")).collect()} if taken else {}
+    order = sorted(found)
+    return [found[i] for i in order], [ids[i][1] for i in order], counts.get(1, 0) / max(1, sum(counts.values()))
 
 
 def held_out(doc_id):
