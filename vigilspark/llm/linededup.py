@@ -11,8 +11,8 @@ lost altogether.
 The first pass leaves 64-bit hashes of lines; a site and line count once per
 document.  The texts move once, to meet the lines that they lose.
 
-Cases.  Lines without words are never removed.  Null and empty texts stay as
-they are; a null site is a site.  A line whose documents all have null ids has
+Cases.  Lines without words are never removed.  A null text is an empty one, a
+single empty line; a null site is a site.  A line whose documents all have null ids has
 no keeper and goes.  Repeated rows are treated alike.  Other columns pass
 through; those named like an output are replaced.
 """
@@ -38,7 +38,7 @@ def line_hashes(w: textkit.Words) -> tuple[textkit.Lines, np.ndarray, np.ndarray
     """Lines, the ones with a word, and those lines' hashes."""
     lines = textkit.lines_of(w)
     worded = np.flatnonzero(lines.last > lines.first)
-    return lines, worded, textkit.span_hashes(w.hashes(textkit.FOLDED), lines.first[worded], lines.last[worded])
+    return lines, worded, textkit.span_hashes(w.hashes(fold=True), lines.first[worded], lines.last[worded])
 
 
 def _hashes(w: textkit.Words, _) -> list[pa.Array]:
@@ -46,38 +46,39 @@ def _hashes(w: textkit.Words, _) -> list[pa.Array]:
     return [textkit.lists(pa.array(h.view(np.int64)), np.searchsorted(worded, lines.at))]
 
 
-def spread(docs: DataFrame, min_sites: int, margin: float, text: str, site: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
-    """The line hashes of each row (a table), and the boilerplate lines with their keepers."""
-    named = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.concat(F.lit("s"), F.col(site)), F.lit("null")).alias("site"), F.col(text).alias("text"), textkit.row_key(text, doc_id).alias("row_key"))
+def spread(named: DataFrame, min_sites: int, margin: float) -> tuple[DataFrame, DataFrame, int]:
+    """(doc_id, row_key, site, text) rows: their line hashes (a table), the boilerplate lines with keepers, the number of lines."""
     hashed = settle(textkit.map_texts(named, "text", ["doc_id", "row_key", "site"], {"lines": T.ArrayType(T.LongType())}, _hashes), "lines")
+    total = hashed.agg(F.sum(F.size("lines"))).first()[0] or 0
     each = hashed.select("doc_id", "row_key", "site", F.explode(F.array_distinct("lines")).alias("line"))
     # A line of fewer rows than min_sites cannot be on so many sites: it needs no sketch.
     rows = each.groupBy("line").agg(F.count("*").alias("rows"), F.min("doc_id").alias("keeper")).filter(F.col("rows") >= min_sites * (1 - margin))
-    rows = settle(rows.select("line", "keeper"), "frequent")
-    some = each.join(rows, "line", "left_semi").select("line", "site")
+    rows = settle(rows, "frequent")
+    some = textkit.meet(each, rows, "line", "rows", total).select("line", "site")
     sketched = some.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"))
-    guess = sketched.select("line", F.hll_sketch_estimate("sketch").alias("sites"))
+    guess = sketched.select("line", F.hll_sketch_estimate("sketch").alias("sites")).join(rows, "line")
     guess = settle(guess.filter(F.col("sites") >= min_sites * (1 - margin)), "guess")
-    near = guess.filter(F.col("sites") <= min_sites * (1 + margin)).select("line")
-    exact = some.join(near, "line", "left_semi").groupBy("line").agg(F.count_distinct("site").alias("sites"))
-    sure = guess.filter(F.col("sites") > min_sites * (1 + margin)).select("line")
-    found = sure.unionByName(exact.filter(F.col("sites") >= min_sites).select("line"))
-    return hashed, settle(found.join(rows, "line"), "boilerplate")
+    near = guess.filter(F.col("sites") <= min_sites * (1 + margin))
+    exact = textkit.meet(each.select("line", "site"), near.select("line", "rows"), "line", "rows", total).groupBy("line").agg(F.count_distinct("site").alias("exact"))
+    sure = guess.filter(F.col("sites") > min_sites * (1 + margin)).select("line", "keeper", "rows")
+    found = sure.unionByName(near.join(exact.filter(F.col("exact") >= min_sites), "line").select("line", "keeper", "rows"))
+    return hashed, settle(found, "boilerplate"), total
 
 
 def dedup(docs: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN, text: str = "text", site: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """docs with n_lines, n_removed, kept_text and kept_words."""
-    hashed, found = spread(docs, min_sites, margin, text, site, doc_id)
+    names = [c for c in docs.columns if c == text or c not in ADDED]
+    rows = textkit.numbered(docs.select(*names))
+    at = {c: f"in{i}" for i, c in enumerate(names)}
+    keyed = rows.withColumn("key", textkit.row_key(at[text], at[doc_id]))
+    named = keyed.select(F.col(at[doc_id]).alias("doc_id"), F.coalesce(F.concat(F.lit("s"), F.col(at[site]).cast("string")), F.lit("null")).alias("site"), F.col(at[text]).alias("text"), F.col("key").alias("row_key"))
+    hashed, found, total = spread(named, min_sites, margin)
     each = hashed.select("doc_id", "row_key", F.explode("lines").alias("line"))
-    lost = each.join(found, "line").groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("line", (F.col("keeper") == F.col("doc_id")).alias("keeps"))).alias("lost"))
-    lost = lost.select(F.col("doc_id").alias("lost_id"), F.col("row_key").alias("lost_key"), F.transform("lost", lambda x: x["line"]).alias("lost_lines"), F.transform(F.filter("lost", lambda x: x["keeps"]), lambda x: x["line"]).alias("kept_lines"))
-    kept = docs.drop(*ADDED)
-    key, a, b = (textkit.free_name(kept, n) for n in ("row_key", "lost_lines", "kept_lines"))
-    keyed = kept.withColumn(key, textkit.row_key(text, doc_id))
-    joined = keyed.join(lost, keyed[doc_id].eqNullSafe(lost["lost_id"]) & (keyed[key] == lost["lost_key"]), "left")
-    joined = joined.select(*[keyed[c] for c in kept.columns], F.col("lost_lines").alias(a), F.col("kept_lines").alias(b))
-    cleaned = textkit.map_texts(joined, text, [*kept.columns, a, b], ADDED, lambda w, part: _cut(w, part.column(a), part.column(b)))
-    return cleaned.drop(a, b)
+    lost = textkit.meet(each, found, "line", "rows", total).groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("line", (F.col("keeper") == F.col("doc_id")).alias("keeps"))).alias("lost"))
+    lost = lost.select("doc_id", "row_key", F.transform("lost", lambda x: x["line"]).alias("lost_lines"), F.transform(F.filter("lost", lambda x: x["keeps"]), lambda x: x["line"]).alias("kept_lines"))
+    joined = keyed.join(lost, F.col(at[doc_id]).eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("row_key")), "left").select(*rows.columns, "lost_lines", "kept_lines")
+    cleaned = textkit.map_texts(joined, at[text], joined.columns, ADDED, lambda w, part: cut(w, part.column("lost_lines"), part.column("kept_lines")))
+    return cleaned.select(*textkit.restored(names), *ADDED)
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +88,7 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(column)), counts), items
 
 
-def _cut(w: textkit.Words, lost: pa.Array, own: pa.Array) -> list[pa.Array]:
+def cut(w: textkit.Words, lost: pa.Array, own: pa.Array) -> list[pa.Array]:
     lines, worded, h = line_hashes(w)
     row = textkit.row_of(lines.at)
     of_row = lambda hashes, rows: textkit.mix(hashes + rows.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
