@@ -14,11 +14,12 @@ a batch.  It counts the links of its homes and passes on a spanning forest of
 them, not the pairs.  Distances are screened in single precision with a margin
 that covers its error and confirmed in double precision.
 
-There are at most MAX_PIVOTS pivots, those of the least hashes, which bounds what
-is broadcast.
+Vectors of a length have cells of their own.  Lengths of more than CELL vectors
+have pivots, those of the least hashes, MAX_PIVOTS in all, which bounds what is
+broadcast; each other length is one cell.
 
-Cases.  Null, empty or zero vectors, those with null or non-finite components,
-and those whose length isn't the commonest one link with nothing.  Rows that
+Cases.  Null, empty or zero vectors and those with null or non-finite components
+link with nothing, and vectors of different lengths not with each other.  Rows that
 agree in everything are rows of their own and link with each other.  A null id
 takes part but names no component while another does.  Other columns pass
 through; those named like an output are replaced.
@@ -33,8 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigilspark.llm import textkit
 from vigilspark.llm.components import components
-from vigilspark.llm.store import settle
+from vigilspark.llm.store import discard, settle
 
 CELL = 4096
 BLOCK = 2048
@@ -67,21 +69,28 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def _cells(pivots: np.ndarray, radius: float):
-    apart = np.sqrt(np.maximum(((pivots[:, None] - pivots[None]) ** 2).sum(-1), 0))
+def _cells(pivots: dict[int, np.ndarray], radius: float):
+    apart = {d: np.sqrt(np.maximum(((p[:, None] - p[None]) ** 2).sum(-1), 0)) for d, p in pivots.items()}
+
+    def of_length(batch: pa.RecordBatch, d: int) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+        if d not in pivots:
+            return batch, np.zeros(batch.num_rows, np.int64), np.ones(batch.num_rows, bool)
+        near = _unit(batch.column("v")) @ pivots[d].T
+        home = near.argmax(1)
+        gap = near[np.arange(len(home)), home][:, None] - near
+        visits = gap <= radius * apart[d][home] + 1e-9
+        visits[np.arange(len(home)), home] = True
+        row, cell = np.nonzero(visits)
+        return batch.take(pa.array(row)), cell, home[row] == cell
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                near = _unit(batch.column("v")) @ pivots.T
-                home = near.argmax(1)
-                gap = near[np.arange(len(home)), home][:, None] - near
-                visits = gap <= radius * apart[home] + 1e-9
-                visits[np.arange(len(home)), home] = True
-                row, cell = np.nonzero(visits)
-                part = batch.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(home[row] == cell), part.column("rid"), part.column("v")], names=["cell", "home", "rid", "v"])
+                length = batch.column("d").to_numpy()
+                for d in np.unique(length).tolist():
+                    part, cell, home = of_length(batch.filter(pa.array(length == d)), d)
+                    yield pa.RecordBatch.from_arrays([part.column("d"), pa.array(cell, pa.int64()), pa.array(home, pa.bool_()), part.column("rid"), part.column("v")], names=["d", "cell", "home", "rid", "v"])
 
     return run
 
@@ -98,15 +107,15 @@ def _join(threshold: float):
         for batch in it:
             if not batch.num_rows:
                 continue
-            key = np.stack([batch.column("cell").to_numpy(), batch.column("block").to_numpy(), batch.column("visitor").to_numpy()], 1)
+            key = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("d", "cell", "block", "visitor")], 1)
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1), len(key)]
             for first, last in zip(cuts[:-1], cuts[1:]):
-                k, part = tuple(key[first][:2]), batch.slice(first, last - first)
+                k, part = tuple(key[first][:3]), batch.slice(first, last - first)
                 if k != now:
                     yield from flush()
                     now, ids, homes, counts = k, [], [], None
                 rid, v = part.column("rid").to_numpy(), _unit(part.column("v"))
-                if not key[first][2]:
+                if not key[first][3]:
                     ids.append(rid)
                     homes.append(v)
                     continue
@@ -134,32 +143,36 @@ def _join(threshold: float):
 def cluster(vectors: DataFrame, threshold: float = 0.9, vector: str = "embedding", vec_id: str = "vec_id", cell: int = CELL, block: int = BLOCK) -> DataFrame:
     """vectors with n_links, component_id and kept."""
     spark = vectors.sparkSession
-    kept = vectors.drop(*ADDED)
-    held = settle(kept.withColumn("rid_", F.monotonically_increasing_id()), "vectors")
-    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
+    names = [c for c in vectors.columns if c in (vector, vec_id) or c not in ADDED]
+    rows = textkit.numbered(vectors.select(*names))
+    v, own_id = F.col(f"in{names.index(vector)}"), F.col(f"in{names.index(vec_id)}")
+    # The rows' own numbers are settled with the table.
+    held = settle(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     # As doubles, a single-precision component keeps its value.
-    good = held.filter(F.col(vector).isNotNull() & finite).select(F.col("rid_").alias("rid"), F.col(vector).alias("v"))
-    lengths = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    if lengths:
-        good, n = good.filter(F.size("v") == lengths[0].d), lengths[0].n
-        wanted = max(1, min(MAX_PIVOTS, -(-n // cell)))
-        picked = good.select("v", F.xxhash64("v").alias("h")).dropDuplicates(["h"]).orderBy("h").limit(wanted).toArrow()
-        pivots = _unit(picked["v"].combine_chunks() if isinstance(picked["v"].combine_chunks(), pa.Array) else picked["v"].combine_chunks().chunk(0))
-        placed = settle(good.mapInArrow(_cells(pivots, float(np.sqrt(2 - 2 * threshold))), good.select(F.lit(0).cast("long").alias("cell"), F.lit(True).alias("home"), "rid", "v").schema), "cells")
-        sizes = placed.filter("home").groupBy("cell").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))  # MAX_PIVOTS rows at most
-        met = placed.join(F.broadcast(sizes), "cell")
-        own = F.pmod(F.xxhash64("rid"), F.col("blocks"))
-        homes = met.filter("home").select("cell", own.alias("block"), F.lit(0).cast("long").alias("visitor"), "rid", "v")
-        others = met.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).cast("long").alias("visitor"), "rid", "v")
-        dealt = homes.unionByName(others).repartition("cell", "block").sortWithinPartitions("cell", "block", "visitor")
-        found = settle(dealt.mapInArrow(_join(threshold), "a long, b long, n long"), "vector-links")
-    else:
-        found = spark.createDataFrame([], "a long, b long, n long")
-    counts = found.filter("n is not null").groupBy(F.col("a").alias("c_id")).agg(F.sum("n").alias("n"))
-    parts = components(found.filter("n is null").select("a", "b"))
-    ids = parts.join(held.select(F.col("rid_").alias("node"), F.col(vec_id).alias("own")), "node")
-    least = ids.groupBy("root").agg(F.min("own").alias("least"))
-    named = parts.join(least, "root").select(F.col("node").alias("m_id"), "least")
-    joined = held.join(counts, F.col("rid_") == F.col("c_id"), "left").join(named, F.col("rid_") == F.col("m_id"), "left")
-    component = F.coalesce("least", vec_id)
-    return joined.select(*kept.columns, F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col(vec_id).eqNullSafe(component).alias("kept"))
+    good = held.filter(v.isNotNull() & finite).select(F.size(v).cast("long").alias("d"), F.col("row").alias("rid"), v.alias("v"))
+    # Only lengths with pivots come to the driver, and only MAX_PIVOTS of them.
+    lengths = good.groupBy("d").agg(F.count("*").alias("n")).filter(F.col("n") > cell).orderBy(F.desc("n"), "d").limit(MAX_PIVOTS).collect()
+    wanted = {r.d: -(-r.n // cell) for r in lengths}
+    pivots = {}
+    for d, n in wanted.items():
+        n = min(n, max(1, MAX_PIVOTS * n // sum(wanted.values())))
+        picked = good.filter(F.col("d") == d).select("v", F.xxhash64("v").alias("h")).dropDuplicates(["h"]).orderBy("h").limit(n).toArrow()["v"].combine_chunks()
+        pivots[d] = _unit(picked.chunk(0) if isinstance(picked, pa.ChunkedArray) else picked)
+    placed = settle(good.mapInArrow(_cells(pivots, float(np.sqrt(2 - 2 * threshold))), good.select("d", F.lit(0).cast("long").alias("cell"), F.lit(True).alias("home"), "rid", "v").schema), "cells")
+    sizes = settle(placed.groupBy("d", "cell").agg(F.ceil(F.count_if("home") / block).cast("long").alias("blocks"), F.count("*").alias("members")), "sizes")
+    met = textkit.meet(placed, sizes, ["d", "cell"], "members", sizes.agg(F.sum("members")).first()[0] or 0)
+    own = F.pmod(F.xxhash64("rid"), F.col("blocks"))
+    homes = met.filter("home").select("d", "cell", own.alias("block"), F.lit(0).cast("long").alias("visitor"), "rid", "v")
+    others = met.select("d", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).cast("long").alias("visitor"), "rid", "v")
+    dealt = homes.unionByName(others).repartition("d", "cell", "block").sortWithinPartitions("d", "cell", "block", "visitor")
+    found = settle(dealt.mapInArrow(_join(threshold), "a long, b long, n long"), "vector-links")
+    discard(placed, sizes)
+    counts = found.filter("n is not null").groupBy(F.col("a").alias("counted")).agg(F.sum("n").alias("n"))
+    parts = settle(components(found.filter("n is null").select("a", "b")), "parts")
+    ids = parts.join(held.select(F.col("row").alias("node"), own_id.alias("own")), "node")
+    least = settle(ids.groupBy("root").agg(F.min("own").alias("least"), F.count("*").alias("nodes")), "least")
+    named = textkit.meet(parts, least, "root", "nodes", parts.count()).select(F.col("node").alias("member"), "least")
+    joined = held.join(counts, F.col("row") == F.col("counted"), "left").join(named, F.col("row") == F.col("member"), "left")
+    component = F.coalesce(F.col("least"), own_id)
+    return joined.select(*textkit.restored(names), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), own_id.eqNullSafe(component).alias("kept"))
