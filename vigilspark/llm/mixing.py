@@ -14,6 +14,9 @@ next level until a source has one.  A source that holds
 most of the rows is many blocks.  Random numbers come from the seed, the source,
 the level and the block, so reruns agree.
 
+Sources are a table throughout, however many there are; the driver holds the unit
+of weight and counts of its rounds.
+
 Cases.  Null texts have size 0; a null source is a source, the last one.  A
 source without words has target 0 and takes nothing.  Rows that agree in id,
 source and text are rounded as one and share the outcome.  An empty table gives an empty
@@ -40,7 +43,7 @@ ADDED = ("size", "source_size", "target", "copies", "taken")
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], share: float, cap: float) -> list[float]:
-    """Words due to each source: share of all words by weight, none above cap times its size."""
+    """due() for a list of sources in memory: share of all words by weight, none above cap times its size."""
     total, out, open_ = share * sum(sizes), [0.0] * len(sizes), [i for i, n in enumerate(sizes) if n > 0]
     while open_:
         unit = max(0.0, total - sum(out)) / sum(weights[i] for i in open_)
@@ -91,22 +94,54 @@ def _rounded(seed: int, level: int):
     return run
 
 
+def ranked(sources: DataFrame) -> DataFrame:
+    """A table of sources with rank: their place by code point, null last.  Ranges are sorted apart; only their sizes come to the driver."""
+    order = [F.col("source").isNull(), F.col("source")]
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = settle(sources.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()), "sources")
+    part = F.shiftright("place", 33)
+    sizes = dict(sorted((r.part, r.n) for r in sorted_.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()))
+    starts, at = [], 0
+    for p, n in sizes.items():
+        starts.append((p, at))
+        at += n
+    starts = sources.sparkSession.createDataFrame(starts, "part long, start long")  # a row for each partition
+    return sorted_.withColumn("part", part.cast("long")).join(F.broadcast(starts), "part").withColumn("rank", F.col("start") + F.col("place").bitwiseAND((1 << 33) - 1)).drop("part", "start", "place")
+
+
+def due(sources: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
+    """Ranked sources (n: words) with target.  Each round counts, over all sources, what those at their cap leave to the
+    others; the unit only grows, so the rounds end with the first that adds none.  Sums are of integers, so reruns agree."""
+    k = (F.col("rank") % len(weights)).cast("int")
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), k)
+    unit, capped = 0.0, -1
+    while True:
+        full = F.lit(unit) * weight > cap * F.col("n")
+        seen = sources.filter("n > 0").groupBy(k.alias("k")).agg(F.count_if(~full).alias("open"), F.count_if(full).alias("full"), F.sum("n").alias("n"), F.sum(F.when(full, F.col("n")).otherwise(0)).alias("full_n")).collect()
+        total, open_ = sum(r.n for r in seen), sum(weights[r.k] * r.open for r in sorted(seen, key=lambda r: r.k))
+        if sum(r.full for r in seen) == capped or not open_:
+            break
+        capped, unit = sum(r.full for r in seen), max(0.0, share * total - cap * sum(r.full_n for r in seen)) / open_
+    target = F.when(F.col("n") <= 0, 0.0).when(F.lit(unit) * weight > cap * F.col("n"), cap * F.col("n")).otherwise(unit * weight)
+    return sources.withColumn("target", target)
+
+
 def plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 42, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """One row for each document that differs in id, source or text: doc_id, row_key, rows, size, source_size, target, copies."""
-    spark = docs.sparkSession
-    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"), textkit.row_key(text, doc_id, source).alias("row_key"))
+    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"), textkit.row_key(text, doc_id, source).alias("row_key"))
     counted = textkit.map_texts(named, "text", ["doc_id", "source", "row_key"], {"size": T.LongType()}, lambda w, _: [pa.array(w.counts, pa.int64())])
-    units = settle(counted.groupBy("doc_id", "source", "row_key", "size").agg(F.count("*").alias("rows")), "sizes")
-    # One row a source: the number of sources is the only thing that the driver holds.
-    known = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("n"), F.count("*").alias("units")).orderBy(F.col("source").asc_nulls_last()).collect()
-    due = targets([r.n for r in known], [float(weights[i % len(weights)]) for i in range(len(known))], share, cap)
-    rates = spark.createDataFrame([(i, r.source, r.n, t, t / r.n if r.n else 0.0, max(1, -(-r.units // BLOCK))) for i, (r, t) in enumerate(zip(known, due))], "source_no long, source string, source_size long, target double, rate double, blocks long")
-    u, r = units.alias("u"), rates.alias("r")
-    due_units = u.join(r, F.col("u.source").eqNullSafe(F.col("r.source"))).select("doc_id", "row_key", "rows", "size", "source_no", "source_size", "target", F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p"), F.pmod(F.xxhash64("doc_id", "row_key", F.lit(seed)), F.col("blocks")).alias("block"), (F.col("size") * F.col("rows")).alias("words"))
+    site = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null")).alias("site")
+    units = settle(counted.groupBy("doc_id", "source", "row_key", "size").agg(F.count("*").alias("rows")).select("*", site), "sizes")
+    known = ranked(units.groupBy("source", "site").agg(F.sum(F.col("size") * F.col("rows")).alias("n"), F.count("*").alias("units")))
+    rate = F.when(F.col("n") > 0, F.col("target") / F.col("n")).otherwise(0.0)
+    rates = due(settle(known, "ranked"), weights, share, cap)
+    rates = settle(rates.select("site", F.col("rank").alias("source_no"), F.col("n").alias("source_size"), "target", rate.alias("rate"), F.greatest(F.lit(1), F.ceil(F.col("units") / BLOCK)).cast("long").alias("blocks"), "units"), "rates")
+    most, n_units = rates.agg(F.max("blocks"), F.sum("units")).first()
+    due_units = textkit.meet(units, rates, "site", "units", n_units or 0).select("doc_id", "row_key", "rows", "size", "source_no", "source_size", "target", F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p"), F.pmod(F.xxhash64("doc_id", "row_key", F.lit(seed)), F.col("blocks")).alias("block"), (F.col("size") * F.col("rows")).alias("words"))
     rounded = settle(due_units.groupBy("source_no", "block").applyInArrow(_rounded(seed, 0), due_units.schema), "rounded")
 
     open_ = rounded.filter((F.col("p") > 0) & (F.col("p") < 1)).select("doc_id", "row_key", "words", "source_no", "block", "p")
-    blocks, level, decided = max([1, *(-(-k.units // BLOCK) for k in known)]), 0, []
+    blocks, level, decided = most or 1, 0, []
     while blocks > 1:
         level, blocks = level + 1, -(-blocks // FAN_IN)
         met = open_.withColumn("block", F.floor(F.col("block") / FAN_IN))
@@ -123,17 +158,20 @@ def plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **settings) -> DataFrame:
     """docs with size, source_size, target, copies (times that the mix holds the row) and taken (size times copies)."""
-    planned = plan(docs, text=text, source=source, doc_id=doc_id, **settings).select(F.col("doc_id").alias("mix_id"), F.col("row_key").alias("mix_key"), *ADDED[:4])
-    kept = docs.drop(*ADDED)
-    keyed = kept.withColumn(k := textkit.free_name(kept, "row_key"), textkit.row_key(text, doc_id, source))
-    joined = keyed.join(planned, keyed[doc_id].eqNullSafe(planned["mix_id"]) & (keyed[k] == planned["mix_key"]))
-    return joined.select(*[keyed[c] for c in kept.columns], *ADDED[:4], (F.col("size") * F.col("copies")).alias("taken"))
+    planned = plan(docs, text=text, source=source, doc_id=doc_id, **settings)
+    names = [c for c in docs.columns if c in (text, source, doc_id) or c not in ADDED]
+    at = {c: f"in{i}" for i, c in enumerate(names)}
+    rows = textkit.numbered(docs.select(*names)).withColumn("key", textkit.row_key(at[text], at[doc_id], at[source]))
+    joined = rows.join(planned, F.col(at[doc_id]).eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("row_key")))
+    added = [F.col(c) for c in ("size", "source_size", "target", "copies")]
+    return joined.select(*textkit.restored(names), *added, (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def draw(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: each row of docs as many times as it has copies, with the columns of docs."""
-    mixed = mix(docs, **settings)
-    return mixed.filter("copies > 0").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    mixed = mix(docs.toDF(*[f"{c}_" if c in ADDED else c for c in docs.columns]), **settings)
+    drawn = mixed.filter("copies > 0").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return drawn.select(*[F.col(f"{c}_" if c in ADDED else c).alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame, **settings) -> DataFrame:
