@@ -111,10 +111,10 @@ class Codec:
         return b"".join([self.token_of[i] for i in ids.split(",")]) if ids else b""
 
 
-_codecs: dict[tuple[str, int], Codec] = {}
+_codecs: dict[tuple[str, int, str], Codec] = {}
 
 
-def _codec(shared: Broadcast, key: tuple[str, int]) -> Codec:
+def _codec(shared: Broadcast, key: tuple[str, int, str]) -> Codec:
     if key not in _codecs:
         _codecs.clear()
         ranks, model, pattern = shared.value
@@ -130,7 +130,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, text: str = "text") ->
     spark: SparkSession = docs.sparkSession
     ranks = read_ranks(rank_path)
     shared = spark.sparkContext.broadcast((ranks, serialise_model(ranks), pattern))
-    key = (rank_path, len(ranks))
+    key = (rank_path, len(ranks), pattern)
     added = {"ids": T.StringType(), "n_tokens": T.LongType(), "decoded": T.BinaryType()}
     kept = docs.drop(*added)
     at = kept.columns.index(text)
