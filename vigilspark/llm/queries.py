@@ -98,6 +98,32 @@ gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + {substrings.WINDOW})) A
 w AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM d),
 k AS (SELECT w.doc_id, count(*) FILTER (g.pos IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY w.pos) FILTER (g.pos IS NULL) AS kept FROM w LEFT JOIN gone g USING (doc_id, pos) GROUP BY w.doc_id)
 SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+    "op3_minhash_neardup": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^ \t\n\x0B\f\r]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, sha256(array_to_string(w[i:i + 3], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS inter FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+half AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * inter >= 80 * (x.n + y.n - inter)),
+links AS MATERIALIZED (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+part AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM part LEFT JOIN n USING (doc_id)""",
+    "op4_quality_rules": rf"""
+WITH d AS (SELECT doc_id, coalesce('s' || source, 'null') AS site, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS w FROM documents),
+p AS (SELECT doc_id, pos, array_to_string(w[pos:pos + 4], ' ') AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS pos FROM d WHERE len(w) >= 5)),
+again AS (SELECT doc_id, pos FROM p QUALIFY count(*) OVER (PARTITION BY doc_id, h) > 1),
+repeated AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(pos, pos + 5)) AS place FROM again) GROUP BY doc_id),
+l AS (SELECT doc_id, site, line, {_LINE} AS norm FROM (SELECT doc_id, site, unnest(string_split(text, chr(10))) AS line FROM d)),
+worded AS (SELECT *, length(norm) - length(replace(norm, ' ', '')) + 1 AS n FROM l WHERE norm <> ''),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM worded GROUP BY doc_id),
+often AS (SELECT site, norm FROM worded GROUP BY site, norm HAVING count(DISTINCT doc_id) > {quality.LINE_DOCS}),
+lost AS (SELECT doc_id, sum(n) AS n FROM worded SEMI JOIN often USING (site, norm) GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+    (len(w) - coalesce(lost.n, 0))::BIGINT AS left_words
+  FROM d LEFT JOIN repeated r USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN lost USING (doc_id))
+SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed, NOT base_failed AND left_words >= {quality.KEPT_SHARE}::DOUBLE * n_words AS kept FROM m""",
     "op5_url_filters": f"""
 WITH parsed AS (
   SELECT page_id,
@@ -112,8 +138,8 @@ SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 FROM parsed p LEFT JOIN (SELECT * FROM fits WHERE k = 1) f USING (page_id)""",
     "op8_line_dedup": f"""
 WITH l AS (
-  SELECT doc_id, coalesce('s' || source, 'null') AS site, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos
-  FROM documents WHERE text IS NOT NULL),
+  SELECT doc_id, coalesce('s' || source, 'null') AS site, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
+  FROM documents),
 n AS (SELECT doc_id, site, pos, line, {_LINE} AS norm FROM l),
 found AS (SELECT norm, min(doc_id) AS keeper FROM n WHERE norm <> '' GROUP BY norm HAVING count(DISTINCT site) >= {linededup.MIN_SITES}),
 marked AS (
