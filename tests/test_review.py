@@ -68,9 +68,15 @@ def test_secrets_baseline_and_score(spark):
     assert (scored.files, scored.critical, scored.high, scored.value, scored.rating) == (4, 1, 2, 6.0, "high")
     known = spark.createDataFrame([("secret.scan.generic", "a.py", 4)], "rule string, path string, line int")
     assert findings.without_baseline(found, known).count() == 2
-    zoned = findings.shift_by_zone(found, [("low", ("a.*",), -2), ("all", ("**",), 1)])
-    assert sorted((r.path, r.line, r.zone, r.severity) for r in zoned.collect()) == [("a.py", 2, "low", "medium"), ("a.py", 4, "low", "low"), ("b/.env", 1, "all", "critical")]
-    assert findings.at_least(zoned, "medium").count() == 2
+    zoned = findings.zoned(found, restricted=("a.*", "b/**"), critical=("b/.env",), fail_on="high")
+    assert sorted((r.path, r.line, r.zone, r.base_severity, r.severity, r.effective_fail_on) for r in zoned.collect()) == [("a.py", 2, "restricted", "critical", "critical", "medium"), ("a.py", 4, "restricted", "high", "critical", "medium"), ("b/.env", 1, "critical", "high", "critical", "low")]
+    assert findings.at_least(found, "critical").count() == 1
+    assert secrets.scan(files, allow_values=("",)).count() == 3 and secrets.scan(files, allow_regexes=(r"^AKIA.*P$",), severity="critical").count() == 0
+
+
+def test_scores_round_as_they_stand(spark):
+    row = lambda files, low: spark.createDataFrame([(files, low, low, 0, 0, 0)], "files long, findings long, low long, medium long, high long, critical long")
+    assert [(findings.score(row(n, k)).first().value, findings.score(row(n, k)).first().rating) for n, k in ((200, 201), (3, 2), (0, 0), (2, 3))] == [(1.0, "low"), (0.67, "low"), (0.0, "none"), (1.5, "low")]
 
 
 @pytest.mark.parametrize(("pattern", "value", "fits"), [("src/**/*.go", "src/a.go", True), ("src/**/*.go", "src/x/y/a.go", True), ("src/*.go", "src/x/a.go", False), ("a?c", "abc", True), ("[ab].go", "b.go", True), ("**/p", "p", True), ("a.b", "axb", False)])
@@ -129,7 +135,9 @@ def test_analyzers(spark):
     assert flows == {("semantic.traversal.flow", 5), ("semantic.traversal.flow", 6), ("semantic.command.flow", 12)}
     assert {r.rule_id for r in analyzers.signals(lines).collect()} == {"supply.version.floating", "supply.typosquat"}
     assert [r.rule_id for r in analyzers.branches(lines).collect()] == ["branch.guard.regression"]
-    assert analyzers.tainted_lines(["b = req.body", "c = b", "b = authorize(b)", "use(c)", "z"], set()) == [True, True, False, True, False]
+    texts = ["b = req.body", "c = b", "b = authorize(b)", "use(c)", "z"]
+    one = spark.createDataFrame([([(t,) for t in texts],)], "added array<struct<text:string>>").select(analyzers.tainted_uses(F.col("added"), F.array().cast("array<string>")).alias("uses"))
+    assert one.first().uses == [True, True, False, True, False]
 
 
 def test_every_order_is_a_diff(spark, tmp_path):

@@ -35,13 +35,22 @@ def mask_tokens(line: Column) -> Column:
     return F.regexp_replace(line, r"([A-Za-z0-9_\-./+=]{4})[A-Za-z0-9_\-./+=]{4,}([A-Za-z0-9_\-./+=]{4})", "$1****$2")
 
 
+# What counts as white space at the ends of a text.
+BLANK = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def trim_space(value: Column) -> Column:
+    """value without Unicode white space at its ends."""
+    return F.regexp_replace(value, rf"^{BLANK}+|{BLANK}+\z", "")
+
+
 def identity(*parts: Column) -> Column:
     """16 hexadecimal digits that name a finding."""
     return F.substring(F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256), 1, 16)
 
 
 def glob_regex(pattern: str) -> str:
-    """A path glob as a regular expression: ** crosses folders, * and ? stay within one; [..] only without **."""
+    """A path glob as a regular expression: ** crosses folders, * and ? stay within one; [..] only without **, and a set may be negated by ^."""
     pattern = pattern.strip().replace("\\", "/")
     out, i, sets = [], 0, "**" not in pattern
     while i < len(pattern):

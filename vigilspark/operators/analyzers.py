@@ -7,13 +7,10 @@ severity, confidence, path, line, side, snippet; the first of equal ids stays.""
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType
 
 from vigilspark.functions import text as T
 from vigilspark.operators.rules import HUNK
@@ -69,28 +66,23 @@ def _first(found: DataFrame) -> DataFrame:
     return found.groupBy("diff_id", "id").agg(F.min_by(F.struct(*rest), F.struct("file_ix", "hunk_ix", "line_ix", "rule_id")).alias("f")).select("diff_id", "id", "f.*")
 
 
-_source, _assign = re.compile(SOURCE, re.ASCII), re.compile(ASSIGN, re.ASCII)
+def tainted_uses(added: Column, known: Column) -> Column:
+    """For each added line (text), whether it uses a tainted name: one known in the hunk, or one that an earlier line, or itself, taints and no guard has cleaned.
 
+    The names that are tainted so far are the state of an aggregation over the lines in order."""
+    kind = "struct<live:array<string>,uses:array<boolean>>"
 
-def tainted_lines(texts: list[str], known: set[str]) -> list[bool]:
-    """Whether each added line uses a tainted name: one known in the hunk, or one that an earlier line, or itself, taints and no guard has cleaned."""
-    live, uses = set(), []
-    for text in texts:
-        low, found = text.lower(), _assign.search(text)
-        if found:
-            name, right = found[1].lower(), found[3].lower()
-            if any(g in right for g in GUARDS):
-                live.discard(name)
-            elif _source.search(right) or any(v in right for v in live):
-                live.add(name)
-        names = known or live
-        uses.append(any(v in low for v in known) or any(v in low for v in live) if names else bool(_source.search(text)))
-    return uses
+    def step(state: Column, line: Column) -> Column:
+        text, live = line["text"], state["live"]
+        low, name = F.lower(text), F.lower(F.regexp_extract(text, T.re2(ASSIGN), 1))
+        right = F.lower(F.regexp_extract(text, T.re2(ASSIGN), 3))
+        dirty = right.rlike(T.re2(SOURCE)) | F.exists(live, lambda v: F.contains(right, v))
+        now = F.when(name == "", live).when(_has(right, *GUARDS), F.array_remove(live, name)).when(dirty, F.array_union(live, F.array(name))).otherwise(live)
+        within = lambda names: F.exists(names, lambda v: F.contains(low, v))
+        return F.transform(F.array(now), lambda n: F.struct(n.alias("live"), F.array_append(state["uses"], F.when((F.size(known) > 0) | (F.size(n) > 0), within(known) | within(n)).otherwise(text.rlike(T.re2(SOURCE)))).alias("uses")))[0]
 
-
-@F.pandas_udf(ArrayType(BooleanType()))
-def _uses(texts: pd.Series, known: pd.Series) -> pd.Series:
-    return pd.Series([tainted_lines(list(t), set(k)) for t, k in zip(texts, known)])
+    start = F.struct(F.array().cast("array<string>").alias("live"), F.array().cast("array<boolean>").alias("uses")).cast(kind)
+    return F.aggregate(added, start, step, lambda state: state["uses"])
 
 
 def flows(lines: DataFrame) -> DataFrame:
@@ -100,7 +92,7 @@ def flows(lines: DataFrame) -> DataFrame:
     names = F.array_distinct(F.transform(F.regexp_extract_all("hunk_text", F.lit(T.re2(SOURCE_ASSIGN)), F.lit(1)), F.lower))
     read = hunks.withColumns({"names": names, "guarded": _has(low, *GUARDS)})
     in_hunk = F.when(F.size("names") > 0, F.exists("names", lambda v: F.contains(low, v))).otherwise(F.col("hunk_text").rlike(T.re2(SOURCE)))
-    read = read.withColumns({"uses": _uses(F.transform("added", lambda x: x["text"]), F.col("names")), "in_hunk": in_hunk})
+    read = read.withColumns({"uses": tainted_uses(F.col("added"), F.col("names")), "in_hunk": in_hunk})
     each = read.select(*HUNK, "path", "guarded", "in_hunk", F.explode(F.arrays_zip("added", "uses")).alias("z")).select(*HUNK, "path", "guarded", "in_hunk", "z.added.*", F.col("z.uses").alias("used"))
     line, open_use = F.col("text"), F.col("used") & ~F.col("guarded")
     hit = lambda p: line.rlike(T.re2(p))
@@ -112,35 +104,44 @@ def flows(lines: DataFrame) -> DataFrame:
     found = F.filter(F.array(*[F.when(test, F.struct(F.lit(r).alias("rule_id"), F.lit(c).alias("category"), F.lit(s).alias("severity"))) for r, c, s, test in tests]), lambda x: x.isNotNull())
     rows = each.withColumn("r", F.explode(found)).select(*HUNK, "line_ix", "path", "text", F.col("number").alias("line"), "r.*")
     # The id has no line number: a text that repeats in a file is one finding.
-    return _first(rows.withColumns({"id": T.identity(F.col("rule_id"), F.col("path"), F.col("text")), "confidence": F.lit("medium"), "side": F.lit("added"), "snippet": F.trim("text")}))
+    return _first(rows.withColumns({"id": T.identity(F.col("rule_id"), F.col("path"), F.col("text")), "confidence": F.lit("medium"), "side": F.lit("added"), "snippet": T.trim_space(F.col("text"))}))
 
 
 def _near_miss(token: Column) -> Column:
     """Whether a token is one edit away from a popular name, sought in order; the name itself ends the search."""
-    low = F.regexp_replace(F.lower(F.trim(token)), "^[\"']+|[\"']+$", "")
+    low = F.regexp_replace(F.lower(T.trim_space(token)), "^[\"']+|[\"']+$", "")
     parts = F.split(low, "/")
     bare = F.when(low.startswith("@") & (F.size(parts) == 2), F.get(parts, F.lit(1))).otherwise(low)
-    name = F.trim(F.regexp_replace(bare, "(?s)[ =:<>@].*$", ""))
+    name = T.trim_space(F.regexp_replace(bare, "(?s)[ =:<>@].*$", ""))
     steps = [F.when(name == p, False).when(F.levenshtein(name, F.lit(p)) == 1, True) for p in POPULAR]
     return (name != "") & F.coalesce(*steps, F.lit(False))
 
 
-def signals(lines: DataFrame) -> DataFrame:
-    """Words of a hunk that together weaken signatures, in code, or the supply of packages, in manifests and configuration."""
+def _correlated(hunks: DataFrame, infos: tuple, tests: list[Column]) -> DataFrame:
+    found = [F.when(test, F.struct(F.lit(r).alias("rule_id"), F.lit(t).alias("title"), F.lit(c).alias("category"), F.lit(s).alias("severity"))) for (r, t, c, s), test in zip(infos, tests)]
+    rows = hunks.withColumn("r", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull()))).select(*HUNK, F.lit(0).alias("line_ix"), "path", F.col("first_no").alias("line"), "r.*")
+    return _first(rows.withColumns({"id": T.identity(F.col("rule_id"), F.col("path"), F.col("line"), F.lit("added"), F.col("title")), "confidence": F.lit("medium"), "side": F.lit("added"), "snippet": F.lit("semantic correlation inside diff hunk")}))
+
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """Words of a hunk of code that together weaken signatures."""
+    low = F.lower("hunk_text")
+    tests = [_has(low, 'header["alg"]', "token.header.alg"), _has(low, 'header["kid"]', "token.header.kid"), _has(low, "jku", "jwk", "x5u") & _has(low, "http.get", "fetch(", "axios"), _has(low, "publickey") & _has(low, "hmac")]
+    return _correlated(_hunks(lines.filter(T.executable(F.col("path")))), SIGNATURE, tests)
+
+
+def manifests(lines: DataFrame) -> DataFrame:
+    """Words of a hunk of a manifest or configuration that together weaken the supply of packages."""
     path, low = F.col("path"), F.lower("hunk_text")
     named = reduce(lambda a, b: a | b, [path.endswith(m) for m in MANIFESTS])
-    code, manifest = T.executable(path), ~T.fixture(path) & ((T.language(path) == "config") | named)
-    hunks = _hunks(lines.filter(code | manifest))
-    tokens = F.flatten(F.transform("added", lambda x: F.split(F.trim(x["text"]), '[": =><]+')))
-    tests = [
-        code & _has(low, 'header["alg"]', "token.header.alg"), code & _has(low, 'header["kid"]', "token.header.kid"),
-        code & _has(low, "jku", "jwk", "x5u") & _has(low, "http.get", "fetch(", "axios"), code & _has(low, "publickey") & _has(low, "hmac"),
-        manifest & _has(low, "registry=https://registry.npmjs.org", "index-url = https://pypi.org/simple"), manifest & _has(low, '"latest"', '"*"', '"next"'),
-        manifest & _has(low, "replace ") & _has(low, "github.com"), manifest & F.exists(tokens, _near_miss),
-    ]
-    infos = [F.when(test, F.struct(F.lit(r).alias("rule_id"), F.lit(t).alias("title"), F.lit(c).alias("category"), F.lit(s).alias("severity"))) for (r, t, c, s), test in zip(SIGNATURE + SUPPLY, tests)]
-    rows = hunks.withColumn("r", F.explode(F.filter(F.array(*infos), lambda x: x.isNotNull()))).select(*HUNK, F.lit(0).alias("line_ix"), "path", F.col("first_no").alias("line"), "r.*")
-    return _first(rows.withColumns({"id": T.identity(F.col("rule_id"), path, F.col("line"), F.lit("added"), F.col("title")), "confidence": F.lit("medium"), "side": F.lit("added"), "snippet": F.lit("semantic correlation inside diff hunk")}))
+    tokens = F.flatten(F.transform("added", lambda x: F.split(T.trim_space(x["text"]), '[": =><]+')))
+    tests = [_has(low, "registry=https://registry.npmjs.org", "index-url = https://pypi.org/simple"), _has(low, '"latest"', '"*"', '"next"'), _has(low, "replace ") & _has(low, "github.com"), F.exists(tokens, _near_miss)]
+    return _correlated(_hunks(lines.filter(~T.fixture(path) & ((T.language(path) == "config") | named))), SUPPLY, tests)
+
+
+def signals(lines: DataFrame) -> DataFrame:
+    """signatures() and manifests()."""
+    return signatures(lines).unionByName(manifests(lines))
 
 
 def branches(lines: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ that touch it.  Patterns are RE2's (functions.text.re2)."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -31,6 +32,7 @@ class Rule:
     confidence: str = "medium"
     target: str = "added"  # added, deleted or any
     paths: tuple[str, ...] = ()
+    from_paths: tuple[str, ...] = ()
     ignore: tuple[str, ...] = ()
     require: tuple[str, ...] = ()
     any: tuple[str, ...] = ()
@@ -72,12 +74,12 @@ def _like(value: Column, patterns: Sequence[str]) -> list[Column]:
 
 def _import() -> Column:
     """What a line imports, or an empty string."""
-    return F.coalesce(*[F.nullif(F.trim(F.regexp_extract("text", T.re2(IMPORT), k)), F.lit("")) for k in (2, 3, 4)], F.lit(""))
+    return F.coalesce(*[F.nullif(T.trim_space(F.regexp_extract("text", T.re2(IMPORT), k)), F.lit("")) for k in (2, 3, 4)], F.lit(""))
 
 
 def _value(raw: Column) -> Column:
     """A setting's value without its comma and quotes."""
-    return F.regexp_replace(F.trim(F.regexp_replace(F.trim(raw), ",$", "")), "^[\"']+|[\"']+$", "")
+    return F.regexp_replace(T.trim_space(F.regexp_replace(T.trim_space(raw), r",\z", "")), "^[\"']+|[\"']+\\z", "")
 
 
 def _one_of(value: Column, words: Sequence[str]) -> Column:
@@ -85,7 +87,7 @@ def _one_of(value: Column, words: Sequence[str]) -> Column:
 
 
 def _typed(r: Rule) -> Column:
-    line, trimmed = F.col("text"), F.trim(F.col("text"))
+    line, trimmed = F.col("text"), T.trim_space(F.col("text"))
     if r.type in ("forbiddenImport", "pathBoundary"):
         module = _import()
         imports = _some(_like(module, r.imports) + _like(line, r.imports))
@@ -123,6 +125,7 @@ def _line_test(r: Rule, in_scope: Column) -> Column:
     line = F.col("text")
     parts = [] if r.target == "any" else [F.col("kind") == r.target]
     parts += [in_scope] if r.paths else []
+    parts += [T.any_glob(F.col("path"), r.from_paths)] if r.from_paths else []
     parts += [~T.any_glob(F.col("path"), r.ignore)] if r.ignore else []
     if r.type:
         return _all([*parts, _typed(r)])
@@ -146,17 +149,84 @@ def _confidences(r: Rule) -> tuple[str, str]:
     return names[min(base, 2)], names[min(base + 1, 2)]
 
 
-def evaluate(lines: DataFrame, rules: Sequence[Rule], allow_values: Sequence[str] = (), allow_regexes: Sequence[str] = (), ignore: Sequence[str] = (), skip_artifacts: bool = False) -> DataFrame:
+def _why(r: Rule) -> list[str]:
+    """What a finding of the rule rests on, besides its path."""
+    if r.type:
+        return [f"the typed rule {r.type} applies"]
+    parts = [(r.require, "{} required patterns match the line"), (r.any, "one of {} alternative patterns matches the line"), (r.near, "{} patterns match elsewhere in the hunk"), (r.absent, "none of {} mitigating patterns is in the hunk")]
+    out = [text.format(len(patterns)) for patterns, text in parts if patterns]
+    out += [f"the line's entropy is {r.entropy:.2f} bits or more"] if r.entropy else []
+    return out if out or r.paths else ["the hunk meets the rule"]
+
+
+def check(rules: Sequence[Rule], allow_regexes: Sequence[str] = ()) -> None:
+    """Raises for what no run should start with: equal ids, unknown names, patterns that don't compile."""
+    seen: set[str] = set()
+    for r in rules:
+        wrong = None
+        if not r.id or r.id in seen:
+            wrong = "empty or used twice"
+        elif r.severity not in T.SEVERITIES:
+            wrong = f"unknown severity {r.severity}"
+        elif r.confidence not in ("low", "medium", "high"):
+            wrong = f"unknown confidence {r.confidence}"
+        elif r.target not in ("added", "deleted", "any"):
+            wrong = f"unknown target {r.target}"
+        elif r.type and r.type not in TYPES:
+            wrong = f"unknown type {r.type}"
+        if wrong:
+            raise ValueError(f"rule {r.id!r}: {wrong}")
+        seen.add(r.id)
+        for pattern in (*r.require, *r.any, *r.near, *r.absent, *r.imports, *r.keys, *r.calls, *filter(None, [r.constraint_pattern])):
+            _compiles(pattern, f"rule {r.id!r}")
+    for pattern in allow_regexes:
+        _compiles(pattern, "allow list")
+
+
+def _compiles(pattern: str, where: str) -> None:
+    try:
+        re.compile(pattern)
+    except re.error as e:
+        raise ValueError(f"{where}: pattern {pattern!r}: {e}") from e
+
+
+#: Other names under which a custom rule may give its patterns.
+SYNONYMS = {"forbidden": "require", "protected": "require", "required": "require", "when": "require", "context": "near", "mitigate": "absent", "middleware": "calls"}
+
+
+def from_records(records: Sequence[dict]) -> tuple[Rule, ...]:
+    """Custom rules from mappings, as a parsed file has them: lists or single values, synonyms merged, unknown keys left out."""
+    fields = Rule.__dataclass_fields__
+    rules = []
+    for record in records:
+        given: dict = {}
+        for key, value in record.items():
+            name = SYNONYMS.get(key, key)
+            if name not in fields or value is None:
+                continue
+            if isinstance(fields[name].default, tuple):
+                given[name] = (*given.get(name, ()), *((value,) if isinstance(value, str) else value))
+            else:
+                given[name] = type(fields[name].default)(value) if name != "id" else str(value)
+        rules.append(Rule(**given))
+    check(rules)
+    return tuple(rules)
+
+
+def evaluate(lines: DataFrame, rules: Sequence[Rule], allow_values: Sequence[str] = (), allow_regexes: Sequence[str] = (), ignore: Sequence[str] = (), allow_paths: Sequence[str] = (), skip_artifacts: bool = False) -> DataFrame:
     """Findings of the rules: id, rule_id, category, severity, confidence, path, line, side, snippet, and the order columns; first of equal ids wins.
 
     Lines with an allowed value or pattern, paths that an ignore glob fits and,
     if wished, documents and fixtures have none; null texts match nothing."""
-    seen = lines.filter(~T.any_glob(F.col("path"), ignore)) if ignore else lines
+    check(rules, allow_regexes)
+    skipped = [*ignore, *allow_paths]
+    seen = lines.filter(~T.any_glob(F.col("path"), skipped)) if skipped else lines
     seen = seen.filter(~T.artifact(F.col("path"))) if skip_artifacts else seen
     scopes = list(dict.fromkeys(r.paths for r in rules if r.paths))
     scoped = seen.withColumn("scopes", F.array(*[T.any_glob(F.col("path"), s) for s in scopes])) if scopes else seen
     scope = lambda r: F.get("scopes", F.lit(scopes.index(r.paths))) if r.paths else F.lit(True)
     tests = F.filter(F.array(*[F.when(_line_test(r, scope(r)), F.lit(i)) for i, r in enumerate(rules)]), lambda i: i.isNotNull())
+    allow_values = [v for v in allow_values if v]
     if allow_values or allow_regexes:
         allowed = _some([F.contains("text", F.lit(v)) for v in allow_values] + _like(F.col("text"), allow_regexes))
         tests = F.when(~allowed, tests)
@@ -172,14 +242,16 @@ def evaluate(lines: DataFrame, rules: Sequence[Rule], allow_values: Sequence[str
         hits = hits.withColumn("rules", F.array_except("rules", "fails"))
     # An outer explode: a filter on the rules would be pushed below them and run them twice.
     hits = hits.select(*HUNK, *line, F.explode_outer("rules").alias("rule_ix")).filter("rule_ix is not null")
-    infos = lines.sparkSession.createDataFrame([(i, r.id, r.category, r.severity, *_confidences(r), float(r.entropy), r.mask and not r.type) for i, r in enumerate(rules)], "rule_ix int, rule_id string, category string, severity string, confidence string, raised string, floor double, mask boolean")
+    infos = lines.sparkSession.createDataFrame([(i, r.id, r.category, r.severity, *_confidences(r), float(r.entropy), r.mask, bool(r.type), bool(r.paths), _why(r)) for i, r in enumerate(rules)], "rule_ix int, rule_id string, category string, severity string, confidence string, raised string, floor double, mask boolean, typed boolean, scoped boolean, why array<string>")
     # The table of rules has one row for each rule of the call, however many lines there are.
     found = hits.join(F.broadcast(infos), "rule_ix")
     raised = F.when((F.col("floor") > 0) & (T.entropy(F.col("text"), skip_blanks=True) >= F.col("floor") + 0.4), F.col("raised")).otherwise(F.col("confidence"))
     found = found.withColumn("confidence", raised)
     number = F.when(F.col("kind") == "deleted", F.col("old_no")).otherwise(F.col("new_no"))
-    snippet = F.trim(F.when(F.col("mask"), T.mask_tokens(F.col("text"))).otherwise(F.col("text")))
-    shaped = found.select("diff_id", "rule_id", "category", "severity", "confidence", "path", number.alias("line"), F.col("kind").alias("side"), snippet.alias("snippet"), "file_ix", "hunk_ix", "line_ix", "rule_ix")
+    # A pattern's snippet is the line as it stands, a typed rule's has no blanks at its ends.
+    snippet = F.when(F.col("typed"), T.trim_space(F.col("text"))).when(F.col("mask"), T.mask_tokens(F.col("text"))).otherwise(F.col("text"))
+    reasons = F.filter(F.concat(F.when(F.col("scoped"), F.array(F.concat(F.lit("the path is in the rule's scope: "), F.col("path")))).otherwise(F.array().cast("array<string>")), F.col("why")), lambda x: x.isNotNull())
+    shaped = found.select("diff_id", "rule_id", "category", "severity", "confidence", "path", number.alias("line"), F.col("kind").alias("side"), snippet.alias("snippet"), reasons.alias("reasons"), "file_ix", "hunk_ix", "line_ix", "rule_ix")
     shaped = shaped.withColumn("id", T.identity(F.col("rule_id"), F.col("path"), F.col("line"), F.col("side"), F.col("snippet")))
     order = F.struct("file_ix", "hunk_ix", "line_ix", "rule_ix")
     rest = [c for c in shaped.columns if c not in ("diff_id", "id")]
@@ -197,35 +269,61 @@ NO_MFA = ("skipmfa", "disablemfa", "mfaoptional", "optionalmfa")
 UNITS = {"": 1, "ms": 1, "s": 1000, "m": 60_000, "h": 3_600_000, "d": 86_400_000}
 
 
+# Rule, title, category, severity, whether a lower or a higher value is the weaker one.
+DOWNGRADES = (
+    ("downgrade.cookie.samesite", "SameSite policy weakened", "session", "high", "lower"),
+    ("downgrade.cookie.lifetime", "Cookie or token lifetime increased", "session", "high", "higher"),
+    ("downgrade.crypto.bcrypt", "bcrypt cost factor reduced", "crypto", "high", "lower"),
+    ("downgrade.auth.ratelimit", "Rate limit threshold increased", "auth", "high", "higher"),
+    ("downgrade.timeout", "Security-relevant timeout increased", "config", "medium", "higher"),
+    ("downgrade.auth.mfa", "MFA requirement weakened", "auth", "critical", "lower"),
+)
+
+
 def _signals() -> Column:
-    """The strengths that a line sets: an array of (rule_id, key, value, worse)."""
+    """The strengths that a line sets: an array of (rule_id, key, value, shown), shown as in the line."""
     line, low = F.col("text"), F.lower(F.col("text"))
     part = lambda p, k: F.nullif(F.regexp_extract(line, T.re2(p), k), F.lit(""))
     first = lambda ps, k: F.coalesce(*[part(p, k) for p in ps])
     has = lambda *words: _some([F.contains(low, F.lit(w)) for w in words])
     key = lambda c: F.regexp_replace(F.lower(c), "[_.-]", "")
-    signal = lambda rule, k, v, worse, when: F.when(v.isNotNull() & when, F.struct(F.lit(rule).alias("rule_id"), k.alias("key"), v.alias("value"), F.lit(worse).alias("worse")))
+    signal = lambda rule, k, v, shown, when: F.when(v.isNotNull() & when, F.struct(F.lit(rule).alias("rule_id"), k.alias("key"), v.alias("value"), shown.alias("shown")))
     site = F.lower(first(SAMESITE, 2))
-    unit = F.lower(F.coalesce(part(DURATION, 3), F.lit("")))
-    spent = part(DURATION, 2).try_cast("long") * reduce(lambda out, u: F.when(unit == u, UNITS[u]).otherwise(out), UNITS, F.lit(None).cast("long"))
-    named, always = key(part(DURATION, 1)), F.lit(True)
-    mfa = F.lower(part(MFA, 2))
+    unit = F.coalesce(part(DURATION, 3), F.lit(""))
+    spent = part(DURATION, 2).try_cast("long") * reduce(lambda out, u: F.when(F.lower(unit) == u, UNITS[u]).otherwise(out), UNITS, F.lit(None).cast("long"))
+    named, always, time = key(part(DURATION, 1)), F.lit(True), F.concat(part(DURATION, 2), unit)
+    mfa, cost, rate = F.lower(part(MFA, 2)), first(BCRYPT, 2), part(RATE_LIMIT, 2)
     return F.array(
-        signal("downgrade.cookie.samesite", F.lit("samesite"), F.when(site == "strict", 3).when(site == "lax", 2).when(site == "none", 1).cast("long"), "lower", always),
-        signal("downgrade.cookie.lifetime", F.lit("lifetime"), spent, "higher", named.isin(*LIFETIMES) & has("cookie", "session", "token", "auth") & ~has("cache-control")),
-        signal("downgrade.crypto.bcrypt", F.lit("bcrypt"), first(BCRYPT, 2).cast("long"), "lower", always),
-        signal("downgrade.auth.ratelimit", key(part(RATE_LIMIT, 1)), part(RATE_LIMIT, 2).cast("long"), "higher", always),
-        signal("downgrade.timeout", named, spent, "higher", ~named.isin(*LIFETIMES) & ~has("cache")),
-        signal("downgrade.auth.mfa", F.lit("mfa"), F.when(mfa == "true", 1).when((mfa == "false") | has(*NO_MFA), 0).cast("long"), "lower", always),
+        signal("downgrade.cookie.samesite", F.lit("samesite"), F.when(site == "strict", 3).when(site == "lax", 2).when(site == "none", 1).cast("long"), site, always),
+        signal("downgrade.cookie.lifetime", F.lit("lifetime"), spent, time, named.isin(*LIFETIMES) & has("cookie", "session", "token", "auth") & ~has("cache-control")),
+        signal("downgrade.crypto.bcrypt", F.lit("bcrypt"), cost.try_cast("long"), cost, always),
+        signal("downgrade.auth.ratelimit", key(part(RATE_LIMIT, 1)), rate.try_cast("long"), rate, always),
+        signal("downgrade.timeout", named, spent, time, ~named.isin(*LIFETIMES) & ~has("cache")),
+        signal("downgrade.auth.mfa", F.lit("mfa"), F.when(mfa == "true", 1).when((mfa == "false") | has(*NO_MFA), 0).cast("long"), F.coalesce(mfa, F.lit("optional")), always),
     )
 
 
 def downgrades(lines: DataFrame) -> DataFrame:
-    """Controls that a hunk weakens: the strongest deleted value against the weakest added one, per rule and key."""
-    found = lines.filter(F.col("kind").isin("added", "deleted")).withColumn("s", F.explode(F.filter(_signals(), lambda s: s.isNotNull()))).select(*HUNK, "path", "kind", "s.*")
-    value = lambda kind, f: f(F.when(F.col("kind") == kind, F.col("value")))
-    paired = found.groupBy(*HUNK, "path", "rule_id", "key", "worse").agg(
-        F.when(F.col("worse") == "lower", value("deleted", F.max)).otherwise(value("deleted", F.min)).alias("was"),
-        F.when(F.col("worse") == "lower", value("added", F.min)).otherwise(value("added", F.max)).alias("now"),
+    """Controls that a hunk weakens, per rule and key: the strongest deleted value, was, against the weakest added one, now.
+
+    Findings, with hunk_ix, key, was and now; of equal values the first line's counts, and the first of equal ids stays."""
+    signals = F.explode(F.filter(_signals(), lambda s: s.isNotNull()))
+    found = lines.filter(F.col("kind").isin("added", "deleted")).withColumn("s", signals).select(*HUNK, "line_ix", "path", "kind", "text", "new_no", "s.*")
+    lower = F.col("rule_id").isin(*[r for r, *_, worse in DOWNGRADES if worse == "lower"])
+    # The weaker a value, the less its strength; of equal ones the first line wins in either order.
+    strength = F.when(lower, F.col("value")).otherwise(-F.col("value"))
+    at = F.struct("value", "shown", "text", F.col("new_no").alias("line"), "line_ix")
+    paired = found.groupBy(*HUNK, "path", "rule_id", "key").agg(
+        F.max_by(F.when(F.col("kind") == "deleted", at), F.when(F.col("kind") == "deleted", F.struct(strength, -F.col("line_ix")))).alias("d"),
+        F.min_by(F.when(F.col("kind") == "added", at), F.when(F.col("kind") == "added", F.struct(strength, F.col("line_ix")))).alias("a"),
     )
-    return paired.filter(((F.col("worse") == "lower") & (F.col("now") < F.col("was"))) | ((F.col("worse") == "higher") & (F.col("now") > F.col("was")))).drop("worse")
+    was, now = F.col("d.value"), F.col("a.value")
+    paired = paired.filter((lower & (now < was)) | (~lower & (now > was)))
+    of = lambda k: reduce(lambda out, d: out.when(F.col("rule_id") == d[0], d[k]), DOWNGRADES[1:], F.when(F.col("rule_id") == DOWNGRADES[0][0], DOWNGRADES[0][k]))
+    reasons = F.array(F.concat(F.lit("deleted value: "), "d.shown"), F.concat(F.lit("added value: "), "a.shown"))
+    rows = paired.select(
+        *HUNK, F.col("a.line_ix").alias("line_ix"), T.identity(F.col("rule_id"), F.col("path"), F.col("a.line"), F.lit("added"), F.col("a.shown")).alias("id"), "rule_id", of(2).alias("category"), of(3).alias("severity"),
+        F.lit("high").alias("confidence"), "path", F.col("a.line").alias("line"), F.lit("added").alias("side"), T.trim_space(F.col("a.text")).alias("snippet"), reasons.alias("reasons"), "key", was.alias("was"), now.alias("now"),
+    )
+    rest = [c for c in rows.columns if c not in ("diff_id", "id")]
+    return rows.groupBy("diff_id", "id").agg(F.min_by(F.struct(*rest), F.struct("file_ix", "hunk_ix", "line_ix", "rule_id", "key")).alias("f")).select("diff_id", "id", "f.*")

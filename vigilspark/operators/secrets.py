@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilspark.functions import text as T
+from vigilspark.operators.findings import at_least
 from vigilspark.sources.lines import file_lines
 
 MAX_LINE_BYTES = 64 * 1024
@@ -39,14 +40,16 @@ PATTERNS = (
 GENERIC = "secret.scan.generic"
 
 
-def scan(files: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS, allow_values: tuple[str, ...] = (), allow_regexes: tuple[str, ...] = ()) -> DataFrame:
+def scan(files: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS, allow_values: tuple[str, ...] = (), allow_regexes: tuple[str, ...] = (), ignore: tuple[str, ...] = (), allow_paths: tuple[str, ...] = (), severity: str = "low") -> DataFrame:
     """(path, content) files -> findings: id, rule_id, severity, confidence, path, line, side, snippet, entropy.
 
     A narrow pass: lines explode, one filter drops those that no pattern
     matches, the rest carry an array of hits."""
+    skipped = (*ignore, *allow_paths)
+    files = files.filter(~T.any_glob(F.col("path"), skipped)) if skipped else files
     lines = file_lines(files.filter(F.instr("content", "\0") == 0), as_review=False).filter(F.octet_length("text") <= MAX_LINE_BYTES)
     lines = lines.filter(reduce(lambda a, b: a | b, [F.col("text").rlike(T.re2(p.regex)) for p in patterns]))
-    allowed = lambda c: reduce(lambda a, b: a | b, [*[F.contains(c, F.lit(v)) for v in allow_values], *[c.rlike(r) for r in allow_regexes]], F.lit(False))
+    allowed = lambda c: reduce(lambda a, b: a | b, [*[F.contains(c, F.lit(v)) for v in allow_values if v], *[c.rlike(T.re2(r)) for r in allow_regexes]], F.lit(False))
 
     def hit(p: Pattern):
         value = F.regexp_extract("text", T.re2(p.regex), p.group)
@@ -60,6 +63,6 @@ def scan(files: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS, allow_value
     hits = F.filter(hits, lambda h: (h["rule_id"] != GENERIC) | (F.size(hits) == 1))
     found = lines.withColumn("h", F.explode(hits)).select("path", "line_no", "text", "h.*")
     first = F.instr("text", F.col("value"))
-    snippet = F.trim(F.concat(F.substr("text", F.lit(1), first - 1), T.mask_value(F.col("value")), F.substr("text", first + F.length("value"))))
+    snippet = T.trim_space(F.concat(F.substr("text", F.lit(1), first - 1), T.mask_value(F.col("value")), F.substr("text", first + F.length("value"))))
     shaped = found.select("rule_id", "severity", "confidence", "path", F.col("line_no").alias("line"), F.lit("file").alias("side"), snippet.alias("snippet"), F.round(T.entropy(F.col("value")), 2).alias("entropy"))
-    return shaped.select(T.identity(F.col("rule_id"), F.col("path"), F.col("line"), F.col("snippet")).alias("id"), "*")
+    return at_least(shaped.select(T.identity(F.col("rule_id"), F.col("path"), F.col("line"), F.col("snippet")).alias("id"), "*"), severity)

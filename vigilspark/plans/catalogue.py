@@ -31,8 +31,8 @@ TYPED = (
 )
 
 
-#: Downgrades need a hunk with both sides of a setting: so many hunks instead, a multiple of the paths.
-WIDER = 96
+#: Downgrades need a hunk with both sides of a setting: so many of the hunks above are one, and have the path of its number.
+WIDER = 8
 
 
 def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,13 @@ def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select((hunk % 5).cast("string").alias("diff_id"), F.lit(0).alias("file_ix"), hunk.alias("hunk_ix"), e.alias("line_ix"), at(PATHS, hunk % len(PATHS)).alias("path"), at(("added", "deleted", "added", "context"), (e * 5 + F.floor(e / 7)) % 4).alias("kind"), text.alias("text"), e.alias("old_no"), (e + 1).alias("new_no"))
 
 
+def wider_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """code_lines() in hunks of eight times as many lines, as many as the events ask for."""
+    wide = F.floor(F.col("hunk_ix") / WIDER)
+    path = F.get(F.array(*[F.lit(x) for x in PATHS]), (wide % len(PATHS)).cast("int"))
+    return code_lines(spark, sf_dir).withColumns({"hunk_ix": wide, "path": path, "diff_id": F.lit("d")})
+
+
 _SHOWN = ("diff_id", "id", "rule_id", "severity", "confidence", "path", "line", "side", "snippet")
 
 
@@ -55,7 +62,7 @@ def typed_review(spark, sf_dir):
 
 
 def strength_review(spark, sf_dir):
-    return rules.downgrades(code_lines(spark, sf_dir).withColumns({"hunk_ix": F.col("hunk_ix") % WIDER, "diff_id": F.lit("d")})).select("hunk_ix", "path", "rule_id", "key", "was", "now")
+    return rules.downgrades(wider_hunks(spark, sf_dir)).select("hunk_ix", "path", "rule_id", "key", "was", "now")
 
 
 def signal_review(spark, sf_dir):
@@ -86,23 +93,28 @@ _CODE = f"(regexp_matches(lower(path), '\\.(go|jsx?|mjs|cjs|tsx?|py|rb|java|kt|j
 _MANIFEST = f"(NOT regexp_matches(lower(path), {_s(T.FIXTURE)}) AND regexp_matches(path, '\\.(json|ya?ml|toml)$|(go\\.mod|\\.npmrc|pip\\.conf)$'))"
 _OUT = "diff_id, left(sha256(rule_id || '|' || path || '|' || no || '|' || kind || '|' || snippet), 16) AS id, rule_id, severity, confidence, path, no AS line, kind AS side, snippet"
 _ONCE = "QUALIFY row_number() OVER (PARTITION BY diff_id, rule_id, path, no, kind, snippet ORDER BY hunk_ix, line_ix) = 1"
-_typed = lambda rule, test: f"SELECT diff_id, hunk_ix, line_ix, '{rule}' AS rule_id, 'medium' AS severity, 'medium' AS confidence, path, no, kind, trim(text) AS snippet FROM l JOIN h USING (hunk_ix, path, diff_id) WHERE {test}"
+_typed = lambda rule, test: f"SELECT diff_id, hunk_ix, line_ix, '{rule}' AS rule_id, 'medium' AS severity, 'medium' AS confidence, path, no, kind, regexp_replace(text, '^[ \t]+|[ \t]+$', '', 'g') AS snippet FROM l JOIN h USING (hunk_ix, path, diff_id) WHERE {test}"
 _sig = lambda rule, title, sev, test: f"SELECT diff_id, hunk_ix, '{rule}' AS rule_id, {_s(title)} AS title, '{sev}' AS severity, path, first_no FROM h WHERE {test}"
 _LOW = "lower(hunk)"
 _SIGNS = (f"{_CODE} AND {_or(_LOW, ('header[\"alg\"]', 'token.header.alg'))}", f"{_CODE} AND {_or(_LOW, ('header[\"kid\"]', 'token.header.kid'))}", f"{_CODE} AND {_or(_LOW, ('jku', 'jwk', 'x5u'))} AND {_or(_LOW, ('http.get', 'fetch(', 'axios'))}", f"{_CODE} AND contains({_LOW}, 'publickey') AND contains({_LOW}, 'hmac')",
           f"{_MANIFEST} AND {_or(_LOW, ('registry=https://registry.npmjs.org', 'index-url = https://pypi.org/simple'))}", f"{_MANIFEST} AND {_or(_LOW, ('\"latest\"', '\"*\"', '\"next\"'))}", f"{_MANIFEST} AND contains({_LOW}, 'replace ') AND contains({_LOW}, 'github.com')",
           f"{_MANIFEST} AND hunk_ix IN (SELECT hunk_ix FROM l WHERE kind = 'added' AND len(list_filter(regexp_split_to_array(lower(trim(text)), '[\": =><]+'), lambda w: len(list_filter({_list(analyzers.POPULAR)}, lambda p: levenshtein(w, p) = 1)) > 0)) > 0)")
 _ms = "v * CASE u WHEN 's' THEN 1000 WHEN 'm' THEN 60000 WHEN 'h' THEN 3600000 WHEN 'd' THEN 86400000 ELSE 1 END"
-SQL = {
-    "catalogue_review": f"""WITH {_LINES}, r(ix, rule_id, severity, declared, target, paths, need, near, absent, imports, mask) AS (VALUES {_TABLE}),
+_RULE_CTES = f"""r(ix, rule_id, severity, declared, target, paths, need, near, absent, imports, mask) AS (VALUES {_TABLE}),
 t AS (SELECT DISTINCT text FROM l), p AS (SELECT DISTINCT path FROM l WHERE NOT regexp_matches(lower(path), {_s(T.ARTIFACT)})),
 tr AS (SELECT text, ix FROM t, r WHERE regexp_matches(text, need) OR ({_MODULE} <> '' AND (regexp_matches({_MODULE}, imports) OR regexp_matches(text, imports)))),
 pr AS (SELECT path, ix FROM p, r WHERE regexp_matches(path, paths)),
 m AS (SELECT l.*, r.*, h.hunk FROM l JOIN tr USING (text) JOIN pr USING (path, ix) JOIN r USING (ix) JOIN h USING (hunk_ix) WHERE r.target IN ('any', l.kind)),
-n AS (SELECT *, trim(CASE WHEN mask THEN regexp_replace(text, '([A-Za-z0-9_./+=-]{{4}})[A-Za-z0-9_./+=-]{{4,}}([A-Za-z0-9_./+=-]{{4}})', '\\1****\\2', 'g') ELSE text END) AS snippet,
+n AS (SELECT *, CASE WHEN imports IS NOT NULL THEN regexp_replace(text, '^[ \t]+|[ \t]+$', '', 'g') WHEN mask THEN regexp_replace(text, '([A-Za-z0-9_./+=-]{{4}})[A-Za-z0-9_./+=-]{{4,}}([A-Za-z0-9_./+=-]{{4}})', '\\1****\\2', 'g') ELSE text END AS snippet,
   CASE WHEN imports IS NOT NULL THEN declared ELSE (['low', 'medium', 'high'])[least(3, CASE declared WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END + 1 + (near IS NOT NULL)::INT)] END AS confidence
-  FROM m WHERE (near IS NULL OR regexp_matches(hunk, near)) AND (absent IS NULL OR NOT regexp_matches(hunk, absent)))
-SELECT {_OUT} FROM n {_ONCE}""",
+  FROM m WHERE (near IS NULL OR regexp_matches(hunk, near)) AND (absent IS NULL OR NOT regexp_matches(hunk, absent)))"""
+_SIGNAL_ROWS = " UNION ALL ".join(_sig(r, t, s, test) for (r, t, _, s), test in zip(analyzers.SIGNATURE + analyzers.SUPPLY, _SIGNS))
+_SIGNAL_OUT = """SELECT diff_id, left(sha256(rule_id || '|' || path || '|' || first_no || '|added|' || title), 16) AS id, rule_id, severity, 'medium' AS confidence, path, first_no AS line, 'added' AS side, 'semantic correlation inside diff hunk' AS snippet
+FROM sig QUALIFY row_number() OVER (PARTITION BY diff_id, rule_id, path, first_no ORDER BY hunk_ix) = 1"""
+_BRANCH_ROWS = " UNION ALL ".join(f"SELECT diff_id, {_s(r)} AS rule_id, left(sha256({_s(r + t + m)}), 16) AS id FROM l WHERE {_CODE} GROUP BY diff_id HAVING bool_or(kind = 'deleted' AND {_or('lower(text)', gone)}) AND bool_or(kind = 'added' AND {_or('lower(text)', come)})" for r, t, _, m, gone, come in analyzers.BRANCH)
+_BRANCH_OUT = "SELECT diff_id, id, rule_id, 'critical' AS severity, 'medium' AS confidence, '<branch>' AS path, 1 AS line, 'branch' AS side, 'branch-level regression correlation' AS snippet FROM br"
+SQL = {
+    "catalogue_review": f"WITH {_LINES}, {_RULE_CTES} SELECT {_OUT} FROM n {_ONCE}",
     "typed_review": f"""WITH {_LINES}, n AS ({_typed("typed.import", f"kind = 'added' AND {_MODULE} <> '' AND regexp_matches(text, 'internal/admin')")}
 UNION ALL {_typed("typed.guard", "kind = 'deleted' AND regexp_matches(text, '(?i)requireauth')")}
 UNION ALL {_typed("typed.env", "kind = 'added' AND text = 'DEBUG=true'")}
@@ -111,7 +123,7 @@ UNION ALL {_typed("typed.port", "kind = 'added' AND starts_with(text, 'PORT: ')
 UNION ALL {_typed("typed.mode", "kind = 'added' AND text = 'MODE: open'")}
 UNION ALL {_typed("typed.boundary", f"kind = 'added' AND starts_with(path, 'web/') AND contains({_MODULE}, '/admin/')")})
 SELECT {_OUT} FROM n {_ONCE}""",
-    "strength_review": f"""WITH {_LINES}, c AS (SELECT * REPLACE (hunk_ix % {WIDER} AS hunk_ix) FROM l WHERE kind <> 'context'), d AS (
+    "strength_review": f"""WITH {_LINES}, c AS (SELECT * REPLACE (hunk_ix // {WIDER} AS hunk_ix, ({_list(PATHS)})[hunk_ix // {WIDER} % {len(PATHS)} + 1] AS path) FROM l WHERE kind <> 'context'), d AS (
   SELECT c.*, regexp_extract(text, {_s(rules.DURATION)}, 1) AS name, try_cast(regexp_extract(text, {_s(rules.DURATION)}, 2) AS BIGINT) AS v, lower(regexp_extract(text, {_s(rules.DURATION)}, 3)) AS u FROM c),
 s AS (SELECT hunk_ix, path, kind, 'downgrade.cookie.lifetime' AS rule_id, 'lifetime' AS key, {_ms} AS v, 1 AS up FROM d WHERE name = 'maxAge'
   UNION ALL SELECT hunk_ix, path, kind, 'downgrade.timeout', lower(name), {_ms}, 1 FROM d WHERE name = 'sessionTimeout'
@@ -121,8 +133,7 @@ s AS (SELECT hunk_ix, path, kind, 'downgrade.cookie.lifetime' AS rule_id, 'lifet
   UNION ALL SELECT hunk_ix, path, kind, 'downgrade.auth.mfa', 'mfa', contains(text, 'true')::BIGINT, 0 FROM c WHERE text IN ('requireMFA: true', 'skipMFA()')),
 g AS (SELECT hunk_ix, path, rule_id, key, up, CASE WHEN up = 1 THEN min(v) FILTER (kind = 'deleted') ELSE max(v) FILTER (kind = 'deleted') END AS was, CASE WHEN up = 1 THEN max(v) FILTER (kind = 'added') ELSE min(v) FILTER (kind = 'added') END AS now FROM s GROUP BY hunk_ix, path, rule_id, key, up)
 SELECT hunk_ix, path, rule_id, key, was, now FROM g WHERE (up = 1 AND now > was) OR (up = 0 AND now < was)""",
-    "signal_review": f"""WITH {_LINES}, n AS ({" UNION ALL ".join(_sig(r, t, s, test) for (r, t, _, s), test in zip(analyzers.SIGNATURE + analyzers.SUPPLY, _SIGNS))})
-SELECT diff_id, left(sha256(rule_id || '|' || path || '|' || first_no || '|added|' || title), 16) AS id, rule_id, severity, 'medium' AS confidence, path, first_no AS line, 'added' AS side, 'semantic correlation inside diff hunk' AS snippet
-FROM n QUALIFY row_number() OVER (PARTITION BY diff_id, rule_id, path, first_no ORDER BY hunk_ix) = 1""",
-    "branch_review": f"WITH {_LINES}, n AS (" + " UNION ALL ".join(f"SELECT diff_id, {_s(r)} AS rule_id, left(sha256({_s(r + t + m)}), 16) AS id FROM l WHERE {_CODE} GROUP BY diff_id HAVING bool_or(kind = 'deleted' AND {_or('lower(text)', gone)}) AND bool_or(kind = 'added' AND {_or('lower(text)', come)})" for r, t, _, m, gone, come in analyzers.BRANCH) + ") SELECT diff_id, id, rule_id, 'critical' AS severity, 'medium' AS confidence, '<branch>' AS path, 1 AS line, 'branch' AS side, 'branch-level regression correlation' AS snippet FROM n",
+    "signal_review": f"WITH {_LINES}, sig AS ({_SIGNAL_ROWS}) {_SIGNAL_OUT}",
+    "branch_review": f"WITH {_LINES}, br AS ({_BRANCH_ROWS}) {_BRANCH_OUT}",
+
 }
