@@ -200,10 +200,12 @@ def spark_held(i):
 def test_repeated_and_contradictory_labels(spark):
     docs = spark.createDataFrame([(i, f"text {j} {'foul' if i % 2 else 'fair'}words") for i in range(60) for j in range(2)], "doc_id long, text string")
     marks = spark.createDataFrame([(i, i % 2) for i in range(60)] * 2 + [(i, 1 - i % 2) for i in range(0, 20)], "doc_id long, toxic int")
-    one, two = (toxicity.training_rows(docs.repartition(n), marks.repartition(n), 50, "text", "doc_id", "toxic") for n in (2, 5))
-    assert one == two and len(one[0]) == sum(not spark_held(i) for i in range(20, 60))
-    few = toxicity.training_rows(docs, marks, 50, "text", "doc_id", "toxic", most_bytes=100)
-    assert 0 < sum(map(len, few[0])) <= 100
+    rows = lambda n, **more: sorted(map(tuple, toxicity.training_rows(docs.repartition(n), marks.repartition(n), 50, "text", "doc_id", "toxic", **more)[0].collect()))
+    one, two = rows(2), rows(5)
+    assert one == two and len(one) == sum(not spark_held(i) for i in range(20, 60)) and all(y == i % 2 for i, _, y in one)
+    assert 0 < sum(len(t) for _, t, _ in rows(2, most_bytes=100)) <= 100
+    scores = [sorted(map(tuple, toxicity.score(docs.repartition(n), marks).select("doc_id", "text", "score").collect())) for n in (1, 3)]
+    assert scores[0] == scores[1]
 
 
 def test_vectors_of_several_lengths(spark):

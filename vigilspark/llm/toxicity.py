@@ -11,8 +11,8 @@ have none with a vector, are out of the vocabulary and not averaged, so the
 ordinary words of a long text don't drown the few that matter.
 
 Training takes at most TRAIN_ROWS labelled rows of each class, those of the least
-hashes, and of these as many whole texts as TRAIN_BYTES hold, which bounds what
-the driver holds; every document is scored, whole.
+hashes, and of these as many whole texts as TRAIN_BYTES hold, in one task;
+only the model comes to the driver.  Every document is scored, whole.
 For scoring, vectors and softmax fold into one number per n-gram bucket: a table
 of fixed size, looked up for all n-grams of a chunk of text at once.
 
@@ -25,6 +25,7 @@ named like an output are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +38,7 @@ from vigilspark.llm import textkit
 
 TRAIN_ROWS = 3000
 TRAIN_BYTES = 24 << 20
+CHUNK = 1 << 18  # bytes of text whose n-grams are held at once
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
 DIM = 4
@@ -143,7 +145,7 @@ def train(texts: list[str], labels: list[int], share: float, epochs: int = EPOCH
         return Model(np.zeros(BUCKETS, np.float32), known, float(np.log(p / (1 - p))))
     chunks, base = [], 0
     holds = np.zeros((2, BUCKETS))  # documents of each class with an n-gram
-    for w in textkit.word_chunks(pa.array(texts, pa.string())):
+    for w in textkit.word_chunks(pa.array(texts, pa.string()), CHUNK):
         buckets, n = word_grams(w)
         pair = np.unique(np.repeat(textkit.row_of(w.at), n) * BUCKETS + buckets)
         for c in (0, 1):
@@ -154,7 +156,7 @@ def train(texts: list[str], labels: list[int], share: float, epochs: int = EPOCH
     expected = np.maximum(each * (1 - each), 1e-12) * (totals.prod() / totals.sum())
     known = (holds[1] - totals[1] * each) ** 2 / expected >= chi
     base, seen = 0, np.zeros(0, _U)
-    for w in textkit.word_chunks(pa.array(texts, pa.string())):
+    for w in textkit.word_chunks(pa.array(texts, pa.string()), CHUNK):
         buckets, n = word_grams(w)
         at = np.concatenate([[0], np.cumsum(n)])
         has = np.flatnonzero(_sums(known[buckets], at) > 0)
@@ -204,8 +206,8 @@ def train(texts: list[str], labels: list[int], share: float, epochs: int = EPOCH
     return Model(table, known, float(state[2][1] - state[2][0]))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows: int, text: str, doc_id: str, label: str, most_bytes: int = TRAIN_BYTES) -> tuple[list[str], list[int], float]:
-    """Texts and labels of at most rows documents of each class outside the held-out fold, and the share of label 1."""
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int, text: str, doc_id: str, label: str, most_bytes: int = TRAIN_BYTES) -> tuple[DataFrame | None, float]:
+    """(d_id, t, y): texts and labels of at most rows documents of each class outside the held-out fold; and the share of label 1."""
     y = F.col(label).cast("int")
     marked = labels.select(F.col(doc_id).alias("l_id"), y.alias("y")).filter(F.col("y").isin(0, 1) & F.col("l_id").isNotNull() & ~held_out(F.col("l_id")))
     marked = marked.groupBy("l_id").agg(F.min("y").alias("y"), F.max("y").alias("other")).filter("y = other").drop("other")
@@ -215,21 +217,40 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int, text: str, doc_
         picked = marked.filter(F.col("y") == y).withColumn("h", F.xxhash64("l_id")).orderBy("h", "l_id").limit(rows)
         some = picked if some is None else some.unionByName(picked)
     if some is None:
-        return [], [], 0.0
+        return None, 0.0
     ids = {r.l_id: (r.h, r.y) for r in some.collect()}  # 2 * rows rows at most
     spark, kind = docs.sparkSession, marked.schema["l_id"].dataType.simpleString()
     texts = docs.select(F.col(doc_id).alias("d_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    of = lambda wanted: texts.join(F.broadcast(spark.createDataFrame([(i,) for i in wanted], f"d_id {kind}")), "d_id")
+    of = lambda wanted: texts.join(F.broadcast(spark.createDataFrame([(i, ids[i][1]) for i in wanted], f"d_id {kind}, y int")), "d_id")
     # Of rows of one id, the text of the least hash trains.
     one = F.struct(F.xxhash64("t").alias("h"), F.octet_length("t").alias("bytes"))
     sizes = {r.d_id: r.one for r in of(ids).groupBy("d_id").agg(F.min(one).alias("one")).collect()}
-    taken, room = {}, most_bytes
+    taken, room = [], most_bytes
     for i in sorted(sizes, key=lambda i: (ids[i][0], i)):
         if sizes[i].bytes <= room:
-            taken[i], room = sizes[i].h, room - sizes[i].bytes
-    found = {r.d_id: r.t for r in of(taken).groupBy("d_id").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t"))["t"].alias("t")).collect()} if taken else {}
-    order = sorted(found)
-    return [found[i] for i in order], [ids[i][1] for i in order], counts.get(1, 0) / max(1, sum(counts.values()))
+            taken.append(i)
+            room -= sizes[i].bytes
+    least = F.min(F.struct(F.xxhash64("t").alias("h"), "t"))["t"]
+    return of(taken).groupBy("d_id", "y").agg(least.alias("t")).select("d_id", "t", "y"), counts.get(1, 0) / max(1, sum(counts.values()))
+
+
+def fitted(sample: DataFrame | None, share: float) -> Model:
+    """The model of a sample, trained in one task: the sample is bounded, and only the model comes to the driver."""
+    none = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, bool)
+    if sample is None:
+        return Model(*none, -40.0)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = [b for b in it if b.num_rows]
+        if batches:
+            rows = pa.Table.from_batches(batches).sort_by("d_id")
+            model = train(rows["t"].to_pylist(), rows["y"].to_pylist(), share)
+            yield pa.RecordBatch.from_arrays([pa.array([model.grams.tobytes()]), pa.array([model.known.tobytes()]), pa.array([model.bias])], names=["grams", "known", "bias"])
+
+    made = sample.repartition(1).mapInArrow(run, "grams binary, known binary, bias double").collect()
+    if not made:
+        return train([], [], share)
+    return Model(np.frombuffer(made[0].grams, np.float32), np.frombuffer(made[0].known, bool), made[0].bias)
 
 
 def held_out(doc_id):
@@ -238,8 +259,7 @@ def held_out(doc_id):
 
 def score(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> DataFrame:
     """docs with score and predicted."""
-    texts, y, share = training_rows(docs, labels, rows, text, doc_id, label)
-    model = train(texts, y, share) if y or share else Model(np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, bool), -40.0)
+    model = fitted(*training_rows(docs, labels, rows, text, doc_id, label))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.drop(*ADDED)
 
@@ -247,4 +267,4 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text: str
         p = scores(shared.value, w)
         return [pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32), pa.int32())]
 
-    return textkit.map_texts(kept, text, kept.columns, ADDED, add)
+    return textkit.map_texts(kept, text, kept.columns, ADDED, add, CHUNK)
