@@ -113,7 +113,8 @@ def scores(model: Model, w: textkit.Words) -> np.ndarray:
     known = _sums(model.known[buckets], at)
     logits = _sums(model.grams[buckets], at) / np.maximum(known, 1)
     z = _sums(logits, w.at) / np.maximum(_sums(known > 0, w.at), 1) + model.bias
-    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    # Nine places: the last ones depend on what else a batch holds.
+    return np.round(1 / (1 + np.exp(-np.clip(z, -40, 40))), 9)
 
 
 class _Sums:
