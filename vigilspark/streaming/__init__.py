@@ -1 +1 @@
-"""See the package README."""
+"""Files that arrive."""
