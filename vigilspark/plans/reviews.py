@@ -222,6 +222,7 @@ final AS (SELECT diff_id, id, rule_id, (['low', 'medium', 'high', 'critical'])[r
 _only = lambda ctes, name, more="", rec="": f"WITH {rec}{_TRUST_LINES}, {ctes} SELECT {_FOUND}{more} FROM {name}"
 _PAIRS = ", ".join(f"({_s(c)}, {_s(row[0])})" for row in controls.known() for c in controls.standards(row[0]))
 SQL = {
+    "flow_review": f"WITH RECURSIVE {C._LINES}, {_FLOW_CTES.replace('file_ix, hunk_ix', 'hunk_ix')} SELECT {_FOUND} FROM flows",
     "control_matrix": f"""WITH {_SAMPLE_LINES}, {_RULES}, found AS (SELECT {C._OUT} FROM n {C._ONCE}), pairs(control, id) AS (VALUES {_PAIRS}), c AS (SELECT rule_id, count(*) AS n FROM found GROUP BY rule_id)
 SELECT control, string_agg(id, ',' ORDER BY id) AS rules, coalesce(sum(n), 0)::BIGINT AS findings FROM pairs LEFT JOIN c ON c.rule_id = pairs.id GROUP BY control""",
     "coverage_review": f"WITH {_SAMPLE_LINES}, {_RULES} SELECT {C._OUT} FROM n {C._ONCE}",
