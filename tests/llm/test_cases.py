@@ -223,6 +223,20 @@ def test_hubs_and_chains(spark):
     assert got == {**{i: 0 for i in (*range(3000), *range(5000, 5041))}, 7000: 7000, 7001: 7000}
 
 
+def test_components_of_random_links(spark, monkeypatch):
+    monkeypatch.setattr(components, "CHUNK", 7)
+    rng = np.random.default_rng(3)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000 + i, 1000 + (i * 7 + 1) % 50) for i in range(50)]
+    least = {x: x for pair in links for x in pair}
+    for _ in range(len(least)):
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    got = components.components(spark.createDataFrame(links + links[:40], "a long, b long").repartition(5)).collect()
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    assert sorted((r.node, r.root) for r in got) == sorted((x, least[x]) for x in linked)
+    assert components.components(spark.createDataFrame([(4, 4)], "a long, b long")).count() == 0
+
+
 def test_groups_with_failing_pairs(spark):
     """A chain of documents, each like the next and not like those further on, beside unlike ones that share most words."""
     rng = random.Random(2)

@@ -4,41 +4,87 @@ Large star: each node's greater neighbours link to the least of its
 neighbourhood.  Small star: each node's lesser neighbours do.  Both are an
 aggregation and a join.  A node of very many links is one key of that join;
 there are few such nodes whatever the size of the table, so they are met by
-broadcast (textkit.meet).  Rounds are logarithmic; each is written to the shared
-folder, which cuts lineage, and the one before is deleted.
+broadcast (textkit.meet).  Before each exchange of links a task replaces those it
+holds, CHUNK at a time, by stars to the least node they reach, as a combiner
+would: that keeps what is connected, leaves no more links than before, and saves
+rounds.  Rounds are logarithmic; each is written to the shared folder, which cuts
+lineage, and the one before is deleted.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilspark.llm import textkit
 from vigilspark.llm.store import discard, settle
 
+CHUNK = 1 << 20
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links a, b as stars: each node but the least of those it reaches, and that one."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while (label[x] != label[y]).any():
+        low = np.minimum(label[x], label[y])
+        np.minimum.at(label, label[x], low)
+        np.minimum.at(label, label[y], low)
+        while (label[label] != label).any():
+            label = label[label]
+    child = label != np.arange(len(nodes))
+    return nodes[child], nodes[label[child]]
+
+
+def _contracted(links: DataFrame) -> DataFrame:
+    """links (a, b) without nulls, each task's as stars: a narrow pass."""
+
+    def chunks(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        held, rows = [], 0
+        for batch in it:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            rows += batch.num_rows
+            if rows >= CHUNK:
+                yield tuple(np.concatenate(side) for side in zip(*held))
+                held, rows = [], 0
+        if rows:
+            yield tuple(np.concatenate(side) for side in zip(*held))
+
+    def contract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b in chunks(it):
+            child, root = stars(a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(child), pa.array(root)], names=["a", "b"])
+
+    return links.select("a", "b").mapInArrow(contract, "a long, b long")
+
 
-def _star(links: DataFrame, n: int, large: bool) -> tuple[DataFrame, DataFrame]:
-    """links (a > b) rewired to the least node of each neighbourhood, and a table to discard."""
+def _neighbourhoods(links: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
+    """Sides (u, v) of links (a > b), and as a table to discard the least node m of each neighbourhood of u."""
     sides = links.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*")
     around = sides if large else sides.filter("v < u")
-    least = settle(around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", F.least("u", "m").alias("m"), "degree"), "least")
-    met = textkit.meet(around, least, "u", "degree", 2 * n)
-    moved = met.filter("v > u") if large else met.filter("v <> m").select("u", "v", "m").unionByName(least.select("u", F.col("u").alias("v"), "m"))
-    return moved.select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), least
+    return around, settle(around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", F.least("u", "m").alias("m"), "degree"), "least")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(a, b) links of longs -> (node, root): the least node that each linked node reaches."""
-    now = settle(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
+    now = settle(_contracted(links.filter("a <> b")).distinct(), "links")
+    large = True
     while True:
-        ends = now.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.lit(1).alias("child")), F.struct(F.col("b").alias("u"), F.lit(0).alias("child")))).alias("e")).select("e.*")
-        # Stars alone are left once each child has one link and no child is a root.
-        seen = ends.groupBy("u").agg(F.count("*").alias("n"), F.sum("child").alias("c")).agg(F.sum("c").alias("n"), F.bool_or((F.col("c") > 1) | ((F.col("c") == 1) & (F.col("n") > 1))).alias("more")).first()
-        if not seen.more:
+        around, least = _neighbourhoods(now, large)
+        # Stars alone are left once each node with a lesser neighbour has no other.
+        seen = least.agg(F.sum("degree").alias("n"), F.bool_or((F.col("m") < F.col("u")) & (F.col("degree") > 1)).alias("more")).first()
+        if large and not seen.more:
+            discard(least)
             break
-        for large in (True, False):
-            moved, least = _star(now, seen.n, large)
-            before, now = now, settle(moved, "links")
-            discard(before, least)
+        met = textkit.meet(around, least, "u", "degree", seen.n)
+        moved = met.filter("v > u") if large else met.filter("v <> m").select("u", "v", "m").unionByName(least.select("u", F.col("u").alias("v"), "m"))
+        before, now = now, settle(_contracted(moved.select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b")).distinct(), "links")
+        discard(before, least)
+        large = not large
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
