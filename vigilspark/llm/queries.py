@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilspark.llm import bpe, linededup, mixing, neardup, pii, quality, substrings, toxicity, urlfilter, vectors
+from vigilspark.llm import bpe, centroids, divergence, linededup, mixing, neardup, packing, pii, quality, substrings, toxicity, urlfilter, vectors
 
+CENTROIDS, ROUNDS = 40, 5
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
@@ -63,6 +64,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=CENTROIDS, rounds=ROUNDS)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_substring_dedup": op2_substring_dedup,
@@ -74,12 +89,56 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_embedding_neardup": op9_embedding_neardup,
     "op10_mixing": op10_mixing,
+    "op11_centroids": op11_centroids,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
 
 _UPPER, _LOWER = urlfilter.UPPER, urlfilter.LOWER
 _RULES = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in URL_RULES)
 _LINE = rf"regexp_replace(regexp_replace(translate(line, '{_UPPER}', '{_LOWER}'), '[ \t\n\x0B\f\r]+', ' ', 'g'), '^ | $', '', 'g')"
+
+
+def _lloyd() -> str:
+    """Lloyd's rounds over all kept vectors, unrolled."""
+    near = "SELECT {what} FROM (SELECT x.vec_id, x.q, c.i, list_sum(list_transform(list_zip(x.q, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM x CROSS JOIN {c} c) GROUP BY vec_id"
+    steps = [f"""
+x AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda v: floor(256 * v::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS i, q AS c FROM (SELECT sha256('2:' || vec_id) AS h, q FROM x ORDER BY h LIMIT {CENTROIDS}))"""]
+    for r in range(ROUNDS):
+        steps.append(f"""
+a{r} AS MATERIALIZED ({near.format(what="arg_min(i, (d, i)) AS i, any_value(q) AS q", c=f"c{r}")}),
+m{r} AS (SELECT i, list(m ORDER BY j) AS c FROM (SELECT i, j, (sum(v) - ((sum(v) % count(*)) + count(*)) % count(*)) // count(*) AS m FROM (SELECT i, unnest(q) AS v, unnest(range(64)) AS j FROM a{r}) GROUP BY i, j) GROUP BY i),
+c{r + 1} AS MATERIALIZED (SELECT c.i, coalesce(m.c, c.c) AS c FROM c{r} c LEFT JOIN m{r} m USING (i))""")
+    steps.append(f"\nf AS ({near.format(what='vec_id, arg_min(i, (d, i)) AS i, min(d) AS d', c=f'c{ROUNDS}')})")
+    return "WITH" + ",".join(steps) + f"""
+SELECT vec_id, f.i::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY f.i))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM f JOIN c{ROUNDS} c USING (i)"""
+
+
 SQL: dict[str, str] = {
+    "op11_centroids": _lloyd(),
+    "op12_source_divergence": rf"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS text FROM documents),
+t AS (SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 3),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+n AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(v, 0) AS v, coalesce((SELECT sum(n) FROM n WHERE n.lang = d.lang AND n.source = d.source), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) d LEFT JOIN v USING (lang)),
+p AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n.n, 0) + 1)) // (g.total + g.v)::HUGEINT AS p
+  FROM g JOIN kept k ON k.lang = g.lang LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+q AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 1)) // (sum(sum(n)) OVER (PARTITION BY lang) + any_value(v))::HUGEINT AS q
+  FROM n JOIN v USING (lang) GROUP BY lang, term),
+far AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+term AS (SELECT p.lang, p.source, p.term AS item, (p - q) * (p - q) // q AS value FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE p.n > 0 AND p > q),
+every AS (SELECT 'pair' AS part, * FROM pair UNION ALL SELECT 'term', * FROM term),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200""",
     "op9_embedding_neardup": """
 WITH RECURSIVE u AS (
   SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings
