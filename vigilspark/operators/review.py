@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilspark.operators import analyzers, findings, rules, trust
+from vigilspark.operators import analyzers, findings, goflows, rules, trust
 from vigilspark.operators.catalogue import BUILTIN
 from vigilspark.operators.rules import Rule
 
@@ -44,7 +44,7 @@ def review(lines: DataFrame, policy: Policy = Policy(), catalogue: Sequence[Rule
     stages = []
     if chosen:
         stages.append(rules.evaluate(lines, chosen, policy.allow_values, policy.allow_regexes, policy.ignore, policy.allow_paths, skip_artifacts=True))
-    found = [analyzers.flows(lines), trust.nonces(lines), analyzers.signatures(lines)]
+    found = [analyzers.flows(lines), goflows.go_flows(lines), trust.nonces(lines), analyzers.signatures(lines)]
     if not whole_files:
         found += [analyzers.manifests(lines), trust.supply(lines, policy.allow_packages, policy.deny_packages, policy.trusted_registries), rules.downgrades(lines), trust.intents(lines)]
         found += [trust.snapshots(lines, policy.snapshots)] if policy.snapshots else []

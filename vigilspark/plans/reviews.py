@@ -9,6 +9,7 @@ from vigilspark.functions import text as T
 from vigilspark.operators import analyzers, controls, findings, review, rules, trust
 from vigilspark.operators.catalogue import BUILTIN
 from vigilspark.plans import catalogue as C
+from vigilspark.plans import changes
 from vigilspark.plans.samples import SAMPLES
 
 
@@ -211,10 +212,10 @@ flows AS (SELECT diff_id, left(sha256(rule_id || '|' || path || '|' || text), 16
   QUALIFY row_number() OVER (PARTITION BY diff_id, rule_id, path, text ORDER BY file_ix, hunk_ix, line_ix) = 1)"""
 _SIGNAL_CTES = f"sig AS ({C._SIGNAL_ROWS}), signals AS ({C._SIGNAL_OUT})"
 _BRANCH_CTES = f"br AS ({C._BRANCH_ROWS}), branches AS ({C._BRANCH_OUT})"
-_ALL = f"""WITH RECURSIVE {_TRUST_LINES}, {_RULES}, {_FLOW_CTES}, {_NONCE_CTES}, {_SIGNAL_CTES}, {_SUPPLY_CTES}, {_DOWN_CTES}, {_INTENT_CTES}, {_SNAP_CTES}, {_BRANCH_CTES},
+_ALL = f"""WITH RECURSIVE {_TRUST_LINES}, {_RULES}, {_FLOW_CTES}, {changes.GO_CTES}, {_NONCE_CTES}, {_SIGNAL_CTES}, {_SUPPLY_CTES}, {_DOWN_CTES}, {_INTENT_CTES}, {_SNAP_CTES}, {_BRANCH_CTES},
 byrule AS (SELECT {C._OUT} FROM n {C._ONCE}),
-every AS (SELECT {_FOUND}, 0 AS stage FROM byrule UNION ALL SELECT {_FOUND}, 1 FROM flows UNION ALL SELECT {_FOUND}, 2 FROM nonces UNION ALL SELECT {_FOUND}, CASE WHEN rule_id LIKE 'crypto%' THEN 3 ELSE 4 END FROM signals
-  UNION ALL SELECT {_FOUND}, 5 FROM supply UNION ALL SELECT {_FOUND}, 6 FROM downs UNION ALL SELECT {_FOUND}, 7 FROM intents UNION ALL SELECT {_FOUND}, 8 FROM snaps UNION ALL SELECT {_FOUND}, 9 FROM branches),
+every AS (SELECT {_FOUND}, 0 AS stage FROM byrule UNION ALL SELECT {_FOUND}, 1 FROM flows UNION ALL SELECT {_FOUND}, 2 FROM gosinks UNION ALL SELECT {_FOUND}, 3 FROM nonces UNION ALL SELECT {_FOUND}, CASE WHEN rule_id LIKE 'crypto%' THEN 4 ELSE 5 END FROM signals
+  UNION ALL SELECT {_FOUND}, 6 FROM supply UNION ALL SELECT {_FOUND}, 7 FROM downs UNION ALL SELECT {_FOUND}, 8 FROM intents UNION ALL SELECT {_FOUND}, 9 FROM snaps UNION ALL SELECT {_FOUND}, 10 FROM branches),
 zoned AS (SELECT *, CASE WHEN starts_with(path, 'src/') THEN 'critical' WHEN starts_with(path, 'lib/') THEN 'restricted' END AS zone, CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS rank FROM every),
 moved AS (SELECT * REPLACE (least(4, rank + CASE zone WHEN 'critical' THEN 2 WHEN 'restricted' THEN 1 ELSE 0 END) AS rank) FROM zoned),
 final AS (SELECT diff_id, id, rule_id, (['low', 'medium', 'high', 'critical'])[rank] AS severity, confidence, path, line::INT AS line, side, snippet, stage, zone, CASE WHEN zone IS NOT NULL THEN severity END AS base_severity,
