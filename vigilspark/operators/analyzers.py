@@ -7,6 +7,7 @@ severity, confidence, path, line, side, snippet; the first of equal ids stays.""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -66,6 +67,36 @@ def _first(found: DataFrame) -> DataFrame:
     return found.groupBy("diff_id", "id").agg(F.min_by(F.struct(*rest), F.struct("file_ix", "hunk_ix", "line_ix", "rule_id")).alias("f")).select("diff_id", "id", "f.*")
 
 
+SYNTHETIC = "semantic correlation inside diff hunk"
+
+
+def found(rule_id: Column, category: Column, severity: Column, line: Column, snippet: Column, ident: Column, line_ix: Column | None = None, confidence: str = "medium", reasons: Column | None = None) -> Column:
+    """A finding of a hunk, as a struct that all analyzers share."""
+    none = F.array().cast("array<string>")
+    at = F.lit(0) if line_ix is None else line_ix
+    return F.struct(at.cast("long").alias("line_ix"), ident.alias("id"), rule_id.alias("rule_id"), category.alias("category"), severity.alias("severity"), F.lit(confidence).alias("confidence"), line.cast("long").alias("line"), F.lit("added").alias("side"), snippet.alias("snippet"), (none if reasons is None else reasons).alias("reasons"))
+
+
+def listed(items: Sequence[Column]) -> Column:
+    """Those that aren't null, in order."""
+    return F.filter(F.array(*items), lambda x: x.isNotNull())
+
+
+def info(when: Column, rule: str, title: str, category: Column | str, severity: Column | str) -> Column:
+    lit = lambda v: F.lit(v) if isinstance(v, str) else v
+    return F.when(when, F.struct(F.lit(rule).alias("rule_id"), F.lit(title).alias("title"), lit(category).alias("category"), lit(severity).alias("severity")))
+
+
+def synthetic(infos: Column) -> Column:
+    """Findings of a hunk as a whole, at its first line, from infos."""
+    return F.transform(infos, lambda r: found(r["rule_id"], r["category"], r["severity"], F.col("first_no"), F.lit(SYNTHETIC), T.identity(r["rule_id"], F.col("path"), F.col("first_no"), F.lit("added"), r["title"])))
+
+
+def spread(hunks: DataFrame, findings: Column) -> DataFrame:
+    """The findings of hunks as rows, of equal ids the first."""
+    return _first(hunks.select(*HUNK, "path", F.explode(findings).alias("r")).select(*HUNK, "path", "r.*"))
+
+
 def tainted_uses(added: Column, known: Column) -> Column:
     """For each added line (text), whether it uses a tainted name: one known in the hunk, or one that an earlier line, or itself, taints and no guard has cleaned.
 
@@ -85,26 +116,32 @@ def tainted_uses(added: Column, known: Column) -> Column:
     return F.aggregate(added, start, step, lambda state: state["uses"])
 
 
-def flows(lines: DataFrame) -> DataFrame:
-    """Added lines where tainted values reach a sink, in code outside documents and fixtures."""
-    hunks = _hunks(lines.filter(T.executable(F.col("path")))).filter(F.size("added") > 0)
+def flows_found() -> Column:
+    """Findings of a hunk's added lines (added, hunk_text) where tainted values reach a sink."""
     low = F.lower("hunk_text")
     names = F.array_distinct(F.transform(F.regexp_extract_all("hunk_text", F.lit(T.re2(SOURCE_ASSIGN)), F.lit(1)), F.lower))
-    read = hunks.withColumns({"names": names, "guarded": _has(low, *GUARDS)})
-    in_hunk = F.when(F.size("names") > 0, F.exists("names", lambda v: F.contains(low, v))).otherwise(F.col("hunk_text").rlike(T.re2(SOURCE)))
-    read = read.withColumns({"uses": tainted_uses(F.col("added"), F.col("names")), "in_hunk": in_hunk})
-    each = read.select(*HUNK, "path", "guarded", "in_hunk", F.explode(F.arrays_zip("added", "uses")).alias("z")).select(*HUNK, "path", "guarded", "in_hunk", "z.added.*", F.col("z.uses").alias("used"))
-    line, open_use = F.col("text"), F.col("used") & ~F.col("guarded")
-    hit = lambda p: line.rlike(T.re2(p))
-    tests = [
-        ("semantic.ssrf.flow", "ssrf", "critical", hit(FETCH) & open_use), ("semantic.command.flow", "injection", "critical", hit(EXEC) & open_use),
-        ("semantic.traversal.flow", "file", "high", hit(PATH) & open_use), ("semantic.sql.flow", "injection", "high", hit(QUERY) & F.col("used")),
-        ("semantic.idor.flow", "authorization", "high", hit(LOOKUP) & ~hit(FETCH) & open_use), ("semantic.template.flow", "template", "high", hit(TEMPLATE) & F.col("in_hunk")),
-    ]
-    found = F.filter(F.array(*[F.when(test, F.struct(F.lit(r).alias("rule_id"), F.lit(c).alias("category"), F.lit(s).alias("severity"))) for r, c, s, test in tests]), lambda x: x.isNotNull())
-    rows = each.withColumn("r", F.explode(found)).select(*HUNK, "line_ix", "path", "text", F.col("number").alias("line"), "r.*")
-    # The id has no line number: a text that repeats in a file is one finding.
-    return _first(rows.withColumns({"id": T.identity(F.col("rule_id"), F.col("path"), F.col("text")), "confidence": F.lit("medium"), "side": F.lit("added"), "snippet": T.trim_space(F.col("text"))}))
+    read = F.struct(names.alias("names"), _has(low, *GUARDS).alias("guarded"), F.when(F.size(names) > 0, F.exists(names, lambda v: F.contains(low, v))).otherwise(F.col("hunk_text").rlike(T.re2(SOURCE))).alias("in_hunk"))
+
+    def of(h: Column) -> Column:
+        def tests(z: Column) -> Column:
+            line = z["added"]["text"]
+            hit, open_use = lambda p: line.rlike(T.re2(p)), z["uses"] & ~h["guarded"]
+            rules = [
+                ("semantic.ssrf.flow", "ssrf", "critical", hit(FETCH) & open_use), ("semantic.command.flow", "injection", "critical", hit(EXEC) & open_use),
+                ("semantic.traversal.flow", "file", "high", hit(PATH) & open_use), ("semantic.sql.flow", "injection", "high", hit(QUERY) & z["uses"]),
+                ("semantic.idor.flow", "authorization", "high", hit(LOOKUP) & ~hit(FETCH) & open_use), ("semantic.template.flow", "template", "high", hit(TEMPLATE) & h["in_hunk"]),
+            ]
+            # The id has no line number: a text that repeats in a file is one finding.
+            return listed([F.when(test, found(F.lit(r), F.lit(c), F.lit(s), z["added"]["number"], T.trim_space(line), T.identity(F.lit(r), F.col("path"), line), z["added"]["line_ix"])) for r, c, s, test in rules])
+
+        return F.flatten(F.transform(F.arrays_zip(F.col("added").alias("added"), tainted_uses(F.col("added"), h["names"]).alias("uses")), tests))
+
+    return F.transform(F.array(read), of)[0]
+
+
+def flows(lines: DataFrame) -> DataFrame:
+    """Added lines where tainted values reach a sink, in code outside documents and fixtures."""
+    return spread(_hunks(lines.filter(T.executable(F.col("path")))).filter(F.size("added") > 0), flows_found())
 
 
 def _near_miss(token: Column) -> Column:
@@ -117,26 +154,32 @@ def _near_miss(token: Column) -> Column:
     return (name != "") & F.coalesce(*steps, F.lit(False))
 
 
-def _correlated(hunks: DataFrame, infos: tuple, tests: list[Column]) -> DataFrame:
-    found = [F.when(test, F.struct(F.lit(r).alias("rule_id"), F.lit(t).alias("title"), F.lit(c).alias("category"), F.lit(s).alias("severity"))) for (r, t, c, s), test in zip(infos, tests)]
-    rows = hunks.withColumn("r", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull()))).select(*HUNK, F.lit(0).alias("line_ix"), "path", F.col("first_no").alias("line"), "r.*")
-    return _first(rows.withColumns({"id": T.identity(F.col("rule_id"), F.col("path"), F.col("line"), F.lit("added"), F.col("title")), "confidence": F.lit("medium"), "side": F.lit("added"), "snippet": F.lit("semantic correlation inside diff hunk")}))
+def signatures_found() -> Column:
+    low = F.lower("hunk_text")
+    tests = [_has(low, 'header["alg"]', "token.header.alg"), _has(low, 'header["kid"]', "token.header.kid"), _has(low, "jku", "jwk", "x5u") & _has(low, "http.get", "fetch(", "axios"), _has(low, "publickey") & _has(low, "hmac")]
+    return synthetic(listed([info(test, r, t, c, s) for (r, t, c, s), test in zip(SIGNATURE, tests)]))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
     """Words of a hunk of code that together weaken signatures."""
-    low = F.lower("hunk_text")
-    tests = [_has(low, 'header["alg"]', "token.header.alg"), _has(low, 'header["kid"]', "token.header.kid"), _has(low, "jku", "jwk", "x5u") & _has(low, "http.get", "fetch(", "axios"), _has(low, "publickey") & _has(low, "hmac")]
-    return _correlated(_hunks(lines.filter(T.executable(F.col("path")))), SIGNATURE, tests)
+    return spread(_hunks(lines.filter(T.executable(F.col("path")))), signatures_found())
 
 
-def manifests(lines: DataFrame) -> DataFrame:
-    """Words of a hunk of a manifest or configuration that together weaken the supply of packages."""
-    path, low = F.col("path"), F.lower("hunk_text")
+def is_manifest(path: Column) -> Column:
     named = reduce(lambda a, b: a | b, [path.endswith(m) for m in MANIFESTS])
+    return ~T.fixture(path) & ((T.language(path) == "config") | named)
+
+
+def manifests_found() -> Column:
+    low = F.lower("hunk_text")
     tokens = F.flatten(F.transform("added", lambda x: F.split(T.trim_space(x["text"]), '[": =><]+')))
     tests = [_has(low, "registry=https://registry.npmjs.org", "index-url = https://pypi.org/simple"), _has(low, '"latest"', '"*"', '"next"'), _has(low, "replace ") & _has(low, "github.com"), F.exists(tokens, _near_miss)]
-    return _correlated(_hunks(lines.filter(~T.fixture(path) & ((T.language(path) == "config") | named))), SUPPLY, tests)
+    return synthetic(listed([info(test, r, t, c, s) for (r, t, c, s), test in zip(SUPPLY, tests)]))
+
+
+def manifests(lines: DataFrame) -> DataFrame:
+    """Words of a hunk of a manifest or configuration that together weaken the supply of packages."""
+    return spread(_hunks(lines.filter(is_manifest(F.col("path")))), manifests_found())
 
 
 def signals(lines: DataFrame) -> DataFrame:

@@ -26,8 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilspark.functions import text as T
-from vigilspark.operators.analyzers import _first, _hunks
-from vigilspark.operators.rules import HUNK
+from vigilspark.operators.analyzers import _hunks, spread, synthetic
 
 # Rule, the sink's name, title (which ids hash), category, severity; words of calls that give what a request holds.
 SINKS = (
@@ -264,11 +263,18 @@ def worth_reading(low: Column) -> Column:
     return both[0] | both[1] | both[2] | both[3] | both[4]
 
 
+def reads_go(path: Column) -> Column:
+    return (T.language(path) == "go") & ~T.artifact(path)
+
+
+def go_found() -> Column:
+    """Findings of a hunk of Go, one of each rule."""
+    sinks = F.when(worth_reading(F.lower("hunk_text")), F.array_distinct(go_sinks("hunk_text")))
+    infos = F.array(*[F.struct(F.lit(n).alias("sink"), F.lit(r).alias("rule_id"), F.lit(t).alias("title"), F.lit(c).alias("category"), F.lit(s).alias("severity")) for r, n, t, c, s in (*SINKS, UNSAFE)])
+    return F.transform(F.array(sinks), lambda s: synthetic(F.filter(infos, lambda r: F.coalesce(F.array_contains(s, r["sink"]), F.lit(False)))))[0]
+
+
 def go_flows(lines: DataFrame) -> DataFrame:
     """Findings of hunks of Go outside documents and fixtures, one of each rule for a hunk."""
-    code = lines.filter((T.language(F.col("path")) == "go") & ~T.artifact(F.col("path")))
-    hunks = _hunks(code).filter(worth_reading(F.lower("hunk_text")))
-    infos = F.array(*[F.struct(F.lit(n).alias("sink"), F.lit(r).alias("rule_id"), F.lit(t).alias("title"), F.lit(c).alias("category"), F.lit(s).alias("severity")) for r, n, t, c, s in (*SINKS, UNSAFE)])
-    found = hunks.select(*HUNK, "path", F.col("first_no").alias("line"), F.array_distinct(go_sinks("hunk_text")).alias("sinks")).filter(F.size("sinks") > 0)
-    rows = found.select(*HUNK, F.lit(0).alias("line_ix"), "path", "line", F.explode(F.filter(infos, lambda r: F.array_contains("sinks", r["sink"]))).alias("r")).select(*HUNK, "line_ix", "path", "line", "r.*")
-    return _first(rows.withColumns({"id": T.identity(F.col("rule_id"), F.col("path"), F.col("line"), F.lit("added"), F.col("title")), "confidence": F.lit("medium"), "side": F.lit("added"), "snippet": F.lit("semantic correlation inside diff hunk")}))
+    hunks = _hunks(lines.filter(reads_go(F.col("path"))))
+    return spread(hunks.filter(worth_reading(F.lower("hunk_text"))), go_found())

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilspark.functions import text as T
@@ -218,46 +218,75 @@ def evaluate(lines: DataFrame, rules: Sequence[Rule], allow_values: Sequence[str
 
     Lines with an allowed value or pattern, paths that an ignore glob fits and,
     if wished, documents and fixtures have none; null texts match nothing."""
-    check(rules, allow_regexes)
-    skipped = [*ignore, *allow_paths]
-    seen = lines.filter(~T.any_glob(F.col("path"), skipped)) if skipped else lines
-    seen = seen.filter(~T.artifact(F.col("path"))) if skip_artifacts else seen
-    scopes = list(dict.fromkeys(r.paths for r in rules if r.paths))
-    scoped = seen.withColumn("scopes", F.array(*[T.any_glob(F.col("path"), s) for s in scopes])) if scopes else seen
-    scope = lambda r: F.get("scopes", F.lit(scopes.index(r.paths))) if r.paths else F.lit(True)
-    tests = F.filter(F.array(*[F.when(_line_test(r, scope(r)), F.lit(i)) for i, r in enumerate(rules)]), lambda i: i.isNotNull())
-    allow_values = [v for v in allow_values if v]
-    if allow_values or allow_regexes:
-        allowed = _some([F.contains("text", F.lit(v)) for v in allow_values] + _like(F.col("text"), allow_regexes))
-        tests = F.when(~allowed, tests)
+    seen = tagged(lines, rules, allow_values, allow_regexes, ignore, allow_paths, skip_artifacts, drop=True)
     line = ["line_ix", "path", "kind", "text", "old_no", "new_no"]
-    hits = scoped.select(*HUNK, *line, F.coalesce(tests, F.array().cast("array<int>")).alias("rules"))
-    wide = [i for i, r in enumerate(rules) if r.near or r.absent or r.calls]
-    if wide:
+    hits = seen.select(*HUNK, *line, "rules")
+    if reads_hunks(rules):
         hunks = hits.groupBy(*HUNK).agg(F.sort_array(F.collect_list(F.struct(*line, "rules"))).alias("rows"))
-        hunks = hunks.withColumn("wanted", F.array_distinct(F.flatten(F.transform("rows", lambda x: x["rules"])))).filter(F.size("wanted") > 0)
-        hunks = hunks.withColumn("hunk_text", F.array_join(F.transform("rows", lambda x: x["text"]), "\n"))
-        fails = F.array(*[F.when(F.array_contains("wanted", i) & ~_hunk_test(rules[i]), F.lit(i)) for i in wide])
-        hits = hunks.select(*HUNK, "rows", fails.alias("fails")).select(*HUNK, "fails", F.explode("rows").alias("row")).select(*HUNK, "row.*", "fails")
+        hunks = hunks.filter(F.exists("rows", lambda x: F.size(x["rules"]) > 0)).withColumn("hunk_text", F.array_join(F.transform("rows", lambda x: x["text"]), "\n"))
+        hits = hunks.select(*HUNK, "rows", failed(rules).alias("fails")).select(*HUNK, "fails", F.explode("rows").alias("row")).select(*HUNK, "row.*", "fails")
         hits = hits.withColumn("rules", F.array_except("rules", "fails"))
     # An outer explode: a filter on the rules would be pushed below them and run them twice.
     hits = hits.select(*HUNK, *line, F.explode_outer("rules").alias("rule_ix")).filter("rule_ix is not null")
-    infos = lines.sparkSession.createDataFrame([(i, r.id, r.category, r.severity, *_confidences(r), float(r.entropy), r.mask, bool(r.type), bool(r.paths), _why(r)) for i, r in enumerate(rules)], "rule_ix int, rule_id string, category string, severity string, confidence string, raised string, floor double, mask boolean, typed boolean, scoped boolean, why array<string>")
     # The table of rules has one row for each rule of the call, however many lines there are.
-    found = hits.join(F.broadcast(infos), "rule_ix")
-    raised = F.when((F.col("floor") > 0) & (T.entropy(F.col("text"), skip_blanks=True) >= F.col("floor") + 0.4), F.col("raised")).otherwise(F.col("confidence"))
-    found = found.withColumn("confidence", raised)
-    number = F.when(F.col("kind") == "deleted", F.col("old_no")).otherwise(F.col("new_no"))
-    # A pattern's snippet is the line as it stands, a typed rule's has no blanks at its ends.
-    snippet = F.when(F.col("typed"), T.trim_space(F.col("text"))).when(F.col("mask"), T.mask_tokens(F.col("text"))).otherwise(F.col("text"))
-    reasons = F.filter(F.concat(F.when(F.col("scoped"), F.array(F.concat(F.lit("the path is in the rule's scope: "), F.col("path")))).otherwise(F.array().cast("array<string>")), F.col("why")), lambda x: x.isNotNull())
-    shaped = found.select("diff_id", "rule_id", "category", "severity", "confidence", "path", number.alias("line"), F.col("kind").alias("side"), snippet.alias("snippet"), reasons.alias("reasons"), "file_ix", "hunk_ix", "line_ix", "rule_ix")
+    found = hits.join(F.broadcast(infos(lines.sparkSession, rules)), "rule_ix").withColumn("number", F.when(F.col("kind") == "deleted", F.col("old_no")).otherwise(F.col("new_no")))
+    shaped = found.select("diff_id", "rule_id", "category", "severity", raised_confidence().alias("confidence"), "path", F.col("number").alias("line"), F.col("kind").alias("side"), shown().alias("snippet"), explained().alias("reasons"), "file_ix", "hunk_ix", "line_ix", "rule_ix")
     shaped = shaped.withColumn("id", T.identity(F.col("rule_id"), F.col("path"), F.col("line"), F.col("side"), F.col("snippet")))
     order = F.struct("file_ix", "hunk_ix", "line_ix", "rule_ix")
     rest = [c for c in shaped.columns if c not in ("diff_id", "id")]
     return shaped.groupBy("diff_id", "id").agg(F.min_by(F.struct(*rest), order).alias("f")).select("diff_id", "id", "f.*")
 
 
+def tagged(lines: DataFrame, rules: Sequence[Rule], allow_values: Sequence[str] = (), allow_regexes: Sequence[str] = (), ignore: Sequence[str] = (), allow_paths: Sequence[str] = (), skip_artifacts: bool = False, drop: bool = False) -> DataFrame:
+    """lines with rules, the numbers of the rules whose line tests each meets; lines that no rule reads have none, or with drop are left out."""
+    check(rules, allow_regexes)
+    skipped = [*ignore, *allow_paths]
+    read = ~T.any_glob(F.col("path"), skipped) if skipped else F.lit(True)
+    read = read & ~T.artifact(F.col("path")) if skip_artifacts else read
+    seen = lines.filter(read) if drop else lines
+    scopes = list(dict.fromkeys(r.paths for r in rules if r.paths))
+    scoped = seen.withColumn("scopes", F.array(*[T.any_glob(F.col("path"), s) for s in scopes])) if scopes else seen
+    scope = lambda r: F.get("scopes", F.lit(scopes.index(r.paths))) if r.paths else F.lit(True)
+    none = F.array().cast("array<int>")
+    tests = F.filter(F.array(*[F.when(_line_test(r, scope(r)), F.lit(i)) for i, r in enumerate(rules)]), lambda i: i.isNotNull()) if rules else none
+    allow_values = [v for v in allow_values if v]
+    if allow_values or allow_regexes:
+        allowed = _some([F.contains("text", F.lit(v)) for v in allow_values] + _like(F.col("text"), allow_regexes))
+        tests = F.when(~allowed, tests)
+    tests = tests if drop else F.when(read, tests)
+    return scoped.withColumn("rules", F.coalesce(tests, none)).drop("scopes")
+
+
+def reads_hunks(rules: Sequence[Rule]) -> bool:
+    return any(r.near or r.absent or r.calls for r in rules)
+
+
+def failed(rules: Sequence[Rule]) -> Column:
+    """Of a hunk (rows with rules, hunk_text), the rules that its lines meet and its text doesn't."""
+    wanted = F.array_distinct(F.flatten(F.transform("rows", lambda x: x["rules"])))
+    wide = [i for i, r in enumerate(rules) if r.near or r.absent or r.calls]
+    fails = lambda w: F.array(*[F.when(F.array_contains(w, i) & ~_hunk_test(rules[i]), F.lit(i)) for i in wide])
+    return F.transform(F.array(wanted), fails)[0] if wide else F.array().cast("array<int>")
+
+
+def infos(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
+    """What findings show of their rules, one row for each."""
+    return spark.createDataFrame([(i, r.id, r.category, r.severity, *_confidences(r), float(r.entropy), r.mask, bool(r.type), bool(r.paths), _why(r)) for i, r in enumerate(rules)], "rule_ix int, rule_id string, category string, severity string, confidence string, raised string, floor double, mask boolean, typed boolean, scoped boolean, why array<string>")
+
+
+def raised_confidence() -> Column:
+    return F.when((F.col("floor") > 0) & (T.entropy(F.col("text"), skip_blanks=True) >= F.col("floor") + 0.4), F.col("raised")).otherwise(F.col("confidence"))
+
+
+def shown() -> Column:
+    """A pattern's snippet is the line as it stands, a typed rule's has no blanks at its ends."""
+    return F.when(F.col("typed"), T.trim_space(F.col("text"))).when(F.col("mask"), T.mask_tokens(F.col("text"))).otherwise(F.col("text"))
+
+
+def explained() -> Column:
+    return F.filter(F.concat(F.when(F.col("scoped"), F.array(F.concat(F.lit("the path is in the rule's scope: "), F.col("path")))).otherwise(F.array().cast("array<string>")), F.col("why")), lambda x: x.isNotNull())
+
+
 # How a control's strength is read from a line.
 SAMESITE = (r"""(?i)(sameSite|samesite)\s*[:=]\s*["']?(strict|lax|none)""", r"(?i)(samesite)=(strict|lax|none)")
 DURATION = r"""(?i)(maxAge|max-age|expiresIn|expiration|expiry|ttl|idleTimeout|sessionTimeout|requestTimeout|readTimeout|writeTimeout|headerTimeout|timeout)\s*[:=]?\s*["']?([0-9]+)\s*(ms|s|m|h|d)?"""
@@ -280,9 +309,9 @@ DOWNGRADES = (
 )
 
 
-def _signals() -> Column:
+def _signals(line: Column) -> Column:
     """The strengths that a line sets: an array of (rule_id, key, value, shown), shown as in the line."""
-    line, low = F.col("text"), F.lower(F.col("text"))
+    low = F.lower(line)
     part = lambda p, k: F.nullif(F.regexp_extract(line, T.re2(p), k), F.lit(""))
     first = lambda ps, k: F.coalesce(*[part(p, k) for p in ps])
     has = lambda *words: _some([F.contains(low, F.lit(w)) for w in words])
@@ -307,7 +336,7 @@ def downgrades(lines: DataFrame) -> DataFrame:
     """Controls that a hunk weakens, per rule and key: the strongest deleted value, was, against the weakest added one, now.
 
     Findings, with hunk_ix, key, was and now; of equal values the first line's counts, and the first of equal ids stays."""
-    signals = F.explode(F.filter(_signals(), lambda s: s.isNotNull()))
+    signals = F.explode(F.filter(_signals(F.col("text")), lambda s: s.isNotNull()))
     found = lines.filter(F.col("kind").isin("added", "deleted")).withColumn("s", signals).select(*HUNK, "line_ix", "path", "kind", "text", "new_no", "s.*")
     lower = F.col("rule_id").isin(*[r for r, *_, worse in DOWNGRADES if worse == "lower"])
     # The weaker a value, the less its strength; of equal ones the first line wins in either order.
@@ -327,3 +356,23 @@ def downgrades(lines: DataFrame) -> DataFrame:
     )
     rest = [c for c in rows.columns if c not in ("diff_id", "id")]
     return rows.groupBy("diff_id", "id").agg(F.min_by(F.struct(*rest), F.struct("file_ix", "hunk_ix", "line_ix", "rule_id", "key")).alias("f")).select("diff_id", "id", "f.*")
+
+
+def weakened(rows: Column) -> Column:
+    """downgrades() of one hunk's rows (line_ix, kind, text, number) in order: (rule_id, key, a, d) with the weakest added and the strongest deleted setting."""
+    changed = F.filter(rows, lambda x: x["kind"].isin("added", "deleted"))
+    lower = lambda s: s["rule_id"].isin(*[r for r, *_, worse in DOWNGRADES if worse == "lower"])
+    strength = lambda s: F.when(lower(s), s["value"]).otherwise(-s["value"])
+    tell = lambda x, s: F.struct(s["rule_id"].alias("rule_id"), s["key"].alias("key"), x["kind"].alias("kind"), s["value"].alias("value"), strength(s).alias("strength"), s["shown"].alias("shown"), x["text"].alias("text"), x["number"].alias("number"), x["line_ix"].alias("line_ix"))
+    every = F.flatten(F.transform(changed, lambda x: F.transform(F.filter(_signals(x["text"]), lambda s: s.isNotNull()), lambda s: tell(x, s))))
+
+    def pairs(signals: Column) -> Column:
+        keys = F.array_distinct(F.transform(F.filter(signals, lambda s: s["kind"] == "added"), lambda s: F.struct(s["rule_id"].alias("rule_id"), s["key"].alias("key"))))
+        mine = lambda k, kind: F.filter(signals, lambda s: (s["rule_id"] == k["rule_id"]) & (s["key"] == k["key"]) & (s["kind"] == kind))
+        # Of equal strengths the first line counts on either side.
+        weakest = lambda k: F.array_min(F.transform(mine(k, "added"), lambda s: F.struct(s["strength"].alias("x"), s["line_ix"].alias("ix"), s.alias("s"))))["s"]
+        strongest = lambda k: F.array_max(F.transform(mine(k, "deleted"), lambda s: F.struct(s["strength"].alias("x"), (-s["line_ix"]).alias("ix"), s.alias("s"))))["s"]
+        both = F.transform(keys, lambda k: F.struct(k["rule_id"].alias("rule_id"), weakest(k).alias("a"), strongest(k).alias("d")))
+        return F.filter(both, lambda p: F.coalesce(p["a"]["strength"] < p["d"]["strength"], F.lit(False)))
+
+    return F.transform(F.array(every), pairs)[0]

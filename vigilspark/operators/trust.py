@@ -6,7 +6,7 @@ settings of a run, so they are literals of the plan."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -14,10 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilspark.functions import text as T
-from vigilspark.operators.analyzers import _first, _has, _hunks
+from vigilspark.operators.analyzers import SYNTHETIC, _first, _has, _hunks, found, info, listed, spread, synthetic
 from vigilspark.operators.rules import HUNK
 
-SYNTHETIC = "semantic correlation inside diff hunk"
 # Lockfiles, parts of a manifest, public registries, life-cycle words, section names that are no packages.
 LOCKFILES = ("package-lock.json", "bun.lock", "bun.lockb", "pnpm-lock.yaml", "yarn.lock")
 SECTIONS = ('"dependencies"', '"devdependencies"', '"optionaldependencies"')
@@ -51,17 +50,6 @@ NONCE_ASSIGN = r"(?i)\b([A-Za-z_][A-Za-z0-9_]*)\b\s*(:=|=).*$"
 CIPHER_USE = r"(?i)(seal\(|open\(|encrypt\(|decrypt\(|gcm\.|chacha20|ctr\(|cbc\()"
 
 
-def _synthetic(hunks: DataFrame, infos: Sequence[Column]) -> DataFrame:
-    """Findings of hunks: each info (rule_id, title, category, severity) that isn't null, in order."""
-    rows = hunks.withColumn("r", F.explode(F.filter(F.array(*infos), lambda x: x.isNotNull()))).select(*HUNK, F.lit(0).alias("line_ix"), "path", F.col("first_no").alias("line"), "r.*")
-    return _first(rows.withColumns({"id": T.identity(F.col("rule_id"), F.col("path"), F.col("line"), F.lit("added"), F.col("title")), "confidence": F.lit("medium"), "side": F.lit("added"), "snippet": F.lit(SYNTHETIC)}))
-
-
-def _info(when: Column, rule: str, title: str, category: Column | str, severity: Column | str) -> Column:
-    lit = lambda v: F.lit(v) if isinstance(v, str) else v
-    return F.when(when, F.struct(F.lit(rule).alias("rule_id"), F.lit(title).alias("title"), lit(category).alias("category"), lit(severity).alias("severity")))
-
-
 def package_name(line: Column) -> Column:
     """The package that a manifest's line adds, or an empty string."""
     trimmed = T.trim_space(line)
@@ -77,32 +65,53 @@ def _named(name: Column, patterns: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
+def _packages() -> Column:
+    """The packages that a hunk adds."""
+    return F.filter(F.transform("added", lambda x: package_name(x["text"])), lambda n: n != "")
+
+
+def _some_line(kind: str, test: Callable[[Column], Column]) -> Column:
+    return F.exists("rows", lambda x: (x["kind"] == kind) & test(F.lower(x["text"])))
+
+
+def supply_found(allow: Sequence[str] = (), deny: Sequence[str] = (), trusted: Sequence[str] = ()) -> Column:
+    """Registries and packages of a hunk outside the policy."""
+    private = _some_line("deleted", lambda t: F.contains(t, F.lit("registry")) & F.contains(t, F.lit("https://")) & ~_has(t, *PUBLIC_HOSTS))
+    public = _some_line("added", lambda t: _has(t, *PUBLIC))
+    outside = _some_line("added", lambda t: F.contains(t, F.lit("registry")) & ~_has(t, *[w.lower() for w in trusted])) if trusted else F.lit(False)
+    names = _packages()
+    denied = F.exists(names, lambda n: _named(n, deny))
+    unknown = F.exists(names, lambda n: ~_named(n, deny) & ~_named(n, allow)) if allow else F.lit(False)
+    return synthetic(listed([info(test, rule, title, "supply", severity) for (rule, title, severity), test in zip(OF_HUNK, (private & public, outside, denied, unknown))]))
+
+
+def adds_dependency() -> Column:
+    """Whether a hunk of a manifest adds packages; whether it adds a life-cycle script; both of hunks outside fixtures."""
+    return F.endswith("path", F.lit("package.json")) & _has(F.lower("hunk_text"), *SECTIONS) & (F.size(_packages()) > 0)
+
+
+def adds_script() -> Column:
+    return F.endswith("path", F.lit("package.json")) & _some_line("added", lambda t: _has(t, *LIFECYCLE))
+
+
+def is_lockfile(path: Column) -> Column:
+    return reduce(lambda a, b: a | b, [F.endswith(F.lower(path), F.lit(w)) for w in LOCKFILES])
+
+
+def supply_of_diff(script: Column, locked: Column) -> Column:
+    """Of a diff that adds packages: (rule_id, category, severity, id) of what is wrong with it."""
+    return listed([F.when(test, F.struct(F.lit(r).alias("rule_id"), F.lit("supply").alias("category"), F.lit(s).alias("severity"), F.substring(F.sha2(F.lit(r + t + m), 256), 1, 16).alias("id"))) for (r, t, s, m), test in zip(OF_DIFF, (script, ~locked))])
+
+
 def supply(lines: DataFrame, allow: Sequence[str] = (), deny: Sequence[str] = (), trusted: Sequence[str] = ()) -> DataFrame:
     """Registries and packages outside the policy, per hunk; dependencies with life-cycle scripts or without a lockfile, per diff."""
-    path, low = F.col("path"), F.lower("hunk_text")
     hunks = _hunks(lines.filter(~T.fixture(F.col("path"))))
-    of = lambda kind, test: F.exists("rows", lambda x: (x["kind"] == kind) & test(F.lower(x["text"])))
-    private = of("deleted", lambda t: F.contains(t, F.lit("registry")) & F.contains(t, F.lit("https://")) & ~_has(t, *PUBLIC_HOSTS))
-    public = of("added", lambda t: _has(t, *PUBLIC))
-    outside = of("added", lambda t: F.contains(t, F.lit("registry")) & ~_has(t, *[w.lower() for w in trusted])) if trusted else F.lit(False)
-    names = F.filter(F.transform("added", lambda x: package_name(x["text"])), lambda n: n != "")
-    denied = F.exists("names", lambda n: _named(n, deny))
-    unknown = F.exists("names", lambda n: ~_named(n, deny) & ~_named(n, allow)) if allow else F.lit(False)
-    read = hunks.withColumn("names", names)
-    tests = (private & public, outside, denied, unknown)
-    found = _synthetic(read, [_info(test, rule, title, "supply", severity) for (rule, title, severity), test in zip(OF_HUNK, tests)])
-
-    manifest = F.endswith(path, F.lit("package.json"))
-    dependency = manifest & _has(low, *SECTIONS) & (F.size("names") > 0)
-    script = manifest & of("added", lambda t: _has(t, *LIFECYCLE))
+    of_hunks = spread(hunks, supply_found(allow, deny, trusted))
     any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
-    flags = read.groupBy("diff_id").agg(any_(dependency).alias("dependency"), any_(script).alias("script")).filter("dependency")
-    locked = reduce(lambda a, b: a | b, [F.endswith(F.lower("path"), F.lit(w)) for w in LOCKFILES])
-    locks = lines.groupBy("diff_id").agg(any_(locked).alias("locked"))
-    whole = flags.join(locks, "diff_id")
-    infos = [F.when(test, F.struct(F.lit(r).alias("rule_id"), F.lit(s).alias("severity"), F.substring(F.sha2(F.lit(r + t + m), 256), 1, 16).alias("id"))) for (r, t, s, m), test in zip(OF_DIFF, (F.col("script"), ~F.col("locked")))]
-    rows = whole.withColumn("r", F.explode(F.filter(F.array(*infos), lambda x: x.isNotNull())))
-    return found.unionByName(rows.select("diff_id", "r.id", "r.rule_id", F.lit("supply").alias("category"), "r.severity", F.lit("medium").alias("confidence"), F.lit("<branch>").alias("path"), F.lit(1).cast(found.schema["line"].dataType).alias("line"), F.lit("branch").alias("side"), F.lit("branch-level regression correlation").alias("snippet")))
+    flags = hunks.groupBy("diff_id").agg(any_(adds_dependency()).alias("dependency"), any_(adds_script()).alias("script")).filter("dependency")
+    locks = lines.groupBy("diff_id").agg(any_(is_lockfile(F.col("path"))).alias("locked"))
+    rows = flags.join(locks, "diff_id").withColumn("r", F.explode(supply_of_diff(F.col("script"), F.col("locked"))))
+    return of_hunks.unionByName(rows.select("diff_id", "r.id", "r.rule_id", "r.category", "r.severity", F.lit("medium").alias("confidence"), F.lit("<branch>").alias("path"), F.lit(1).cast("long").alias("line"), F.lit("branch").alias("side"), F.lit("branch-level regression correlation").alias("snippet")))
 
 
 def declared_name(line: Column) -> Column:
@@ -128,17 +137,19 @@ def _side(kind: str, but: Column) -> Column:
     return F.lower(F.array_join(F.transform(mine, lambda x: x["text"]), "\n"))
 
 
+def intents_found() -> Column:
+    """The first function of a hunk that is named for a protection which the hunk takes out."""
+    names = F.filter(F.transform("rows", lambda x: declared_name(x["text"])), lambda n: (n != "") & intent_of(n).isNotNull())
+    words = lambda k, n, text: reduce(lambda out, i: F.when(intent_of(n) == i, _has(text, *INTENTS[i][k])).otherwise(out), range(len(INTENTS)), F.lit(False))
+    lost = F.filter(names, lambda n: words(3, n, _side("deleted", n)) & (words(4, n, _side("added", n)) | ~words(3, n, _side("added", n))))
+    first = F.slice(F.transform(lost, intent_of), 1, 1)
+    at = lambda k, i: F.get(F.array(*[F.lit(x[k]) for x in INTENTS]), i)
+    return synthetic(F.transform(first, lambda i: info(F.lit(True), *INTENT, at(1, i), at(2, i))))
+
+
 def intents(lines: DataFrame) -> DataFrame:
     """Functions named for a protection whose hunk takes the protection out; of a hunk the first one."""
-    hunks = _hunks(lines.filter(T.executable(F.col("path"))))
-    names = F.filter(F.transform("rows", lambda x: declared_name(x["text"])), lambda n: (n != "") & intent_of(n).isNotNull())
-    each = hunks.select(*HUNK, "path", "first_no", "rows", F.posexplode(names).alias("pos", "name")).withColumn("i", intent_of(F.col("name")))
-    each = each.withColumns({"gone": _side("deleted", F.col("name")), "come": _side("added", F.col("name"))})
-    of = lambda k, text: reduce(lambda out, i: F.when(F.col("i") == i, _has(F.col(text), *INTENTS[i][k])).otherwise(out), range(len(INTENTS)), F.lit(False))
-    each = each.filter(of(3, "gone") & (of(4, "come") | ~of(3, "come")))
-    first = each.groupBy(*HUNK, "path", "first_no").agg(F.min_by("i", "pos").alias("i"))
-    at = lambda k: F.get(F.array(*[F.lit(x[k]) for x in INTENTS]), F.col("i"))
-    return _synthetic(first, [_info(F.col("i").isNotNull(), *INTENT, at(1), at(2))])
+    return spread(_hunks(lines.filter(T.executable(F.col("path")))), intents_found())
 
 
 @dataclass(frozen=True)
@@ -153,32 +164,43 @@ class Snapshot:
     severity: str = "high"
 
 
-def snapshots(lines: DataFrame, recorded: Sequence[Snapshot]) -> DataFrame:
-    """Recorded anchors whose required words a hunk deletes and doesn't add; of a file the first hunk."""
-    touched = lines.filter(reduce(lambda a, b: a | b, [(F.col("path") == s.path) | T.any_glob(F.col("path"), [s.path]) for s in recorded], F.lit(False)))
-    hunks = _hunks(touched).withColumn("changed", F.get(F.filter("rows", lambda x: x["kind"] != "context"), F.lit(0))["number"])
+def _recorded_at(s: Snapshot) -> Column:
+    return (F.col("path") == s.path) | T.any_glob(F.col("path"), [s.path])
+
+
+def snapshots_found(recorded: Sequence[Snapshot]) -> Column:
+    """Recorded anchors whose required words a hunk deletes and doesn't add; line_ix is the snapshot's number."""
+    changed = F.coalesce(F.get(F.filter("rows", lambda x: x["kind"] != "context"), F.lit(0))["number"], F.lit(1))
 
     def test(i: int, s: Snapshot) -> Column:
-        fits = ((F.col("path") == s.path) | T.any_glob(F.col("path"), [s.path])) & F.contains(F.lower("hunk_text"), F.lit(s.anchor.lower()))
+        fits = _recorded_at(s) & F.contains(F.lower("hunk_text"), F.lit(s.anchor.lower()))
         words = [w.lower() for w in s.require]
         gone, come = (_has(_side(k, F.lit(s.anchor)), *words) if words else F.lit(False) for k in ("deleted", "added"))
-        info = F.struct(F.lit(i).alias("ix"), F.lit(s.id).alias("rule_id"), F.lit(s.category).alias("category"), F.lit(s.severity).alias("severity"), F.lit(s.anchor).alias("anchor"))
-        return F.when(fits & gone & ~come, info)
+        ident = T.identity(F.lit(s.id), F.col("path"), changed, F.lit("added"), F.lit(s.anchor))
+        return F.when(fits & gone & ~come, found(F.lit(s.id), F.lit(s.category), F.lit(s.severity), changed, F.lit("snapshot anchor: " + s.anchor), ident, F.lit(i), "high"))
 
-    none = F.array().cast("array<struct<ix:int,rule_id:string,category:string,severity:string,anchor:string>>")
-    hits = F.filter(F.array(*[test(i, s) for i, s in enumerate(recorded)]), lambda x: x.isNotNull()) if recorded else none
-    rows = hunks.withColumn("r", F.explode(hits)).select(*HUNK, "path", F.coalesce("changed", F.lit(1)).alias("line"), "r.*")
-    first = rows.groupBy("diff_id", "file_ix", "path", "ix").agg(F.min_by(F.struct("hunk_ix", "line", "rule_id", "category", "severity", "anchor"), "hunk_ix").alias("f")).select("diff_id", "file_ix", "path", F.col("ix").alias("line_ix"), "f.*")
-    return _first(first.withColumns({"id": T.identity(F.col("rule_id"), F.col("path"), F.col("line"), F.lit("added"), F.col("anchor")), "confidence": F.lit("high"), "side": F.lit("added"), "snippet": F.concat(F.lit("snapshot anchor: "), "anchor")}))
+    return listed([test(i, s) for i, s in enumerate(recorded)])
 
 
-def nonces(lines: DataFrame) -> DataFrame:
-    """Hunks of code in which one added nonce or initialisation vector is in two added cipher calls or more."""
-    hunks = _hunks(lines.filter(T.executable(F.col("path"))))
+def snapshots(lines: DataFrame, recorded: Sequence[Snapshot]) -> DataFrame:
+    """Recorded anchors whose required words a hunk deletes and doesn't add; of a file the first hunk."""
+    touched = lines.filter(reduce(lambda a, b: a | b, [_recorded_at(s) for s in recorded], F.lit(False)))
+    none = F.array(found(*[F.lit("")] * 3, F.lit(0), F.lit(""), F.lit("")))
+    rows = _hunks(touched).select(*HUNK, "path", F.explode(snapshots_found(recorded) if recorded else F.slice(none, 1, 0)).alias("r")).select(*HUNK, "path", "r.*")
+    rest = [c for c in rows.columns if c not in ("diff_id", "file_ix", "line_ix")]
+    return _first(rows.groupBy("diff_id", "file_ix", "line_ix").agg(F.min_by(F.struct(*rest), "hunk_ix").alias("f")).select("diff_id", "file_ix", "line_ix", "f.*"))
+
+
+def nonces_found() -> Column:
+    """Whether one added nonce or initialisation vector is in two added cipher calls of a hunk or more."""
     low = F.transform("added", lambda x: F.struct(F.lower(x["text"]).alias("low"), F.lower(F.regexp_extract(x["text"], T.re2(NONCE_ASSIGN), 1)).alias("name")))
     is_nonce = lambda n, t: _has(n, "nonce") | F.startswith(n, F.lit("iv")) | F.endswith(n, F.lit("iv")) | _has(t, "nonce", " iv")
     names = F.array_distinct(F.transform(F.filter(low, lambda x: (x["name"] != "") & is_nonce(x["name"], x["low"])), lambda x: x["name"]))
     uses = F.transform(F.filter(low, lambda x: x["low"].rlike(T.re2(CIPHER_USE))), lambda x: x["low"])
-    read = hunks.withColumns({"names": names, "uses": uses})
-    reused = F.exists("names", lambda n: F.size(F.filter("uses", lambda u: F.contains(u, n))) >= 2)
-    return _synthetic(read, [_info(reused, *NONCE, "crypto", "critical")])
+    reused = F.exists(names, lambda n: F.size(F.filter(uses, lambda u: F.contains(u, n))) >= 2)
+    return synthetic(listed([info(reused, *NONCE, "crypto", "critical")]))
+
+
+def nonces(lines: DataFrame) -> DataFrame:
+    """Hunks of code in which one added nonce or initialisation vector is in two added cipher calls or more."""
+    return spread(_hunks(lines.filter(T.executable(F.col("path")))), nonces_found())
