@@ -77,11 +77,11 @@ def _shape(ident: Column, rule_id: Column, category: Column, severity: Column) -
 def review(lines: DataFrame, policy: Policy = Policy(), catalogue: Sequence[Rule] = BUILTIN, custom: Sequence[Rule] = (), whole_files: bool = False) -> DataFrame:
     """Findings (COLUMNS) of diff lines; of whole files only by rules and by the analyzers that need no second side.
 
-    Lines are tagged with the rules they meet, one exchange puts the lines of a hunk
-    together, and all that reads hunks runs on that row; the findings, and what a hunk
+    One exchange puts the lines of a hunk together, where they are tagged with the rules
+    they meet, and all that reads hunks runs on that row; the findings, and what a hunk
     says about its diff, meet by (diff, finding) in the second and last exchange."""
     chosen = [r for r in (*catalogue, *custom) if findings.in_profile(policy.profile, r.id, r.category)]
-    marked = rules.tagged(lines, chosen, policy.allow_values, policy.allow_regexes, policy.ignore, policy.allow_paths, skip_artifacts=True)
+    marked = rules.tagged(lines.repartition("diff_id", "hunk_ix"), chosen, policy.allow_values, policy.allow_regexes, policy.ignore, policy.allow_paths, skip_artifacts=True)
     number = F.when(F.col("kind") == "deleted", F.col("old_no")).otherwise(F.col("new_no"))
     together = F.sort_array(F.collect_list(F.struct("line_ix", "kind", "text", number.cast("long").alias("number"), "rules")))
     hunks = marked.groupBy(*HUNK, "path").agg(together.alias("rows"))

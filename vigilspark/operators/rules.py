@@ -6,8 +6,8 @@ read imports, settings or required calls instead.  All rules of a run become one
 projection: a line carries an array of the rules that it matches, so the fact
 table is read once however many rules there are, and the patterns are literals
 that compile once per task.  If rules read hunks, one shuffle puts each hunk's
-tagged lines together, and a hunk, at most a file, is judged once for the rules
-that touch it.  Patterns are RE2's (functions.text.re2)."""
+lines together before they are tested, and a hunk, at most a file, is judged once
+for the rules that touch it.  Patterns are RE2's (functions.text.re2)."""
 
 from __future__ import annotations
 
@@ -218,7 +218,8 @@ def evaluate(lines: DataFrame, rules: Sequence[Rule], allow_values: Sequence[str
 
     Lines with an allowed value or pattern, paths that an ignore glob fits and,
     if wished, documents and fixtures have none; null texts match nothing."""
-    seen = tagged(lines, rules, allow_values, allow_regexes, ignore, allow_paths, skip_artifacts, drop=True)
+    # Hunks meet before their lines are tested: the exchange carries no rules, and the tests run on all its tasks.
+    seen = tagged(lines.repartition("diff_id", "hunk_ix") if reads_hunks(rules) else lines, rules, allow_values, allow_regexes, ignore, allow_paths, skip_artifacts, drop=True)
     line = ["line_ix", "path", "kind", "text", "old_no", "new_no"]
     hits = seen.select(*HUNK, *line, "rules")
     if reads_hunks(rules):
