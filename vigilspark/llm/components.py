@@ -8,7 +8,9 @@ broadcast (textkit.meet).  Before each exchange of links a task replaces those i
 holds, CHUNK at a time, by stars to the least node they reach, as a combiner
 would: that keeps what is connected, leaves no more links than before, and saves
 rounds.  Rounds are logarithmic; each is written to the shared folder, which cuts
-lineage, and the one before is deleted.
+lineage, and the one before is deleted.  A round takes as many tasks as its links
+ask for, SHARE each, so that few links are few tasks whatever the session's number
+of shuffle partitions is.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from vigilspark.llm import textkit
 from vigilspark.llm.store import discard, settle
 
 CHUNK = 1 << 20
+SHARE = 1 << 16  # links
 
 
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,8 +44,13 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[child], nodes[label[child]]
 
 
-def _contracted(links: DataFrame) -> DataFrame:
-    """links (a, b) without nulls, each task's as stars: a narrow pass."""
+def _dealt(rows: DataFrame, n: int | None) -> DataFrame:
+    """The n rows or less in no more partitions than they ask for, by joining neighbours, without an exchange."""
+    return rows if n is None else rows.coalesce(max(2, -(-n // SHARE)))
+
+
+def _contracted(links: DataFrame, n: int | None = None) -> DataFrame:
+    """n links (a, b) or less without nulls, each task's as stars, once each."""
 
     def chunks(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         held, rows = [], 0
@@ -60,22 +68,24 @@ def _contracted(links: DataFrame) -> DataFrame:
             child, root = stars(a, b)
             yield pa.RecordBatch.from_arrays([pa.array(child), pa.array(root)], names=["a", "b"])
 
-    return links.select("a", "b").mapInArrow(contract, "a long, b long")
+    return _dealt(_dealt(links.select("a", "b"), n).mapInArrow(contract, "a long, b long").distinct(), n)
 
 
-def _neighbourhoods(links: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
-    """Sides (u, v) of links (a > b), and as a table to discard the least node m of each neighbourhood of u."""
+def _neighbourhoods(links: DataFrame, large: bool, n: int) -> tuple[DataFrame, DataFrame]:
+    """Sides (u, v) of n links (a > b), and as a table to discard the least node m of each neighbourhood of u."""
     sides = links.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*")
     around = sides if large else sides.filter("v < u")
-    return around, settle(around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", F.least("u", "m").alias("m"), "degree"), "least")
+    least = around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", F.least("u", "m").alias("m"), "degree")
+    return around, settle(_dealt(least, 2 * n), "least")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(a, b) links of longs -> (node, root): the least node that each linked node reaches."""
-    now = settle(_contracted(links.filter("a <> b")).distinct(), "links")
+    now = settle(_contracted(links.filter("a <> b")), "links")
+    n = now.count()
     large = True
     while True:
-        around, least = _neighbourhoods(now, large)
+        around, least = _neighbourhoods(now, large, n)
         # Stars alone are left once each node with a lesser neighbour has no other.
         seen = least.agg(F.sum("degree").alias("n"), F.bool_or((F.col("m") < F.col("u")) & (F.col("degree") > 1)).alias("more")).first()
         if large and not seen.more:
@@ -83,7 +93,8 @@ def components(links: DataFrame) -> DataFrame:
             break
         met = textkit.meet(around, least, "u", "degree", seen.n)
         moved = met.filter("v > u") if large else met.filter("v <> m").select("u", "v", "m").unionByName(least.select("u", F.col("u").alias("v"), "m"))
-        before, now = now, settle(_contracted(moved.select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b")).distinct(), "links")
+        n = seen.n  # of sides, no fewer than links
+        before, now = now, settle(_contracted(moved.select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b"), n), "links")
         discard(before, least)
         large = not large
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
