@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -84,26 +84,176 @@ _EDGE = f"(?-iu:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 _BLANKS = r"\t\n\f\r "
 
 
+# Named character classes of RE2 in Java's names.
+_CLASSES = {"alnum": "Alnum", "alpha": "Alpha", "ascii": "ASCII", "blank": "Blank", "cntrl": "Cntrl", "digit": "Digit", "graph": "Graph", "lower": "Lower", "print": "Print", "punct": "Punct", "space": "Space", "upper": "Upper", "xdigit": "XDigit"}
+
+
+class PatternError(ValueError):
+    """A pattern that RE2 doesn't have, or that has no equal in Java's dialect."""
+
+
+@lru_cache(maxsize=4096)
 def re2(pattern: str) -> str:
-    """An RE2 pattern in Java's dialect: ASCII word edges and blanks, $ only at the end of the text, Unicode case folding, and a dot that only stops at line feeds."""
-    flags = re.match(r"\(\?([ims]+)\)", pattern)
-    named = flags.group(1) if flags else ""
-    out, in_set, rest = [], False, pattern[flags.end() :] if flags else pattern
-    for token in re.findall(r"\\.|.", rest, flags=re.DOTALL):
-        if token == r"\b" and not in_set:
-            token = _EDGE
-        elif token == r"\s":
-            token = _BLANKS if in_set else f"[{_BLANKS}]"
-        elif token == r"\S" and not in_set:
-            token = f"[^{_BLANKS}]"
-        elif token == "$" and not in_set and "m" not in named:
-            token = r"\z"
-        elif token == "[" and in_set:
-            token = r"\["
-        elif token in "[]":
-            in_set = token == "["
-        out.append(token)
-    return f"(?d{named}{'u' if 'i' in named else ''})" + "".join(out)
+    """An RE2 pattern in Java's dialect: ASCII word edges and blanks, $ only at the end of the text, Unicode case folding, and a dot that only stops at line feeds.
+
+    Knows quoted runs, POSIX classes, scripts, octal escapes, flags of a group, ungreedy
+    patterns and names of groups; what RE2 refuses (looking around, references back,
+    possessive and nested repetition, unknown escapes) is a PatternError."""
+    return "(?d)" + _Re2(pattern).read()
+
+
+class _Re2:
+    def __init__(self, pattern: str):
+        self.p, self.i, self.out = pattern, 0, []
+        self.flags, self.around = {"m": False, "U": False}, []
+        self.atom = False  # whether something stands before that may repeat
+
+    def wrong(self, what: str) -> PatternError:
+        return PatternError(f"pattern {self.p!r}: {what}")
+
+    def put(self, text: str, atom: bool = True) -> None:
+        self.out.append(text)
+        self.atom = atom
+
+    def read(self) -> str:
+        p = self.p
+        while self.i < len(p):
+            c = p[self.i]
+            if c == "\\":
+                self.escape()
+            elif c == "[":
+                self.put(self.set())
+            elif c == "(":
+                self.open()
+            elif c == ")":
+                if not self.around:
+                    raise self.wrong("unexpected )")
+                self.flags = self.around.pop()
+                self.put(")")
+                self.i += 1
+            elif c in "*+?" or c == "{" and re.match(r"\{\d+(,\d*)?\}", p[self.i :]):
+                self.repeat()
+            else:
+                self.i += 1
+                if c == "$":
+                    self.put("$" if self.flags["m"] else r"\z")
+                elif c == "^":
+                    self.put(r"(?:^|(?<=\n))" if self.flags["m"] else "^")
+                else:
+                    self.put("\\{" if c == "{" else c, c != "|")
+        if self.around:
+            raise self.wrong("missing )")
+        return "".join(self.out)
+
+    def escape(self) -> None:
+        p = self.p
+        if p.startswith(r"\Q", self.i):
+            end = p.find(r"\E", self.i + 2)
+            quoted = p[self.i + 2 : end if end >= 0 else len(p)]
+            self.put("".join(c if c.isalnum() or c == "_" else "\\" + c for c in quoted), bool(quoted) or self.atom)
+            self.i = end + 2 if end >= 0 else len(p)
+            return
+        c = p[self.i + 1 : self.i + 2]
+        if c in "bBAz" and c:
+            self.i += 2
+            self.put({"b": _EDGE, "B": f"(?!{_EDGE})"}.get(c, "\\" + c))
+        else:
+            self.put(self.character(False))
+
+    def character(self, in_set: bool) -> str:
+        """An escape that stands for a character or some of them."""
+        p, start = self.p, self.i
+        c = p[start + 1 : start + 2]
+        self.i += 2
+        if c in "dDwWtnrfa" and c:
+            return "\\" + c
+        if c == "s":
+            return _BLANKS if in_set else f"[{_BLANKS}]"
+        if c == "S":
+            return f"[^{_BLANKS}]"
+        if c == "v":
+            return r"\x0B"
+        if c in "pP" and c:
+            m = re.match(r"\\[pP](?:([A-Z])|\{(\^?)([A-Za-z_]+)\})", p[start:])
+            if not m:
+                raise self.wrong("unknown property")
+            self.i = start + m.end()
+            name, no = m[1] or m[3], (c == "P") != bool(m[2])
+            if name == "Any":
+                return (r"[^\x{0}-\x{10FFFF}]" if no else r"[\x{0}-\x{10FFFF}]")
+            return f"\\{'P' if no else 'p'}{{{name if len(name) <= 2 else 'Is' + name}}}"
+        if m := re.match(r"\\x(?:([0-9A-Fa-f]{2})|\{([0-9A-Fa-f]+)\})", p[start:]):
+            self.i = start + m.end()
+            if int(m[1] or m[2], 16) > 0x10FFFF:
+                raise self.wrong("no such character")
+            return f"\\x{{{m[1] or m[2]}}}"
+        if m := re.match(r"\\(0[0-7]{0,2}|[1-7][0-7]{1,2})", p[start:]):
+            self.i = start + m.end()
+            return f"\\x{{{int(m[1], 8):x}}}"
+        if not c or c.isalnum() or ord(c) >= 0x80:
+            raise self.wrong(f"unknown escape \\{c}")
+        return "\\" + c
+
+    def set(self) -> str:
+        p, start = self.p, self.i
+        self.i += 1
+        out = "["
+        if p.startswith("^", self.i):
+            out, self.i = "[^", self.i + 1
+        first = True
+        while True:
+            c = p[self.i : self.i + 1]
+            if not c:
+                raise self.wrong(f"missing ] after {p[start:]}")
+            if c == "]" and not first:
+                self.i += 1
+                return out + "]"
+            if m := re.match(r"\[:(\^?)([a-z]+):\]", p[self.i :]):
+                self.i += m.end()
+                if m[2] != "word" and m[2] not in _CLASSES:
+                    raise self.wrong(f"unknown class {m[2]}")
+                out += ("\\W" if m[1] else "\\w") if m[2] == "word" else f"\\{'P' if m[1] else 'p'}{{{_CLASSES[m[2]]}}}"
+            elif c == "\\":
+                out += self.character(True)
+            else:
+                self.i += 1
+                out += "\\" + c if c in "[]&~^" else c
+            first = False
+
+    def open(self) -> None:
+        p = self.p
+        self.around.append(dict(self.flags))
+        if not p.startswith("(?", self.i):
+            self.put("(", False)
+            self.i += 1
+        elif m := re.match(r"\(\?P?<([A-Za-z0-9_]+)>", p[self.i :]):
+            self.put("(", False)  # by number alone: Java's names have no underscores
+            self.i += m.end()
+        elif m := re.match(r"\(\?([imsU]*)(?:-([imsU]+))?([:)])", p[self.i :]):
+            if m[3] == ")" and not m[1] and not m[2]:
+                raise self.wrong("missing argument")
+            for names, on in ((m[1], True), (m[2] or "", False)):
+                self.flags.update({f: on for f in names if f in self.flags})
+            on, off = m[1].replace("U", "").replace("i", "iu"), (m[2] or "").replace("U", "").replace("i", "iu")
+            off = "-" + off if off else ""
+            if m[3] == ":":
+                self.put(f"(?{on}{off}:", False)
+            else:
+                self.around.pop()  # holds for the rest of the group around
+                self.put(f"(?{on}{off})" if on or off else "", False)
+            self.i += m.end()
+        else:
+            raise self.wrong(f"no group {p[self.i : self.i + 4]}")
+
+    def repeat(self) -> None:
+        m = re.match(r"([*+?]|\{(\d+)(?:,(\d*))?\})(\??)", self.p[self.i :])
+        if not self.atom:
+            raise self.wrong("nothing to repeat")
+        if m[2] and (int(m[2]) > 1000 or m[3] and (int(m[3]) > 1000 or int(m[3]) < int(m[2]))):
+            raise self.wrong(f"bad repetition {m[1]}")
+        self.i += m.end()
+        # What follows is nested repetition, which RE2 has not and Java reads as possessive.
+        self.put(m[1] + ("?" if bool(m[4]) != self.flags["U"] else ""), False)
 
 
 def language(path: Column) -> Column:

@@ -2,8 +2,8 @@
 
 Imports are matches of patterns over contents or lines; a module's possible
 files are probes in order, and the first that exists is met by an equal join.
-Discovery goes by depth: each level is a join of the last level's imports with
-the files not seen before.  Go's package clauses are read by their usual layout."""
+Discovery goes by depth: each level is a join of the files taken last with the
+edges, and a greedy choice in each review.  Go's package clauses are read by their usual layout."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from vigilspark.functions import text as T
 from vigilspark.sources.files import outside_ignored
 
-MAX_IMPORTS, MAX_DEPTH, MAX_FILES, MAX_BYTES, MAX_TOTAL, GO_FILES = 64, 2, 50, 256 << 10, 2 << 20, 16
+MAX_IMPORTS, MAX_DEPTH, MAX_FILES, MAX_BYTES, MAX_TOTAL, GO_FILES, SEED_BYTES = 64, 2, 50, 256 << 10, 2 << 20, 16, 1 << 20
 # How the languages import, and what their files end in.
 SCRIPT = (("import", r"""(?s)import\s+.*?\s+from\s+['"]([^'"]+)['"]"""), ("require", r"""require\(\s*['"]([^'"]+)['"]\s*\)"""), ("export-from", r"""(?s)export\s+.*?\s+from\s+['"]([^'"]+)['"]"""), ("dynamic-import", r"""import\(\s*['"]([^'"]+)['"]\s*\)"""))
 PY_FROM, PY_IMPORT = r"^\s*from\s+([.A-Za-z_][A-Za-z0-9_.]*)\s+import\s+(.+)$", r"^\s*import\s+(.+)$"
@@ -112,25 +112,46 @@ def resolved(refs: DataFrame, files: DataFrame, go_module: str = "") -> DataFram
 
 
 def discover(seeds: DataFrame, files: DataFrame, go_module: str = "", depth: int = MAX_DEPTH, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES, max_total: int = MAX_TOTAL) -> DataFrame:
-    """path, from, reason, depth of the files that the seeds (path) import, directly or through others, nearest first.
-
-    The limits are those of one review: the first max_files in order, each of max_bytes at most, of max_total together with the seeds."""
-    small = files.filter((F.octet_length("content") <= max_bytes) & (F.instr("content", "\0") == 0))
-    usable = small.filter(outside_ignored(F.col("path")))
-    edges = resolved(imports(files), usable, go_module).select(F.col("path").alias("from"), F.col("target").alias("path"), "kind", "line", "nth")
-    seen, level, out = seeds.select("path").distinct(), seeds.select(F.col("path").alias("from"), F.col("path").alias("order")), None
-    for d in range(1, depth + 1):
-        step = edges.join(level, "from").join(seen, "path", "left_anti")
-        best = F.min_by(F.struct("from", "kind", F.concat_ws("/", "order", F.lpad(F.col("nth").cast("string"), 6, "0"), "path").alias("order")), F.struct("order", "nth"))
-        step = step.groupBy("path").agg(best.alias("b")).select("path", "b.*", F.lit(d).alias("depth"))
-        out = step if out is None else out.unionByName(step)
-        seen, level = seen.unionByName(step.select("path")), step.select(F.col("path").alias("from"), "order")
-    sized = out.join(files.select("path", F.octet_length("content").alias("bytes")), "path")
-    so_far = Window.orderBy("depth", "order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    start = seeds.join(files, "path", "left_semi").select("path").join(files, "path").agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("start"))
-    # The order decides what the limits leave, so one task takes the candidates of the one review.
-    limited = sized.withColumns({"nth": F.row_number().over(so_far), "total": F.sum("bytes").over(so_far)}).crossJoin(start).filter((F.col("nth") <= max_files) & (F.col("start") + F.col("total") <= max_total))
+    """path, from, reason, depth of the files that the seeds (path) import, directly or through others: discover_each() of one review."""
+    return discover_each(seeds.select(F.lit(0).alias("review_id"), "path"), files, go_module, depth, max_files, max_bytes, max_total).select("path", "from", "reason", "depth")
+
+
+def discover_each(seeds: DataFrame, files: DataFrame, go_module: str = "", depth: int = MAX_DEPTH, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES, max_total: int = MAX_TOTAL) -> DataFrame:
+    """review_id, path, from, reason, depth, place: what the seeds (review_id, path) of each review import, directly or through others, nearest first.
+
+    Files are taken greedily in the order of a search by breadth: seeds by path, imports
+    as they stand, and then those of the files taken.  One of more than max_bytes, or
+    that would bring a review above max_total together with its seeds and what it took
+    before, is left out alone, and so is what it imports; a review ends at max_files.
+
+    A level is a join with the edges; a review's candidates, MAX_IMPORTS of each seed or
+    file taken at most, are one group, over which a fold carries what is taken."""
+    sized = files.filter(F.instr("content", "\0") == 0).select("path", F.octet_length("content").cast("long").alias("bytes"))
+    known = files.filter((F.octet_length("content") <= max_bytes) & (F.instr("content", "\0") == 0) & outside_ignored(F.col("path")))
+    edges = resolved(imports(files), known, go_module).select(F.col("path").alias("from"), F.col("target").alias("path"), "kind", "nth").join(sized, "path")
+    own = seeds.select("review_id", "path").distinct().join(sized.filter(F.col("bytes") <= SEED_BYTES), "path")
+    taken_type = "array<struct<path:string,from:string,kind:string,depth:int>>"
+    state = own.groupBy("review_id").agg(F.sort_array(F.collect_list("path")).alias("frontier"), F.sum("bytes").alias("total"))
+    state = state.withColumns({"seen": F.col("frontier"), "taken": F.array().cast(taken_type)})
+    for level in range(1, depth + 1):
+        asking = state.select("review_id", F.posexplode("frontier").alias("at", "from"))
+        wanted = asking.join(edges, "from").groupBy("review_id").agg(F.sort_array(F.collect_list(F.struct("at", "nth", "path", "from", "kind", "bytes"))).alias("wanted"))
+        step = _taken(F.col("wanted"), level, max_files, max_total)
+        state = state.join(wanted, "review_id", "left").select("review_id", F.size("taken").alias("before"), step.alias("s"))
+        state = state.select("review_id", F.transform(F.slice("s.taken", F.col("before") + 1, F.size("s.taken")), lambda x: x["path"]).alias("frontier"), "s.total", "s.seen", "s.taken")
     reason = F.lit("imported")
     for kind, text in REASONS.items():
-        reason = F.when(F.col("kind") == kind, text).otherwise(reason)
-    return limited.select("path", "from", reason.alias("reason"), "depth")
+        reason = F.when(F.col("x.kind") == kind, text).otherwise(reason)
+    return state.select("review_id", F.posexplode("taken").alias("place", "x")).select("review_id", "x.path", "x.from", reason.alias("reason"), "x.depth", "place")
+
+
+def _taken(wanted: Column, level: int, max_files: int, max_total: int) -> Column:
+    """The state (total, seen, taken) of a review after its candidates of a level, in order."""
+    start = F.struct("total", "seen", "taken")
+
+    def step(s: Column, c: Column) -> Column:
+        fits = (F.size(s["taken"]) < max_files) & ~F.array_contains(s["seen"], c["path"]) & (s["total"] + c["bytes"] <= max_total)
+        new = F.struct(c["path"].alias("path"), c["from"].alias("from"), c["kind"].alias("kind"), F.lit(level).alias("depth"))
+        return F.when(fits, F.struct((s["total"] + c["bytes"]).alias("total"), F.array_append(s["seen"], c["path"]).alias("seen"), F.array_append(s["taken"], new).alias("taken"))).otherwise(s)
+
+    return F.when(wanted.isNull(), start).otherwise(F.aggregate(wanted, start, step))

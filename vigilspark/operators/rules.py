@@ -11,11 +11,12 @@ for the rules that touch it.  Patterns are RE2's (functions.text.re2)."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -183,11 +184,19 @@ def check(rules: Sequence[Rule], allow_regexes: Sequence[str] = ()) -> None:
         _compiles(pattern, "allow list")
 
 
+@lru_cache(maxsize=4096)
 def _compiles(pattern: str, where: str) -> None:
+    """Raises for a pattern that RE2 refuses or that doesn't compile in the dialect which runs."""
     try:
-        re.compile(pattern)
-    except re.error as e:
-        raise ValueError(f"{where}: pattern {pattern!r}: {e}") from e
+        translated = T.re2(pattern)
+    except T.PatternError as e:
+        raise ValueError(f"{where}: {e}") from e
+    context = SparkContext._active_spark_context
+    if context is not None:
+        try:
+            context._jvm.java.util.regex.Pattern.compile(translated)
+        except IllegalArgumentException as e:
+            raise ValueError(f"{where}: pattern {pattern!r}: {e}") from e
 
 
 #: Other names under which a custom rule may give its patterns.

@@ -51,10 +51,10 @@ def gitignored(path: Column, patterns: Sequence[str]) -> Column:
 
 
 def readable(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Files of text that aren't too large, their content as a string.  The sizes are tested before a byte is read."""
+    """Files of text that aren't too large, their content as a string.  The sizes are tested before a byte is read; bytes that aren't UTF-8 become U+FFFD."""
     small = files.filter(F.col("size") <= max_bytes)
     text = small.filter(F.position(F.lit(b"\0"), F.col("content")) == 0)
-    return text.withColumn("content", F.decode("content", "UTF-8"))
+    return text.withColumn("content", F.make_valid_utf8(F.col("content").cast("string")))
 
 
 def every(files: DataFrame, patterns: Sequence[str] = ()) -> DataFrame:
@@ -65,16 +65,19 @@ def every(files: DataFrame, patterns: Sequence[str] = ()) -> DataFrame:
 
 def named(files: DataFrame, targets: Sequence[str]) -> DataFrame:
     """Files named one by one, by folder or by glob.  A target that names nothing, is absolute or leaves the root is an
-    error, and so are more than MAX_FILES of them."""
+    error, and so are more than MAX_FILES of them, and a file named itself that is too large or no text."""
     for t in targets:
         if t.startswith("/") or ".." in t.split("/"):
             raise ValueError(f"target outside the root: {t}")
     path = F.col("path")
     fits = [T.any_glob(path, [t]) if any(c in t for c in "*?[") else (path == t.rstrip("/")) | (F.startswith(path, F.lit(t.rstrip("/") + "/")) if t.strip("./") else F.lit(True)) for t in targets]
     chosen = files.filter(outside_ignored(path)).withColumn("targets", F.filter(F.array(*[F.when(f, i) for i, f in enumerate(fits)]), lambda x: x.isNotNull())).filter(F.size("targets") > 0)
-    found = chosen.agg(F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_set("targets"))).alias("seen")).first()
+    bad = path.isin(*targets) & ((F.col("size") > MAX_BYTES) | (F.position(F.lit(b"\0"), F.col("content")) > 0))
+    found = chosen.agg(F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_set("targets"))).alias("seen"), F.min(F.when(bad, path)).alias("bad")).first()
     if missing := [t for i, t in enumerate(targets) if i not in found.seen]:
         raise ValueError(f"no file for {', '.join(missing)}")
+    if found.bad is not None:
+        raise ValueError(f"{found.bad} is no text or larger than {MAX_BYTES} bytes")
     if found.n > MAX_FILES:
         raise ValueError(f"{found.n} files, more than {MAX_FILES}")
     return readable(chosen.drop("targets"))

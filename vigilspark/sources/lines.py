@@ -5,48 +5,90 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigilspark.functions import text as T
+
 
 def _trim(path: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(F.trim(path), "^a/", ""), "^b/", "")
     return F.when(bare == "/dev/null", "").otherwise(bare)
 
 
+FIELDS = f"{T.BLANK}+"
+RANGE = r"^[+-]?[0-9]+$"
+
+
+def _marked(diffs: DataFrame) -> DataFrame:
+    """The lines of (diff_id, raw) diffs with the file and the hunk that each stands in (running numbers from 0, of a diff), and what its headers say.
+
+    A diff's lines are one window group.  A hunk ends with its file; before a diff's
+    first file nothing is read."""
+    lines = diffs.select("diff_id", F.posexplode(F.split(F.regexp_replace("raw", "\r\n", "\n"), "\n")).alias("line_ix", "value"))
+    so_far = Window.partitionBy("diff_id").orderBy("line_ix").rowsBetween(Window.unboundedPreceding, 0)
+    v = F.col("value")
+    is_file, is_hunk = v.startswith("diff --git "), v.startswith("@@ ")
+    fields = F.split(T.trim_space(v), T.re2(FIELDS))
+    path = F.when(is_file, _trim(F.get(fields, F.lit(3)))).when(v.startswith("+++ "), _trim(F.substring(v, 5, 1 << 30))).when(v.startswith("rename to "), F.trim(F.substring(v, 11, 1 << 30)))
+    whole = lambda c: F.when(c.rlike(T.re2(RANGE)), c.try_cast("long"))
+    span = lambda k, sign: F.split(F.regexp_replace(F.get(fields, F.lit(k)), "^" + sign, ""), ",")
+    start = lambda k, sign: whole(F.get(span(k, sign), F.lit(0)))
+    many = lambda k, sign: F.when(F.size(span(k, sign)) > 1, whole(F.get(span(k, sign), F.lit(1)))).otherwise(F.lit(1))
+    head = is_file | v.startswith("--- ") | v.startswith("+++ ") | v.startswith("rename from ") | v.startswith("rename to ") | v.startswith("new file mode ") | v.startswith("deleted file mode ")
+    kind = F.when(v.startswith("+"), "added").when(v.startswith("-"), "deleted").when(v.startswith(" "), "context")
+    return lines.withColumns({
+        "file_ix": F.sum(is_file.cast("int")).over(so_far) - 1, "hunk_ix": F.sum(is_hunk.cast("int")).over(so_far) - 1,
+        "last_hunk": F.max(F.when(is_hunk, F.col("line_ix"))).over(so_far), "last_file": F.max(F.when(is_file, F.col("line_ix"))).over(so_far),
+        "is_file": is_file, "is_hunk": is_hunk, "fields": F.size(fields), "path_here": path,
+        "old_start": F.when(is_hunk, start(1, "-")), "old_many": F.when(is_hunk, many(1, "-")), "new_start": F.when(is_hunk, start(2, r"\+")), "new_many": F.when(is_hunk, many(2, r"\+")),
+        "ranges": F.when(is_hunk, F.concat_ws(" ", F.get(fields, F.lit(1)), F.get(fields, F.lit(2)))),
+        "is_head": head | is_hunk, "kind": F.when(~(head | is_hunk), kind),
+    }).withColumn("in_hunk", F.coalesce(F.col("last_hunk") > F.col("last_file"), F.lit(False)))
+
+
 def diff_lines(diffs: DataFrame) -> DataFrame:
     """(diff_id, raw) unified diffs as diff_id, file_ix, hunk_ix, line_ix, path, kind, text, old_no, new_no.
 
     Files and hunks are running counts of their headers within a diff, line
     numbers the hunk's start plus the lines so far, so a diff is one window group
     and diffs run in parallel.  As in the review tool whose results these are, a
-    header inside a hunk is a header, and deleted files have an empty path."""
-    lines = diffs.select("diff_id", F.posexplode(F.split(F.regexp_replace("raw", "\r\n", "\n"), "\n")).alias("line_ix", "value"))
-    so_far = Window.partitionBy("diff_id").orderBy("line_ix").rowsBetween(Window.unboundedPreceding, 0)
-    v = F.col("value")
-    is_file, is_hunk = v.startswith("diff --git "), v.startswith("@@ ")
-    path = F.when(v.startswith("+++ "), _trim(F.substring(v, 5, 1 << 30))).when(v.startswith("rename to "), F.trim(F.substring(v, 11, 1 << 30)))
-    nums = lambda k: F.regexp_extract(v, r"^@@ -(\d+)(?:,\d+)? \+(\d+)", k).cast("int")
-    head = is_file | v.startswith("--- ") | v.startswith("+++ ") | v.startswith("rename ")
-    marked = lines.withColumns({
-        "file_ix": F.sum(is_file.cast("int")).over(so_far) - 1,
-        "hunk_ix": F.sum(is_hunk.cast("int")).over(so_far) - 1,
-        "path_here": path, "old_start": F.when(is_hunk, nums(1)), "new_start": F.when(is_hunk, nums(2)), "is_head": head | is_hunk,
-    })
+    header inside a hunk is a header, and deleted files have an empty path.  Lines
+    that diff_errors() is about are left out."""
+    marked = _marked(diffs)
     # The last path of a file's headers holds for all its lines.
     of_file = Window.partitionBy("diff_id", "file_ix").orderBy("line_ix").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     in_hunk = Window.partitionBy("diff_id", "file_ix", "hunk_ix").orderBy("line_ix")
     before = in_hunk.rowsBetween(Window.unboundedPreceding, -1)
-    kind = F.when(v.startswith("+"), "added").when(v.startswith("-"), "deleted").when(v.startswith(" "), "context")
-    body = marked.withColumn("path", F.coalesce(F.last("path_here", ignorenulls=True).over(of_file), F.lit(""))).withColumn("kind", F.when(~F.col("is_head"), kind))
+    body = marked.withColumn("path", F.coalesce(F.last("path_here", ignorenulls=True).over(of_file), F.lit("")))
     started = lambda c: F.first(c, ignorenulls=True).over(in_hunk.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     count = lambda *kinds: F.coalesce(F.sum(F.col("kind").isin(*kinds).cast("int")).over(before), F.lit(0))
-    numbered = body.withColumns({"old_at": started("old_start") + count("deleted", "context"), "new_at": started("new_start") + count("added", "context")})
-    kept = numbered.filter(F.col("kind").isNotNull() & F.col("old_at").isNotNull())
+    numbered = body.withColumns({"old_at": (started("old_start") + count("deleted", "context")).cast("int"), "new_at": (started("new_start") + count("added", "context")).cast("int")})
+    kept = numbered.filter(F.col("kind").isNotNull() & F.col("in_hunk") & F.col("old_at").isNotNull() & F.col("new_at").isNotNull())
     return kept.select("diff_id", "file_ix", "hunk_ix", "line_ix", "path", "kind", F.substring("value", 2, 1 << 30).alias("text"), F.when(F.col("kind") != "added", F.col("old_at")).alias("old_no"), F.when(F.col("kind") != "deleted", F.col("new_at")).alias("new_no"))
 
 
+def diff_errors(diffs: DataFrame) -> DataFrame:
+    """diff_id, line_no, error, value, fatal: what is wrong with (diff_id, raw) diffs.
+
+    Fatal is the first line of a diff that can't be read: a file header of less than four
+    fields, a hunk header of less than three or with a range that is no number, a line of a
+    hunk with another first character than blank, plus or minus.  Not fatal, and told of the
+    hunks before that, is a number of lines other than the header's."""
+    v, marked = F.col("value"), _marked(diffs).filter("file_ix >= 0")
+    range_ok = F.col("old_start").isNotNull() & F.col("old_many").isNotNull() & F.col("new_start").isNotNull() & F.col("new_many").isNotNull()
+    passed = (v == "") | (v == "\\ No newline at end of file")
+    error = F.when(F.col("is_file") & (F.col("fields") < 4), "file header").when(F.col("is_hunk") & (F.col("fields") < 3), "hunk header").when(F.col("is_hunk") & ~range_ok, "range").when(F.col("in_hunk") & ~F.col("is_head") & F.col("kind").isNull() & ~passed, "line prefix")
+    told = marked.withColumn("error", error)
+    first = told.groupBy("diff_id").agg(F.min(F.when(F.col("error").isNotNull(), F.struct("line_ix", "error", "value"))).alias("e"))
+    fatal = first.filter("e is not null").select("diff_id", (F.col("e.line_ix") + 1).alias("line_no"), "e.error", "e.value", F.lit(True).alias("fatal"))
+    count = lambda *kinds: F.count_if(F.col("kind").isin(*kinds))
+    hunks = told.filter(F.col("in_hunk")).groupBy("diff_id", "hunk_ix").agg(F.min("line_ix").alias("line_ix"), F.max("line_ix").alias("end"), F.first("old_many", ignorenulls=True).alias("old"), F.first("new_many", ignorenulls=True).alias("new"), count("deleted", "context").alias("olds"), count("added", "context").alias("news"), F.first("ranges", ignorenulls=True).alias("value"))
+    short = hunks.filter((F.col("old") != F.col("olds")) | (F.col("new") != F.col("news"))).join(first, "diff_id").filter(F.col("e").isNull() | (F.col("e.line_ix") > F.col("end")))
+    return fatal.unionByName(short.select("diff_id", (F.col("line_ix") + 1).alias("line_no"), F.lit("line count").alias("error"), "value", F.lit(False).alias("fatal")))
+
+
 def file_lines(files: DataFrame, as_review: bool = True) -> DataFrame:
     """(path, content) files as path, line_no, text.  For a review, CRLF is LF and one empty last line is dropped; a secret scan splits as it is."""
     content = F.regexp_replace("content", "\r\n", "\n") if as_review else F.col("content")
-    content = F.regexp_replace(content, "\n$", "") if as_review else content
+    content = F.regexp_replace(content, "\n\\z", "") if as_review else content
     return files.select("path", F.posexplode(F.split(content, "\n")).alias("line_ix", "text")).select("path", (F.col("line_ix") + 1).alias("line_no"), "text")
 
 
