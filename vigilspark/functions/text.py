@@ -73,10 +73,16 @@ def glob_regex(pattern: str) -> str:
     return "^" + "".join(out) + "$"
 
 
+def globs_regex(patterns: Iterable[str]) -> str:
+    """One regular expression for paths that one of the globs fits; empty without globs."""
+    exprs = [glob_regex(p)[1:-1] for p in patterns if p.strip()]
+    return "^(?:" + "|".join(exprs) + ")$" if exprs else ""
+
+
 def any_glob(path: Column, patterns: Iterable[str]) -> Column:
     """Whether one of the globs matches, as one regular expression; without globs none does."""
-    exprs = [glob_regex(p)[1:-1] for p in patterns if p.strip()]
-    return F.trim(path).rlike("^(?:" + "|".join(exprs) + ")$") if exprs else F.lit(False)
+    fits = globs_regex(patterns)
+    return F.trim(path).rlike(fits) if fits else F.lit(False)
 
 
 _WORD = "[0-9A-Za-z_]"
@@ -256,6 +262,72 @@ class _Re2:
         self.put(m[1] + ("?" if bool(m[4]) != self.flags["U"] else ""), False)
 
 
+def folded(line: Column) -> Column:
+    """line in lower case, with the characters outside ASCII that a pattern without case takes for letters of it: what to look for literals() in."""
+    low = F.lower(line)
+    return F.when(F.octet_length(line) == F.length(line), low).otherwise(F.translate(low, "\u017f\u0131\u0307", "si"))
+
+
+@lru_cache(maxsize=4096)
+def literals(pattern: str) -> tuple[str, ...]:
+    """Lower-case texts of which a folded() line that the RE2 pattern fits has at least one; none if nothing can be said."""
+    found, at = _required(re.sub(r"\(\?[imsU]*(?:-[imsU]+)?\)", "", pattern), 0)
+    return tuple(sorted(found)) if at is not None else ()
+
+
+def _required(p: str, i: int) -> tuple[frozenset[str], int | None]:
+    """What the alternatives from place i on need, up to a bracket that closes, and its place."""
+    needs: list[frozenset[str]] = []
+    run, parts = "", []
+
+    def better(sets: list[frozenset[str]]) -> frozenset[str]:
+        """The choice that says most: its shortest text is the longest, and few texts are."""
+        return max((s for s in sets if s), key=lambda s: (min(min(map(len, s)), 4), -len(s)), default=frozenset())
+
+    while True:
+        c = p[i : i + 1]
+        if c in ("", "|", ")"):
+            parts.append(frozenset([run]) if run else frozenset())
+            needs.append(better(parts))
+            run, parts = "", []
+            if c != "|":
+                return (frozenset() if any(not n for n in needs) else frozenset().union(*needs)), i
+            i += 1
+            continue
+        atom, inner = "", frozenset()
+        if c == "(":
+            opened = re.match(r"\((?:\?(?:P?<\w+>|[imsU]*(?:-[imsU]+)?:))?", p[i:])
+            inner, i = _required(p, i + opened.end())
+            if i is None or p[i : i + 1] != ")":
+                return frozenset(), None
+            i += 1
+        elif c == "[":
+            closed = re.match(r"\[\^?\]?(?:\[:\^?\w+:\]|\\.|[^\]\\])*\]", p[i:], re.DOTALL)
+            if not closed:
+                return frozenset(), None
+            i += closed.end()
+        elif c == "\\":
+            if p[i + 1 : i + 2] in ("Q", "x", "p", "P", "") or p[i + 1 : i + 2].isdigit():
+                return frozenset(), None
+            atom = "" if p[i + 1].isalnum() else p[i + 1]
+            i += 2
+        else:
+            atom = "" if c in ".^$" or ord(c) >= 0x80 else c.lower()
+            i += 1
+        if m := re.match(r"(?:[*+?]|\{(\d+)(?:,\d*)?\})\??", p[i:]):
+            i += m.end()
+            needed = m[0][0] == "+" or (m[1] is not None and int(m[1]) > 0)
+            parts += [frozenset([run])] if run else []
+            run = ""
+            parts += [inner or (frozenset([atom]) if atom else frozenset())] if needed else []
+        elif atom:
+            run += atom
+        else:
+            parts += [frozenset([run])] if run else []
+            parts.append(inner)
+            run = ""
+
+
 def language(path: Column) -> Column:
     """The language that a path's ending names, or unknown."""
     ending = F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1))

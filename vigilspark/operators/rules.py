@@ -122,23 +122,39 @@ def _typed(r: Rule) -> Column:
     raise ValueError(f"{r.id}: unknown type {r.type}")
 
 
-def _line_test(r: Rule, in_scope: Column) -> Column:
-    line = F.col("text")
-    parts = [] if r.target == "any" else [F.col("kind") == r.target]
-    parts += [in_scope] if r.paths else []
-    parts += [T.any_glob(F.col("path"), r.from_paths)] if r.from_paths else []
-    parts += [~T.any_glob(F.col("path"), r.ignore)] if r.ignore else []
+def _quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _hints(patterns: Sequence[str]) -> list[str]:
+    """Whether the folded line has what one of the patterns needs, if something can be said of all of them."""
+    needs = [T.literals(p) for p in patterns]
+    return [" OR ".join(f"contains(folded, {_quoted(w)})" for w in sorted({w for n in needs for w in n}))] if needs and all(needs) else []
+
+
+def _line_test(r: Rule) -> Column:
+    """From cheap to dear, as each part is only tried on lines that pass those before: side, literals, paths, patterns.
+
+    One SQL text: a rule set has thousands of these parts."""
+    parts = [] if r.target == "any" else [f"kind = {_quoted(r.target)}"]
+    if not r.type:
+        parts += [hint for p in r.require for hint in _hints([p])] + _hints(r.any)
+    glob = lambda globs: f"trim(path) rlike {_quoted(T.globs_regex(globs))}" if T.globs_regex(globs) else "false"
+    parts += [glob(r.paths)] if r.paths else []
+    parts += [glob(r.from_paths)] if r.from_paths else []
+    parts += [f"NOT ({glob(r.ignore)})"] if r.ignore else []
+    if not r.type:
+        parts += [f"text rlike {_quoted(T.re2(p))}" for p in r.require]
+        parts += [" OR ".join(f"text rlike {_quoted(T.re2(p))}" for p in r.any)] if r.any else []
+    cheap = F.expr(" AND ".join(f"({p})" for p in parts)) if parts else F.lit(True)
     if r.type:
-        return _all([*parts, _typed(r)])
-    parts += _like(line, r.require)
-    parts += [_some(_like(line, r.any))] if r.any else []
-    parts += [T.entropy(line, skip_blanks=True) >= r.entropy] if r.entropy else []
-    return _all(parts)
+        return cheap & _typed(r)
+    return cheap & (T.entropy(F.col("text"), skip_blanks=True) >= r.entropy) if r.entropy else cheap
 
 
 def _hunk_test(r: Rule) -> Column:
-    hunk, absent = F.col("hunk_text"), r.calls if r.type else r.absent
-    return _all(_like(hunk, () if r.type else r.near) + [~c for c in _like(hunk, absent)])
+    near, absent = () if r.type else r.near, r.calls if r.type else r.absent
+    return F.expr(" AND ".join([*[f"hunk_text rlike {_quoted(T.re2(p))}" for p in near], *[f"NOT hunk_text rlike {_quoted(T.re2(p))}" for p in absent]]) or "true")
 
 
 def _confidences(r: Rule) -> tuple[str, str]:
@@ -254,17 +270,14 @@ def tagged(lines: DataFrame, rules: Sequence[Rule], allow_values: Sequence[str]
     read = ~T.any_glob(F.col("path"), skipped) if skipped else F.lit(True)
     read = read & ~T.artifact(F.col("path")) if skip_artifacts else read
     seen = lines.filter(read) if drop else lines
-    scopes = list(dict.fromkeys(r.paths for r in rules if r.paths))
-    scoped = seen.withColumn("scopes", F.array(*[T.any_glob(F.col("path"), s) for s in scopes])) if scopes else seen
-    scope = lambda r: F.get("scopes", F.lit(scopes.index(r.paths))) if r.paths else F.lit(True)
     none = F.array().cast("array<int>")
-    tests = F.filter(F.array(*[F.when(_line_test(r, scope(r)), F.lit(i)) for i, r in enumerate(rules)]), lambda i: i.isNotNull()) if rules else none
+    tests = F.filter(F.array(*[F.when(_line_test(r), F.lit(i)) for i, r in enumerate(rules)]), lambda i: i.isNotNull()) if rules else none
     allow_values = [v for v in allow_values if v]
     if allow_values or allow_regexes:
         allowed = _some([F.contains("text", F.lit(v)) for v in allow_values] + _like(F.col("text"), allow_regexes))
         tests = F.when(~allowed, tests)
     tests = tests if drop else F.when(read, tests)
-    return scoped.withColumn("rules", F.coalesce(tests, none)).drop("scopes")
+    return seen.withColumn("folded", T.folded(F.col("text"))).withColumn("rules", F.coalesce(tests, none)).drop("folded")
 
 
 def reads_hunks(rules: Sequence[Rule]) -> bool:
