@@ -100,3 +100,18 @@ def test_a_review_is_one_scan_and_two_exchanges(spark):
     read = lines.files_as_diff(tree(spark, {"a.go": "x"})).withColumn("hunk_ix", F.monotonically_increasing_id())
     plan = review.review(read)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and "Python" not in plan
+
+
+def test_documents_of_findings(spark):
+    from vigilspark.operators import controls
+    from vigilspark.sinks import reports
+
+    read = lines.diff_lines(spark.createDataFrame([("1", DIFF.replace("call(1)", "h := md5(password)"))], "diff_id string, raw string"))
+    found = review.review(read, review.Policy(critical=("app/**",), profile="auth"), custom=[rules.Rule("own", category="auth", target="added", require=("c\\(",))])
+    told = {r.rule_id: r for r in controls.told(found, controls.infos(spark)).collect()}
+    assert told["own"].title == "own" and told["own"].message == controls.OTHER[0] and told["own"].standards == []
+    assert all(r.message and r.remediation for r in told.values()) and len(told) > 1
+    rows = reports.sarif_results(reports.sarif(found, controls.infos(spark), profile="auth")).collect()
+    assert {(r.rule_id, r.path, r.line, r.message, r.zone, r.profile) for r in rows} == {(r.rule_id, r.path, r.line, r.message, r.zone, "auth") for r in controls.told(found, controls.infos(spark)).collect()}
+    text = reports.json_reports(found, controls.infos(spark)).first().json
+    assert '"remediation"' in text and '"message"' in text

@@ -52,3 +52,32 @@ def test_named_files_that_are_no_text(spark):
     for target in ("a/y.bin", "a/z.go"):
         with pytest.raises(ValueError, match=target):
             files.named(tree(spark, rows), ["a/x.go", target])
+
+
+LITERALS = [
+    (r"(?i)md5\(", ("md5(",)), (r"a|b.c", ("a", "b")), (r"ab?cd", ("cd",)), (r"(foo|bar)+x", ("bar", "foo")), (r"(foo|b*)x", ("x",)), (r"[ab]+", ()), (r"x*", ()), (r"\bjwt\.decode\s*\(", ("jwt.decode",)), (r"(?:a{0,3}|b)", ()), (r"q{2,}longer", ("longer",)),
+    (r"\x41bc", ()), (r"[]x]abc", ("abc",)), (r"(a(b|c)d)?e", ("e",)), (r"É", ()), (r"", ()), (r"a||b", ()), (r"[[:alpha:]]]yes", ("]yes",)),
+]
+
+
+@pytest.mark.parametrize("pattern, needs", LITERALS)
+def test_what_a_pattern_needs(pattern, needs):
+    assert T.literals(pattern) == needs
+
+
+def test_no_line_that_a_rule_fits_lacks_what_it_needs(spark):
+    """All patterns of all rules, on lines that rules find, with the letters that case folding takes for others."""
+    from vigilspark.operators.secrets import PATTERNS
+    from vigilspark.plans.samples import SAMPLES
+
+    patterns = sorted({p for r in BUILTIN for p in (*r.require, *r.any)} | {p.regex for p in PATTERNS})
+    texts = sorted({t for s in SAMPLES for t in s if t} | {"AKIA" + "A" * 16, "ghp_" + "aB3" * 12, "api_key = 'abcd1234efgh5678'"})
+    swaps = [str.upper, str.title, lambda t: t.replace("s", "ſ").replace("k", "K"), lambda t: t.upper().replace("I", "İ"), lambda t: t.replace("i", "ı"), lambda t: "é" + t + "ſı"]
+    lines = spark.createDataFrame([(t,) for t in sorted({*texts, *[f(t) for f in swaps for t in texts]})], "text string").withColumn("folded", T.folded(F.col("text")))
+    fits = lambda p: F.col("text").rlike(T.re2(p))
+    hint = lambda p: F.expr(" OR ".join(f"contains(folded, {rules._quoted(w)})" for w in T.literals(p)) or "true")
+    wrong = F.filter(F.array(*[F.when(fits(p) & ~hint(p), F.lit(p)) for p in patterns]), lambda x: x.isNotNull())
+    found = lines.select(F.size(F.filter(F.array(*[fits(p) for p in patterns]), lambda x: x)).alias("n"), wrong.alias("wrong")).cache()
+    assert found.agg(F.sum("n")).first()[0] > len(patterns)
+    assert found.filter(F.size("wrong") > 0).collect() == []
+    assert sum(not T.literals(p) for p in patterns) <= 2

@@ -43,25 +43,27 @@ GENERIC = "secret.scan.generic"
 def scan(files: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS, allow_values: tuple[str, ...] = (), allow_regexes: tuple[str, ...] = (), ignore: tuple[str, ...] = (), allow_paths: tuple[str, ...] = (), severity: str = "low") -> DataFrame:
     """(path, content) files -> findings: id, rule_id, severity, confidence, path, line, side, snippet, entropy.
 
-    A narrow pass: lines explode, one filter drops those that no pattern
-    matches, the rest carry an array of hits."""
+    A narrow pass: lines explode, one filter drops those that hold nothing which a
+    pattern needs, and on the rest each such pattern takes its value once."""
     skipped = (*ignore, *allow_paths)
     files = files.filter(~T.any_glob(F.col("path"), skipped)) if skipped else files
     lines = file_lines(files.filter(F.instr("content", "\0") == 0), as_review=False).filter(F.octet_length("text") <= MAX_LINE_BYTES)
-    lines = lines.filter(reduce(lambda a, b: a | b, [F.col("text").rlike(T.re2(p.regex)) for p in patterns]))
-    allowed = lambda c: reduce(lambda a, b: a | b, [*[F.contains(c, F.lit(v)) for v in allow_values if v], *[c.rlike(T.re2(r)) for r in allow_regexes]], F.lit(False))
+    some = lambda tests: reduce(lambda a, b: a | b, tests, F.lit(False))
+    folded = T.folded(F.col("text"))
+    hint = lambda p: some([F.contains(folded, F.lit(w)) for w in T.literals(p.regex)]) if T.literals(p.regex) else F.lit(True)
+    lines = lines.filter(some([hint(p) for p in patterns]))
+    allowed = lambda c: some([*[F.contains(c, F.lit(v)) for v in allow_values if v], *[c.rlike(T.re2(r)) for r in allow_regexes]])
 
-    def hit(p: Pattern):
+    def taken(p: Pattern):
+        fits = hint(p) & F.col("path").rlike(T.re2(p.path)) if p.path else hint(p)
         value = F.regexp_extract("text", T.re2(p.regex), p.group)
-        fits = F.col("text").rlike(T.re2(p.regex)) & ~allowed(value) & ~allowed(F.col("text"))
-        fits = fits & F.col("path").rlike(T.re2(p.path)) if p.path else fits
-        fits = fits & (T.entropy(value) >= p.entropy) if p.entropy else fits
-        return F.when(fits, F.struct(F.lit(p.id).alias("rule_id"), F.lit(p.severity).alias("severity"), F.lit(p.confidence).alias("confidence"), value.alias("value")))
+        return F.when(fits, F.struct(F.lit(p.id).alias("rule_id"), F.lit(p.severity).alias("severity"), F.lit(p.confidence).alias("confidence"), value.alias("value"), F.lit(p.entropy).alias("floor")))
 
-    hits = F.filter(F.array(*[hit(p) for p in patterns]), lambda h: h.isNotNull())
+    values = F.filter(F.array(*[taken(p) for p in patterns]), lambda h: h.isNotNull() & (h["value"] != ""))
+    strong = F.when(~allowed(F.col("text")), F.filter(values, lambda h: ~allowed(h["value"]) & ((h["floor"] == 0) | (T.entropy(h["value"]) >= h["floor"]))))
     # The generic pattern gives way to any other on its line.
-    hits = F.filter(hits, lambda h: (h["rule_id"] != GENERIC) | (F.size(hits) == 1))
-    found = lines.withColumn("h", F.explode(hits)).select("path", "line_no", "text", "h.*")
+    hits = F.transform(F.array(strong), lambda hs: F.filter(hs, lambda h: (h["rule_id"] != GENERIC) | (F.size(hs) == 1)))[0]
+    found = lines.select("path", "line_no", "text", F.explode(hits).alias("h")).select("path", "line_no", "text", "h.*")
     first = F.instr("text", F.col("value"))
     snippet = T.trim_space(F.concat(F.substr("text", F.lit(1), first - 1), T.mask_value(F.col("value")), F.substr("text", first + F.length("value"))))
     shaped = found.select("rule_id", "severity", "confidence", "path", F.col("line_no").alias("line"), F.lit("file").alias("side"), snippet.alias("snippet"), F.round(T.entropy(F.col("value")), 2).alias("entropy"))

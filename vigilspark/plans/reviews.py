@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from vigilspark.operators.catalogue import BUILTIN
 from vigilspark.plans import catalogue as C
 from vigilspark.plans import changes
 from vigilspark.plans.samples import SAMPLES
+from vigilspark.sinks import reports
 
 
 def _path_of(r: rules.Rule) -> str:
@@ -122,6 +125,12 @@ def review_report(spark, sf_dir):
     return review.report(trust_lines(spark, sf_dir), POLICY)[1]
 
 
+def sarif_review(spark, sf_dir):
+    """The results of the SARIF documents of a review under a profile, one document for each diff, read again."""
+    found = review.review(trust_lines(spark, sf_dir), replace(POLICY, profile="fintech"))
+    return reports.sarif_results(reports.sarif(found, controls.infos(spark), profile="fintech"))
+
+
 def control_matrix(spark, sf_dir):
     """Each control with its rules, in order, and how many findings they have among the samples."""
     infos = controls.infos(spark)
@@ -130,7 +139,7 @@ def control_matrix(spark, sf_dir):
     return findings.matrix(infos).join(counted, F.col("control") == F.col("of")).select("control", F.array_join("rules", ",").alias("rules"), "findings")
 
 
-QUERIES = {"control_matrix": control_matrix, "coverage_review": coverage_review, "supply_review": supply_review, "intent_review": intent_review, "snapshot_review": snapshot_review, "nonce_review": nonce_review, "weakening_review": weakening_review, "taint_review": taint_review, "full_review": full_review, "review_report": review_report}
+QUERIES = {"control_matrix": control_matrix, "coverage_review": coverage_review, "supply_review": supply_review, "intent_review": intent_review, "snapshot_review": snapshot_review, "nonce_review": nonce_review, "weakening_review": weakening_review, "taint_review": taint_review, "full_review": full_review, "review_report": review_report, "sarif_review": sarif_review}
 
 _s, _list, _or = C._s, C._list, C._or
 _FLAT = ", ".join(f"({i}, {_s(a)}, {_s(b)}, {_s(p)}, {_s(k)})" for i, (a, b, p, k) in enumerate(FLAT))
@@ -238,4 +247,7 @@ SELECT control, string_agg(id, ',' ORDER BY id) AS rules, coalesce(sum(n), 0)::B
   coalesce(bool_or(CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END >= CASE coalesce(effective_fail_on, 'high') WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END), false) AS blocked FROM final),
 v AS (SELECT *, (10 * critical + 7 * high + 4 * medium + low)::DOUBLE / greatest(files, 1) AS x FROM c)
 SELECT * EXCLUDE (x), floor(x * 100 + 0.5) / 100 AS value, CASE WHEN x = 0 THEN 'none' WHEN x <= 1.5 THEN 'low' WHEN x <= 3.5 THEN 'medium' WHEN x <= 6.0 THEN 'high' ELSE 'critical' END AS rating FROM v""",
+    "sarif_review": f"""{_ALL}, told(rule_id, message) AS (VALUES {", ".join(f"({_s(row[0])}, {_s(controls.ADVICE[row[2]][0])})" for row in controls.known())}),
+ordered AS (SELECT k.*, coalesce(message, {_s(controls.OTHER[0])}) AS message, row_number() OVER (PARTITION BY diff_id ORDER BY CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END, path, line, rule_id, id) - 1 AS place FROM final k LEFT JOIN told USING (rule_id))
+SELECT diff_id, place::INT AS place, rule_id, CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END AS level, message, path, line, zone, base_severity, effective_fail_on, 'fintech' AS profile FROM ordered""",
 }
