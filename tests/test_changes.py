@@ -115,3 +115,24 @@ def test_documents_of_findings(spark):
     assert {(r.rule_id, r.path, r.line, r.message, r.zone, r.profile) for r in rows} == {(r.rule_id, r.path, r.line, r.message, r.zone, "auth") for r in controls.told(found, controls.infos(spark)).collect()}
     text = reports.json_reports(found, controls.infos(spark)).first().json
     assert '"remediation"' in text and '"message"' in text
+
+
+def test_snapshots_from_a_tree_and_back(spark, tmp_path):
+    from vigilspark.operators import trust
+    from vigilspark.sinks import reports
+
+    files = {"src/a-b/V.ts": "x\nfunction verifyToken(t) {\n  one two_b É c\n}", "src/plain.ts": "function other() {}", ".github/w.js": "function verifyToken() {}", "src/x_test.go": "func verifyToken() {", "source/q.py": "function sanitizeIt() {}"}
+    found = trust.repository_anchors(tree(spark, files))
+    assert {(r.path, r.line_no, r.name) for r in found.collect()} == {("src/a-b/V.ts", 2, "verifyToken"), ("source/q.py", 1, "sanitizeIt")}
+    assert {r.path for r in trust.repository_anchors(tree(spark, files), "src/**").collect()} == {"src/a-b/V.ts"}
+    assert {r.path for r in trust.repository_anchors(tree(spark, files), "s*/**").collect()} == {"source/q.py"}
+    near = trust.window_tokens(lines.file_lines(tree(spark, files)), found, 1).collect()
+    assert {r.path: r.tokens for r in near} == {"src/a-b/V.ts": ["function", "one", "two_b", "verifytoken"], "source/q.py": ["function", "sanitizeit"]}
+    reports.write_snapshots(trust.recorded(found), str(tmp_path / "s"))
+    table = reports.read_snapshots(spark, str(tmp_path / "s"))
+    assert {(r.id, r.path, r.anchor) for r in table.collect()} == {("src.a.b.v.ts.verifytoken", "src/a-b/V.ts", "verifyToken"), ("source.q.py.sanitizeit", "source/q.py", "sanitizeIt")}
+    diff = "diff --git a/src/a-b/V.ts b/src/a-b/V.ts\n@@ -9,2 +9,2 @@\n function verifyToken(t) {\n-  signature(t)\n+  return 1\n@@ -50 +50 @@ verifyToken\n-verifyToken.verify()\n+verifyToken.issuer()\n"
+    read = lines.diff_lines(spark.createDataFrame([("1", diff)], "diff_id string, raw string"))
+    from_table = [tuple(r) for r in trust.snapshots_of(read, table).collect()]
+    recorded = [trust.Snapshot(r.id, r.path, r.anchor, tuple(r.require), r.category, r.severity) for r in table.collect()]
+    assert [r[2] for r in from_table] == ["src.a.b.v.ts.verifytoken"] and from_table == [tuple(r) for r in trust.snapshots(read, recorded).collect()]

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from vigilspark.functions import text as T
 from vigilspark.operators.analyzers import SYNTHETIC, _first, _has, _hunks, found, info, listed, spread, synthetic
 from vigilspark.operators.rules import HUNK
+from vigilspark.sources.lines import file_lines
 
 # Lockfiles, parts of a manifest, public registries, life-cycle words, section names that are no packages.
 LOCKFILES = ("package-lock.json", "bun.lock", "bun.lockb", "pnpm-lock.yaml", "yarn.lock")
@@ -131,6 +132,54 @@ def anchors(lines: DataFrame) -> DataFrame:
     return named.select("path", "line_no", "name", at(1).alias("category"), at(2).alias("severity"))
 
 
+def tokens(text: Column) -> Column:
+    """The names in a text, in lower case, of two characters at least, once each, in order."""
+    names = F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)), F.lower)
+    return F.array_sort(F.array_distinct(F.filter(names, lambda n: F.length(n) > 1)))
+
+
+def in_folder(path: Column, glob: str) -> Column:
+    """Globs of the snapshot command: a star stays within a folder; one that ends in /** takes all paths that begin as it does before that."""
+    fits = path.rlike("^(?:" + T.glob_regex(glob.replace("**", "*"))[1:-1] + ")$")
+    return fits | F.startswith(path, F.lit(glob[:-3])) if glob.endswith("/**") else fits
+
+
+def repository_anchors(files: DataFrame, glob: str = "") -> DataFrame:
+    """Anchors of a tree's code (path, content): path, line_no, name, category, severity, expected; nothing in folders that begin with .git."""
+    path = F.col("path")
+    seen = files.filter(~F.exists(F.slice(F.split(path, "/"), F.lit(1), F.size(F.split(path, "/")) - 1), lambda p: F.startswith(p, F.lit(".git"))))
+    found = anchors(file_lines(seen.filter(in_folder(path, glob)) if glob else seen))
+    words = F.array(*[F.array(*[F.lit(w) for w in x[3]]) for x in INTENTS])
+    return found.withColumn("expected", F.get(words, intent_of(F.col("name"))))
+
+
+def window_tokens(lines: DataFrame, marks: DataFrame, radius: int) -> DataFrame:
+    """marks (path, line_no) with tokens, the names on the lines (path, line_no, text) at most radius from each."""
+    own = marks.select("path", "line_no").distinct()
+    near = own.select("path", F.col("line_no").alias("mark"), F.explode(F.sequence(F.col("line_no") - radius, F.col("line_no") + radius)).alias("line_no"))
+    read = near.join(lines.select("path", "line_no", "text"), ["path", "line_no"]).groupBy("path", F.col("mark").alias("line_no")).agg(F.array_join(F.sort_array(F.collect_list(F.struct(F.col("line_no").alias("n"), "text")))["text"], "\n").alias("text"))
+    found = read.select("path", "line_no", tokens(F.col("text")).alias("tokens"))
+    return marks.join(found, ["path", "line_no"], "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+
+
+def recorded(anchored: DataFrame) -> DataFrame:
+    """Anchors as the snapshots that record them: id (path and name with dots), path, anchor, require, category, severity."""
+    slug = F.regexp_replace(F.lower(F.concat_ws(".", "path", "name")), "[/_-]", ".")
+    return anchored.select(slug.alias("id"), "path", F.col("name").alias("anchor"), F.col("expected").alias("require"), "category", "severity").distinct()
+
+
+def snapshots_of(lines: DataFrame, table: DataFrame) -> DataFrame:
+    """snapshots() with the recorded anchors as a table, whose paths are paths and no globs: hunks meet the anchors of their file by a join."""
+    kept = table.select("path", F.col("id").alias("rule_id"), "anchor", "require", "category", "severity")
+    changed = F.coalesce(F.get(F.filter("rows", lambda x: x["kind"] != "context"), F.lit(0))["number"], F.lit(1))
+    hunks = _hunks(lines.join(kept.select("path").distinct(), "path", "left_semi")).join(kept, "path").filter(F.contains(F.lower("hunk_text"), F.lower("anchor")))
+    sides = hunks.select(*HUNK, "path", "rule_id", "anchor", "category", "severity", "require", changed.cast("long").alias("line"), _side("deleted", F.col("anchor")).alias("gone"), _side("added", F.col("anchor")).alias("come"))
+    has = lambda side: F.exists("require", lambda w: F.contains(F.col(side), F.lower(w)))
+    lost = sides.filter(has("gone") & ~has("come")).drop("gone", "come", "require")
+    first = lost.groupBy("diff_id", "file_ix", "rule_id", "anchor").agg(F.min_by(F.struct("hunk_ix", "path", "line", "category", "severity"), "hunk_ix").alias("f")).select("diff_id", "file_ix", "rule_id", "anchor", "f.*", F.lit(0).alias("line_ix"))
+    return _first(first.withColumns({"id": T.identity(F.col("rule_id"), F.col("path"), F.col("line"), F.lit("added"), F.col("anchor")), "confidence": F.lit("high"), "side": F.lit("added"), "snippet": F.concat(F.lit("snapshot anchor: "), "anchor")}))
+
+
 def _side(kind: str, but: Column) -> Column:
     """The lower-cased lines of a side that don't name the anchor."""
     mine = F.filter("rows", lambda x: (x["kind"] == kind) & ~F.contains(F.lower(x["text"]), F.lower(but)))

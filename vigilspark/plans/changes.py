@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilspark.functions import text as T
-from vigilspark.operators import context, rules
+from vigilspark.operators import context, rules, trust
 from vigilspark.operators import goflows as G
 from vigilspark.operators.rules import Rule
 from vigilspark.plans import catalogue as C
@@ -100,7 +100,40 @@ def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.groupBy("diff_id", "file_ix", "hunk_ix", "path", "kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.min("old_no").alias("old_no"), F.max("new_no").alias("new_no"))
 
 
-QUERIES = {"diff_errors": diff_errors, "diff_lines": diff_lines, "go_flow_review": go_flow_review, "discover_review": discover_review, "context_review": context_review}
+# Functions that promise protection, and what a change makes of the first line in them; each document is a file and a change of it.
+NAMES = ("sanitizeInput", "plainName", "verifyToken", "requireMFA", "check_permission")
+BODIES = ("return escape(v)", "x = 1", "claims.verify(signature)", "challenge(totp)", "owner = find(tenant)")
+NOW = ("return v", "return encode(v) // sanitize", "", "x = 2", "audience expiry owner")
+RADIUS = 2
+
+
+def guarded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    code = F.concat(F.lit("\nfunction "), at(NAMES, d), F.lit("(v) {\n  "), at(BODIES, d), F.lit("\n}\n"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(at(("lib/a_b/", "src/", ".github/", "x/testdata/"), F.floor(d / 5)), F.lit("F-"), d.cast("string"), F.lit(".ts")).alias("path"), F.concat(F.coalesce("text", F.lit("")), code).alias("content"))
+
+
+def guarded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    row = lambda i, kind, text: F.struct(F.lit(i).alias("line_ix"), F.lit(kind).alias("kind"), text.alias("text"))
+    rows = F.array(row(0, "context", F.concat(F.lit("function "), at(NAMES, d), F.lit("(v) {"))), row(1, "deleted", at(BODIES, d)), row(2, "added", at(NOW, F.floor(d / 3))))
+    made = spark.read.parquet(f"{sf_dir}/documents.parquet").select(d, F.explode(rows).alias("r"))
+    path = F.concat(at(("lib/a_b/", "src/", ".github/", "x/testdata/"), F.floor(d / 5)), F.lit("F-"), d.cast("string"), F.lit(".ts"))
+    return made.select(F.floor(d / 4).cast("string").alias("diff_id"), (d % 4).cast("int").alias("file_ix"), d.alias("hunk_ix"), "r.line_ix", path.alias("path"), "r.kind", "r.text", (d + F.col("r.line_ix")).alias("old_no"), (d + F.col("r.line_ix")).alias("new_no"))
+
+
+def anchor_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = guarded_files(spark, sf_dir)
+    found = trust.repository_anchors(files, "lib/**").drop("expected")
+    return trust.window_tokens(lines.file_lines(files), found, RADIUS).withColumn("tokens", F.array_join("tokens", ","))
+
+
+def anchor_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = trust.recorded(trust.repository_anchors(guarded_files(spark, sf_dir)))
+    return trust.snapshots_of(guarded_lines(spark, sf_dir), table).select(*C._SHOWN)
+
+
+QUERIES = {"anchor_windows": anchor_windows, "anchor_review": anchor_review, "diff_errors": diff_errors, "diff_lines": diff_lines, "go_flow_review": go_flow_review, "discover_review": discover_review, "context_review": context_review}
 
 
 class Duck:
@@ -207,3 +240,15 @@ t AS (SELECT *, last_value(p IGNORE NULLS) OVER (PARTITION BY diff_id, file_ix O
   count(*) FILTER (kind IN ('deleted', 'context')) OVER (g ORDER BY ix) AS od, count(*) FILTER (kind IN ('added', 'context')) OVER (g ORDER BY ix) AS nd FROM s WINDOW g AS (PARTITION BY diff_id, file_ix, hunk_ix))
 SELECT diff_id, file_ix, hunk_ix, coalesce(regexp_replace(regexp_replace(path, '^a/', ''), '^b/', ''), '') AS path, kind, count(*) AS n, sum(length(substr(value, 2)))::BIGINT AS chars, min(CASE WHEN kind <> 'added' THEN o0 + od - 1 END)::INT AS old_no, max(CASE WHEN kind <> 'deleted' THEN n0 + nd - 1 END)::INT AS new_no
 FROM t WHERE inside AND kind IS NOT NULL AND o0 IS NOT NULL AND n0 IS NOT NULL GROUP BY ALL"""
+
+_INTENT_OF = {n: next((x for x in trust.INTENTS if any(w in n.lower() for w in x[0])), None) for n in NAMES}
+_GUARDS = ", ".join(f"({i}, {_s(n)}, {_s(BODIES[i])}, {_s(x[1]) if x else 'NULL'}, {_s(x[2]) if x else 'NULL'}, {C._list(x[3]) if x else '[]'})" for i, (n, x) in enumerate(_INTENT_OF.items()))
+#: Of each document: its file's path and lines before the function, the function's name and intent.
+_GUARDED = f"""gn(k, name, body, category, severity, need) AS (VALUES {_GUARDS}),
+gf AS (SELECT doc_id, {_pick(("lib/a_b/", "src/", ".github/", "x/testdata/"), "doc_id // 5")} || 'F-' || doc_id || '.ts' AS path, string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10)) AS said, gn.* FROM documents JOIN gn ON doc_id % {len(NAMES)} = k),
+ga AS (SELECT *, name AS anchor, len(said) + 1 AS line_no FROM gf WHERE category IS NOT NULL AND NOT starts_with(path, '.git') AND NOT contains(path, '/testdata/'))"""
+SQL["anchor_windows"] = f"""WITH {_GUARDED}, w AS (SELECT *, array_to_string(said[greatest(len(said) - {RADIUS - 1}, 1):], chr(10)) || chr(10) || 'function ' || name || '(v) {{' || chr(10) || body || chr(10) || '}}' AS near FROM ga WHERE starts_with(path, 'lib'))
+SELECT path, line_no::INT AS line_no, anchor AS name, category, severity, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(near, '[A-Za-z_][A-Za-z0-9_]*'), lambda t: lower(t)), lambda t: length(t) > 1))), ',') AS tokens FROM w"""
+SQL["anchor_review"] = f"""WITH {_GUARDED}, s AS (SELECT *, regexp_replace(lower(path || '.' || anchor), '[/_-]', '.', 'g') AS rule_id, lower(CASE WHEN contains(lower(body), lower(anchor)) THEN '' ELSE body END) AS gone, lower(coalesce({_pick(NOW, "doc_id // 3")}, '')) AS come FROM ga),
+f AS (SELECT *, doc_id + 1 AS line FROM s WHERE len(list_filter(need, lambda w: contains(gone, w))) > 0 AND NOT len(list_filter(need, lambda w: contains(CASE WHEN contains(come, lower(anchor)) THEN '' ELSE come END, w))) > 0)
+SELECT (doc_id // 4)::VARCHAR AS diff_id, left(sha256(rule_id || '|' || path || '|' || line || '|added|' || anchor), 16) AS id, rule_id, severity, 'high' AS confidence, path, line, 'added' AS side, 'snapshot anchor: ' || anchor AS snippet FROM f"""

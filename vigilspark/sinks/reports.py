@@ -33,6 +33,19 @@ def read_baseline(spark, path: str) -> DataFrame:
     return spark.read.schema(schema).json(path).filter("rule is not null")
 
 
+SNAPSHOTS = "id string, path string, anchor string, require array<string>, category string, severity string"
+
+
+def write_snapshots(table: DataFrame, path: str) -> None:
+    """The rows of trust.recorded(), in the order of their paths."""
+    table.orderBy("path", "id").write.mode("overwrite").json(path)
+
+
+def read_snapshots(spark, path: str) -> DataFrame:
+    """What trust.snapshots_of() takes; rows without an id or a path are left out."""
+    return spark.read.schema(SNAPSHOTS).json(path).filter("id is not null and path is not null")
+
+
 def _ordered(findings: DataFrame, row: Column) -> Column:
     """row of each finding, the gravest first."""
     rank = -ops.T.severity_rank(F.col("severity"))
