@@ -136,3 +136,35 @@ def test_snapshots_from_a_tree_and_back(spark, tmp_path):
     from_table = [tuple(r) for r in trust.snapshots_of(read, table).collect()]
     recorded = [trust.Snapshot(r.id, r.path, r.anchor, tuple(r.require), r.category, r.severity) for r in table.collect()]
     assert [r[2] for r in from_table] == ["src.a.b.v.ts.verifytoken"] and from_table == [tuple(r) for r in trust.snapshots(read, recorded).collect()]
+
+
+def test_caches_from_run_to_run(spark, tmp_path):
+    from vigilspark.operators import cache
+
+    read, path = [], str(tmp_path / "c")
+
+    def run(files):
+        return files.filter("content <> ''").select("path", F.col("content").alias("found"))
+
+    def next_run(rows):
+        files = spark.createDataFrame([(p, len(c), t, c) for p, c, t in rows], "path string, size long, mod_time long, content string")
+        empty = "key string, path string, size long, mod_time long, findings array<struct<path:string,found:string>>"
+        old = cache.load(spark, path, spark.createDataFrame([], empty).schema)
+        read[:] = sorted(r.path for r in cache.split(files, old, "k")[1].collect())
+        found, kept = cache.through(files, old, "k", run)
+        cache.save(kept, path)
+        return sorted((r.path, r.found) for r in found.collect())
+
+    first = [("a", "x", 1), ("b", "y", 1), ("c", "", 1)]
+    assert next_run(first) == [("a", "x"), ("b", "y")] and read == ["a", "b", "c"]
+    assert next_run(first) == [("a", "x"), ("b", "y")] and read == []
+    assert next_run([("a", "z", 2), ("c", "", 1), ("d", "w", 1)]) == [("a", "z"), ("d", "w")] and read == ["a", "d"]
+    runs = sorted((tmp_path / "c" / f"version={cache.VERSION}").iterdir())
+    assert len(runs) == 2
+    (runs[-1] / "_SUCCESS").unlink()  # the last run broke off: the one before counts
+    assert next_run(first) == [("a", "x"), ("b", "y")] and read == []
+    for part in sorted((tmp_path / "c" / f"version={cache.VERSION}").iterdir())[-1].glob("part-*.parquet"):
+        part.chmod(0o600)
+        part.write_bytes(b"broken")
+        (part.parent / f".{part.name}.crc").unlink()
+    assert next_run(first) == [("a", "x"), ("b", "y")] and read == ["a", "b", "c"]

@@ -10,8 +10,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+VERSION = 1  # of what a cache holds; another version's is not read
 
 
 def key_of(parts: Sequence[str]) -> str:
@@ -35,3 +38,30 @@ def through(files: DataFrame, cache: DataFrame, key: str, run: Callable[[DataFra
     fresh = misses.select("path", "size", "mod_time").join(packed, "path", "left").withColumn("findings", F.coalesce("findings", F.array().cast(kind)))
     kept = hits.withColumn("findings", F.col("findings").cast(kind)).unionByName(fresh).select(F.lit(key).alias("key"), "path", "size", "mod_time", "findings")
     return kept.select(F.explode("findings").alias("f")).select("f.*"), kept
+
+
+def _runs(spark: SparkSession, path: str) -> list[str]:
+    """The folders of runs that were written to their end, in order."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={VERSION}")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    whole = [s.getPath() for s in fs.listStatus(at) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return sorted(p.toString() for p in whole)
+
+
+def load(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The cache that the last whole run saved, or an empty one.  Parts that can't be read are left out, so their files are read again."""
+    runs = _runs(spark, path)
+    return spark.read.option("ignoreCorruptFiles", "true").schema(schema).parquet(runs[-1]) if runs else spark.createDataFrame([], schema)
+
+
+def save(kept: DataFrame, path: str) -> None:
+    """Write the next cache; the one before stays for whoever reads it, older ones go."""
+    spark = kept.sparkSession
+    before = _runs(spark, path)
+    number = int(before[-1].rpartition("=")[2]) + 1 if before else 0
+    kept.write.mode("overwrite").parquet(f"{path}/version={VERSION}/run={number:09d}")  # over a run that broke off
+    for old in before[:-1]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(old)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilspark.functions import text as T
-from vigilspark.operators import context, rules, trust
+from vigilspark.operators import cache, context, rules, secrets, trust
 from vigilspark.operators import goflows as G
 from vigilspark.operators.rules import Rule
 from vigilspark.plans import catalogue as C
+from vigilspark.plans import queries as Q
 from vigilspark.sources import lines
 
 
@@ -133,7 +134,29 @@ def anchor_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trust.snapshots_of(guarded_lines(spark, sf_dir), table).select(*C._SHOWN)
 
 
-QUERIES = {"anchor_windows": anchor_windows, "anchor_review": anchor_review, "diff_errors": diff_errors, "diff_lines": diff_lines, "go_flow_review": go_flow_review, "discover_review": discover_review, "context_review": context_review}
+def versions(spark: SparkSession, sf_dir: str, later: bool) -> DataFrame:
+    """The secret scan's files, with size and time; later every seventh has another text and time, and every eleventh is gone."""
+    d = F.col("doc_id")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(d, F.coalesce("text", F.lit("")).alias("text"))
+    changed = (d % 7 == 0) & F.lit(later)
+    line = F.replace(at(Q.SECRETS, F.when(changed, d + 3).otherwise(d)), F.lit("{n}"), (d % 9000 + 1000).cast("string"))
+    files = docs.select(d, F.concat(F.lit("src/"), d.cast("string"), F.lit(".py")).alias("path"), F.concat("text", F.lit("\n"), line).alias("content"), F.when(changed, 2).otherwise(1).cast("long").alias("mod_time"))
+    kept = files.filter(d % 11 != 0) if later else files
+    return kept.select("path", "content", F.octet_length("content").cast("long").alias("size"), "mod_time")
+
+
+def warm_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second scan with the first one's findings at hand: findings, and whether they were made anew."""
+    first, then, key = versions(spark, sf_dir, False), versions(spark, sf_dir, True), cache.key_of(["secrets"])
+    none = spark.createDataFrame([], "key string, path string, size long, mod_time long, findings array<struct<id:string,rule_id:string,severity:string,confidence:string,path:string,line:int,side:string,snippet:string,entropy:double>>")
+    run = lambda files: secrets.scan(files.select("path", "content"))
+    kept = cache.through(first, none, key, run)[1]
+    found = cache.through(then, kept, key, run)[0]
+    anew = cache.split(then, kept, key)[1].select("path", F.lit(True).alias("anew"))
+    return found.join(anew, "path", "left").select("id", "rule_id", "path", "line", "snippet", F.coalesce("anew", F.lit(False)).alias("anew"))
+
+
+QUERIES = {"warm_scan": warm_scan, "anchor_windows": anchor_windows, "anchor_review": anchor_review, "diff_errors": diff_errors, "diff_lines": diff_lines, "go_flow_review": go_flow_review, "discover_review": discover_review, "context_review": context_review}
 
 
 class Duck:
@@ -252,3 +275,4 @@ SELECT path, line_no::INT AS line_no, anchor AS name, category, severity, array_
 SQL["anchor_review"] = f"""WITH {_GUARDED}, s AS (SELECT *, regexp_replace(lower(path || '.' || anchor), '[/_-]', '.', 'g') AS rule_id, lower(CASE WHEN contains(lower(body), lower(anchor)) THEN '' ELSE body END) AS gone, lower(coalesce({_pick(NOW, "doc_id // 3")}, '')) AS come FROM ga),
 f AS (SELECT *, doc_id + 1 AS line FROM s WHERE len(list_filter(need, lambda w: contains(gone, w))) > 0 AND NOT len(list_filter(need, lambda w: contains(CASE WHEN contains(come, lower(anchor)) THEN '' ELSE come END, w))) > 0)
 SELECT (doc_id // 4)::VARCHAR AS diff_id, left(sha256(rule_id || '|' || path || '|' || line || '|added|' || anchor), 16) AS id, rule_id, severity, 'high' AS confidence, path, line, 'added' AS side, 'snapshot anchor: ' || anchor AS snippet FROM f"""
+SQL["warm_scan"] = Q._SCAN.replace(Q._FILES, f"""f AS (SELECT doc_id, 'src/' || doc_id || '.py' AS path, coalesce(text, '') || chr(10) || replace(({Q._SECRETS})[(CASE WHEN doc_id % 7 = 0 THEN doc_id + 3 ELSE doc_id END) % {len(Q.SECRETS)} + 1], '{{n}}', (doc_id % 9000 + 1000)::VARCHAR) AS content FROM documents WHERE doc_id % 11 <> 0)""") + " SELECT id, rule_id, path, line, snippet, replace(replace(path, 'src/', ''), '.py', '')::BIGINT % 7 = 0 AS anew FROM found"
