@@ -14,9 +14,12 @@ n^(1 - GENERALISE) documents hold.
 What a term tells depends on the documents that hold the entity, so entities of
 the same documents are one class (told apart by their number and 128 bits over
 them): a list of thousands of addresses in one document is one class, not
-thousands.  A document makes a row for each of its classes and distinct words,
-and equal pairs of a task leave it as one row; nothing grows with pairs of
-documents, nor with pairs of places within one.
+thousands.  Likewise the terms of the same documents: all words that only one
+document holds are one class.  Terms too frequent to tell anything about the most
+frequent entity of a document leave before classes meet (an exact bound).  What
+is left of a document makes a row for each pair of an entity's class and a term's
+class, and equal pairs of a task leave it as one row; a document of more than
+PAIRS such pairs is dealt to several tasks.  Nothing grows with pairs of documents.
 
 Everything is DataFrame operations.  Patterns are written so that a long run of
 one character class costs one pass (look-behind and possessive repeats), and
@@ -48,6 +51,7 @@ CARD = rf"(?<![0-9{GAP}])[0-9][0-9{GAP}]{{13,}}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"[\p{L}][\p{L}\p{N}_]{2,}+"
 CHUNK = 64  # pieces placed at a time, or the square root of their number
+PAIRS = 1 << 18  # pairs of classes of a document that one row holds
 SPAN = "struct<start:int,rank:int,kind:string,end:int,value:string>"
 
 
@@ -119,31 +123,48 @@ def find(docs: DataFrame, generalise: float = GENERALISE, text: str = "text", do
     based = named.withColumn("base", base_spans(F.col("text")))
     # The rows' own numbers are settled with the table.
     held = settle(based.withColumn("text", F.when(F.size("base") > 0, F.col("text"))).withColumn("uid", F.monotonically_increasing_id()), "pii")
-    row, group = ["doc_id", "row_key"], ["n_entity", "one", "two"]
+    row, group, kin = ["doc_id", "row_key"], ["n_entity", "one", "two"], ["n_term", "t_one", "t_two"]
     size = held.groupBy(*row).count().agg(F.count("*").alias("total"), F.max("count").alias("most")).first()
     once = lambda df: df.dropDuplicates(row) if (size.most or 1) > 1 else df
     total = size.total
+    # A share of generalise needs n_term <= total^(1 - generalise) * n_entity^generalise, as n_both <= n_entity; a little above it for rounding.
+    limit = lambda n: F.pow(F.lit(float(total)), F.lit(1 - generalise)) * F.pow(n.cast("double"), F.lit(generalise)) * (1 + 1e-6)
+    same = F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("row_key") == F.col("c_key"))
+    other = {"doc_id": "c_id", "row_key": "c_key"}
 
     own = F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
     words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))
-    links = settle(once(held.filter(F.col("text").isNotNull())).select(*row, own.alias("entities"), words.alias("words")), "links")
-    places = links.select(*row, F.explode("entities").alias("entity"))
-    over = lambda *c: F.bit_xor(F.xxhash64(*c))
-    entities = settle(places.groupBy("entity").agg(F.count("*").alias("n_entity"), over("doc_id", "row_key").alias("one"), over("row_key", "doc_id", F.lit(1)).alias("two")), "entities")
-    n_places = entities.agg(F.sum("n_entity")).first()[0] or 0
-    classes = textkit.meet(places, entities, "entity", "n_entity", n_places).groupBy(*row).agg(F.collect_set(F.struct(*group)).alias("classes"))
-    classes = classes.withColumnsRenamed({"doc_id": "c_id", "row_key": "c_key"})
-    told_of = settle(links.join(classes, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("row_key") == F.col("c_key"))).select(*row, "words", "classes"), "classes")
-    pairs = told_of.select(*row, "words", F.explode("classes").alias("c")).select(*row, "c.*", F.explode("words").alias("term"))
-    both = settle(pairs.groupBy(*group, "term").agg(F.count("*").alias("n_both")), "pairs")
+    marks = [F.xxhash64("doc_id", "row_key").alias("first"), F.xxhash64("row_key", "doc_id", F.lit(1)).alias("second")]
+    links = settle(once(held.filter(F.col("text").isNotNull())).select(*row, *marks, own.alias("entities"), words.alias("words")), "links")
+    places = links.select(*row, "first", "second", F.explode("entities").alias("entity"))
+    entities = settle(places.groupBy("entity").agg(F.count("*").alias("n_entity"), F.bit_xor("first").alias("one"), F.bit_xor("second").alias("two")), "entities")
+    seen = entities.agg(F.sum("n_entity").alias("places"), F.max("n_entity").alias("most")).first()
+    classes = textkit.meet(places, entities, "entity", "n_entity", seen.places or 0).groupBy(*row).agg(F.collect_set(F.struct(*group)).alias("classes"), F.max("n_entity").alias("top")).withColumnsRenamed(other)
+    told_of = settle(links.join(classes, same).select(*row, "words", "classes", "top"), "classes")
     # Every term of every document is counted; equal terms of a task leave it as one row.
-    terms = settle(once(named).select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")), "terms")
-    rated = textkit.meet(both, terms, "term", "n_term", terms.agg(F.sum("n_term")).first()[0] or 0)
+    spread = once(named).select(*marks, F.explode(words).alias("term"))
+    terms = spread.groupBy("term").agg(F.count("*").alias("n_term"), F.bit_xor("first").alias("t_one"), F.bit_xor("second").alias("t_two"))
+    terms = settle(terms.filter(F.col("n_term") <= limit(F.lit(seen.most or 0))), "terms")
+    said = textkit.meet(told_of.select(*row, "top", F.explode("words").alias("term")), terms, "term", "n_term", terms.agg(F.sum("n_term")).first()[0] or 0)
+    said = settle(said.filter(F.col("n_term") <= limit(F.col("top"))).select(*row, "term", *kin), "said")
+    sets = said.groupBy(*row).agg(F.collect_set(F.struct(*kin)).alias("kin")).withColumnsRenamed(other)
+    met = settle(told_of.join(sets, same).select(*row, "classes", "kin"), "met")
+    # A document of many pairs is dealt to many tasks, some of its classes to each.
+    product = F.size("classes").cast("long") * F.size("kin")
+    part = F.greatest(F.lit(1), F.floor(F.lit(PAIRS) / F.size("kin"))).cast("int")
+    dealt = F.transform(F.sequence(F.lit(0), F.floor((F.size("classes") - 1) / part).cast("int")), lambda i: F.slice("classes", i * part + 1, part))
+    many = met.filter(product > PAIRS).select(*row, "kin", F.posexplode(dealt).alias("share_ix", "classes")).repartition(*row, "share_ix")
+    pairs = met.filter(product <= PAIRS).unionByName(many.drop("share_ix")).select(*row, "kin", F.explode("classes").alias("c")).select(*row, "c.*", F.explode("kin").alias("k")).select(*row, *group, "k.*").filter(F.col("n_term") <= limit(F.col("n_entity")))
+    rated = pairs.groupBy(*group, *kin).agg(F.count("*").alias("n_both"))
     known = -F.log2(F.col("n_entity") / total)
     told = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
-    telling = settle(rated.withColumn("share", F.when(known > 0, told / known)).filter(F.col("share") >= generalise).select(*group, "term", "n_both", "share"), "telling")
+    telling = settle(rated.withColumn("share", F.when(known > 0, told / known)).filter(F.col("share") >= generalise).select(*group, *kin, "n_both", "share"), "telling")
 
-    hits = textkit.meet(pairs, telling, [*group, "term"], "n_both", both.agg(F.sum("n_both")).first()[0] or 0).groupBy(F.col("doc_id").alias("t_id"), F.col("row_key").alias("t_key"), "term").agg(F.max("share").alias("share"))
+    told_by = textkit.meet(pairs, telling, [*group, *kin], "n_both", telling.agg(F.sum("n_both")).first()[0] or 0).groupBy(*row, *kin).agg(F.max("share").alias("share")).withColumnsRenamed(other | {k: f"of_{k}" for k in kin})
+    on = same
+    for k in kin:
+        on = on & (F.col(k) == F.col(f"of_{k}"))
+    hits = said.join(told_by, on).select(F.col("doc_id").alias("t_id"), F.col("row_key").alias("t_key"), "term", "share")
     spoken = held.filter(F.col("text").isNotNull()).select("uid", *row, F.explode(located(F.col("text"), TERM, 4)).alias("w")).select("uid", *row, "w.start", "w.end", F.lower("w.value").alias("term"))
     spoken = spoken.join(hits, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("row_key") == F.col("t_key")) & (spoken["term"] == hits["term"])).select("uid", "start", "end", "share")
     # Words that no base span touches: of the spans that begin before a word's end, the greatest end is not above its start.
