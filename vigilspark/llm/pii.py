@@ -165,7 +165,11 @@ def find(docs: DataFrame, generalise: float = GENERALISE, text: str = "text", do
     for k in kin:
         on = on & (F.col(k) == F.col(f"of_{k}"))
     hits = said.join(told_by, on).select(F.col("doc_id").alias("t_id"), F.col("row_key").alias("t_key"), "term", "share")
-    spoken = held.filter(F.col("text").isNotNull()).select("uid", *row, F.explode(located(F.col("text"), TERM, 4)).alias("w")).select("uid", *row, "w.start", "w.end", F.lower("w.value").alias("term"))
+    # A word ends where the gaps and words up to it end.
+    lengths = F.transform(_pieces(F.col("text"), TERM), lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["match"]).alias("n"), F.lower(x["match"]).alias("term")))
+    running = Window.partitionBy("uid").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spoken = held.filter(F.col("text").isNotNull()).select("uid", *row, F.posexplode(lengths).alias("at", "w"))
+    spoken = spoken.select("uid", *row, "w.term", "w.n", F.sum(F.col("w.gap") + F.col("w.n")).over(running).cast("int").alias("end")).withColumn("start", F.col("end") - F.col("n")).drop("n")
     spoken = spoken.join(hits, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("row_key") == F.col("t_key")) & (spoken["term"] == hits["term"])).select("uid", "start", "end", "share")
     # Words that no base span touches: of the spans that begin before a word's end, the greatest end is not above its start.
     fixed = held.filter(F.size("base") > 0).select("uid", F.explode("base").alias("s")).select("uid", "s.start", "s.end", F.lit(None).cast("double").alias("share"))
