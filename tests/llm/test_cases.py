@@ -124,7 +124,9 @@ def test_markers_in_a_text_are_no_separators(spark):
     assert found[2] == [("card", 0, 19, "4111111111111111")]
 
 
-def test_terms_against_a_plain_count(spark):
+@pytest.mark.parametrize("pairs", [pii.PAIRS, 4])
+def test_terms_against_a_plain_count(spark, monkeypatch, pairs):
+    monkeypatch.setattr(pii, "PAIRS", pairs)  # with 4, most documents are dealt to several rows
     rng = random.Random(6)
     vocabulary = ["".join(rng.choices("abcdeé", k=rng.randint(3, 5))) for _ in range(60)]
     people = [f"p{i}@mail.org" for i in range(12)]

@@ -15,9 +15,11 @@ The rules that enclose a rule are found by an equal join with the beginnings of
 its prefix, so that a host of many rules costs no more than their text.
 
 Keys of hosts without rules leave before the sort.  A host that many urls share
-is split: its rules go to every slice, its urls to one each.  A pair of host and
-path is judged once and met again by its rows; a pair of very many rows is
-broadcast.  Everything is DataFrame operations.
+is split by its own traffic: its rules go to each of its slices, its urls to one
+each, and a slice takes at least as many urls as the host has events, so that
+copied rules are never more than urls and rules together.  A pair of host and path
+is judged once and met again by its rows; a pair of very many rows, and a host of
+very many urls, is broadcast.  Everything is DataFrame operations.
 
 Cases.  A null url, or one without "://", has an empty host and path and fits no
 rule.  Repeated rows are judged each for itself; equal rules count once, and
@@ -35,6 +37,7 @@ from pyspark.sql import functions as F
 from vigilspark.llm import textkit
 from vigilspark.llm.store import settle
 
+SLICE_URLS = 50_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -78,22 +81,23 @@ def stacks(rules: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url", slices: int | None = None) -> DataFrame:
     """pages with host, path, rule and verdict (default where no rule fits).
 
-    slices: parts that a host's urls are dealt to; by default the shuffle partitions."""
-    spark = pages.sparkSession
-    slices = slices or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    slices: parts that a host's urls are dealt to; by default one for each SLICE_URLS of them, or for as many as its rules have ends."""
     names = [c for c in pages.columns if c == url or c not in ("host", "path", "rule", "verdict")]
     rows = textkit.numbered(pages.select(*names))
     given = F.col(f"in{names.index(url)}")
     parsed = rows.withColumns({"host": host_of(given), "path": path_of(given)})
 
     # What a rule says depends on host and path alone, so each such pair is judged once.
-    asked = parsed.filter("host <> ''").groupBy("host", "path").agg(F.count("*").alias("rows"))
+    asked = settle(parsed.filter("host <> ''").groupBy("host", "path").agg(F.count("*").alias("rows")), "asked")
     labels = F.reverse(F.split("host", r"\."))
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.concat_ws(".", F.slice(labels, 1, k)))
     keys = asked.withColumn("host_key", F.explode(parents))
-    keys = keys.join(rules.select("host_key").distinct(), "host_key", "left_semi")
-    points = keys.select("host_key", F.pmod(F.xxhash64("host", "path"), F.lit(slices)).alias("slice"), F.encode("path", "utf-8").alias("place"), F.lit(1).alias("kind"), "host", "path", "rows", F.lit(None).cast(_STACK).alias("stack"))
-    events = stacks(rules).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<bigint>")))
+    ends = stacks(rules)
+    traffic = keys.groupBy("host_key").agg(F.count("*").alias("urls")).join(ends.groupBy("host_key").agg(F.count("*").alias("ends")), "host_key")
+    parts = settle(traffic.select("host_key", "urls", (F.lit(slices) if slices else F.ceil(F.col("urls") / F.greatest(F.lit(SLICE_URLS), "ends"))).cast("int").alias("parts")), "traffic")
+    met = textkit.meet(keys, parts, "host_key", "urls", parts.agg(F.sum("urls")).first()[0] or 0)
+    points = met.select("host_key", F.pmod(F.xxhash64("host", "path"), "parts").cast("int").alias("slice"), F.encode("path", "utf-8").alias("place"), F.lit(1).alias("kind"), "host", "path", "rows", F.lit(None).cast(_STACK).alias("stack"))
+    events = ends.join(parts, "host_key").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     events = events.select("host_key", "slice", "place", "kind", F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("long").alias("rows"), F.col("stack").cast(_STACK).alias("stack"))
 
     sweep = Window.partitionBy("host_key", "slice").orderBy("place", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
