@@ -40,14 +40,14 @@ PATTERNS = (
 GENERIC = "secret.scan.generic"
 
 
-def scan(files: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS, allow_values: tuple[str, ...] = (), allow_regexes: tuple[str, ...] = (), ignore: tuple[str, ...] = (), allow_paths: tuple[str, ...] = (), severity: str = "low") -> DataFrame:
-    """(path, content) files -> findings: id, rule_id, severity, confidence, path, line, side, snippet, entropy.
+def scan(files: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS, allow_values: tuple[str, ...] = (), allow_regexes: tuple[str, ...] = (), ignore: tuple[str, ...] = (), allow_paths: tuple[str, ...] = (), severity: str = "low", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(path, content) files -> findings: id, rule_id, severity, confidence, path, line, side, snippet, entropy, and the files' columns to keep.
 
     A narrow pass: lines explode, one filter drops those that hold nothing which a
     pattern needs, and on the rest each such pattern takes its value once."""
     skipped = (*ignore, *allow_paths)
     files = files.filter(~T.any_glob(F.col("path"), skipped)) if skipped else files
-    lines = file_lines(files.filter(F.instr("content", "\0") == 0), as_review=False).filter(F.octet_length("text") <= MAX_LINE_BYTES)
+    lines = file_lines(files.filter(F.instr("content", "\0") == 0), as_review=False, keep=keep).filter(F.octet_length("text") <= MAX_LINE_BYTES)
     some = lambda tests: reduce(lambda a, b: a | b, tests, F.lit(False))
     folded = T.folded(F.col("text"))
     hint = lambda p: some([F.contains(folded, F.lit(w)) for w in T.literals(p.regex)]) if T.literals(p.regex) else F.lit(True)
@@ -63,8 +63,8 @@ def scan(files: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS, allow_value
     strong = F.when(~allowed(F.col("text")), F.filter(values, lambda h: ~allowed(h["value"]) & ((h["floor"] == 0) | (T.entropy(h["value"]) >= h["floor"]))))
     # The generic pattern gives way to any other on its line.
     hits = F.transform(F.array(strong), lambda hs: F.filter(hs, lambda h: (h["rule_id"] != GENERIC) | (F.size(hs) == 1)))[0]
-    found = lines.select("path", "line_no", "text", F.explode(hits).alias("h")).select("path", "line_no", "text", "h.*")
+    found = lines.select("path", *keep, "line_no", "text", F.explode(hits).alias("h")).select("path", *keep, "line_no", "text", "h.*")
     first = F.instr("text", F.col("value"))
     snippet = T.trim_space(F.concat(F.substr("text", F.lit(1), first - 1), T.mask_value(F.col("value")), F.substr("text", first + F.length("value"))))
-    shaped = found.select("rule_id", "severity", "confidence", "path", F.col("line_no").alias("line"), F.lit("file").alias("side"), snippet.alias("snippet"), F.round(T.entropy(F.col("value")), 2).alias("entropy"))
+    shaped = found.select("rule_id", "severity", "confidence", "path", F.col("line_no").alias("line"), F.lit("file").alias("side"), snippet.alias("snippet"), F.round(T.entropy(F.col("value")), 2).alias("entropy"), *keep)
     return at_least(shaped.select(T.identity(F.col("rule_id"), F.col("path"), F.col("line"), F.col("snippet")).alias("id"), "*"), severity)

@@ -14,6 +14,7 @@ from vigilspark.operators.rules import Rule
 from vigilspark.plans import catalogue as C
 from vigilspark.plans import queries as Q
 from vigilspark.sources import lines
+from vigilspark.streaming import arrivals
 
 
 def at(items, i: Column) -> Column:
@@ -134,10 +135,10 @@ def anchor_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trust.snapshots_of(guarded_lines(spark, sf_dir), table).select(*C._SHOWN)
 
 
-def versions(spark: SparkSession, sf_dir: str, later: bool) -> DataFrame:
+def versions(spark: SparkSession, sf_dir: str, later: bool, documents: DataFrame | None = None) -> DataFrame:
     """The secret scan's files, with size and time; later every seventh has another text and time, and every eleventh is gone."""
     d = F.col("doc_id")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(d, F.coalesce("text", F.lit("")).alias("text"))
+    docs = (documents or spark.read.parquet(f"{sf_dir}/documents.parquet")).select(d, F.coalesce("text", F.lit("")).alias("text"))
     changed = (d % 7 == 0) & F.lit(later)
     line = F.replace(at(Q.SECRETS, F.when(changed, d + 3).otherwise(d)), F.lit("{n}"), (d % 9000 + 1000).cast("string"))
     files = docs.select(d, F.concat(F.lit("src/"), d.cast("string"), F.lit(".py")).alias("path"), F.concat("text", F.lit("\n"), line).alias("content"), F.when(changed, 2).otherwise(1).cast("long").alias("mod_time"))
@@ -156,7 +157,19 @@ def warm_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(anew, "path", "left").select("id", "rule_id", "path", "line", "snippet", F.coalesce("anew", F.lit(False)).alias("anew"))
 
 
-QUERIES = {"warm_scan": warm_scan, "anchor_windows": anchor_windows, "anchor_review": anchor_review, "diff_errors": diff_errors, "diff_lines": diff_lines, "go_flow_review": go_flow_review, "discover_review": discover_review, "context_review": context_review}
+def stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two listings of a tree as a stream: the findings of the second, and how often each was made."""
+    at, key = f"{sf_dir}/documents.parquet", cache.key_of(["secrets"])
+    documents = spark.readStream.schema(spark.read.parquet(at).schema).parquet(at.removesuffix("t") + "[t]")  # a glob, as the table may be one file
+    listings = versions(spark, sf_dir, False, documents).unionByName(versions(spark, sf_dir, True, documents))
+    run = lambda files: secrets.scan(files, keep=("size", "mod_time"))
+    folder = arrivals.shared_folder(spark)
+    arrivals.advance(listings, folder, key, run)
+    found = arrivals.current(versions(spark, sf_dir, True), folder, key, run)
+    return found.groupBy("id", "rule_id", "path", "line", "snippet", "mod_time").agg(F.count("*").alias("times"))
+
+
+QUERIES = {"warm_scan": warm_scan, "stream_scan": stream_scan, "anchor_windows": anchor_windows, "anchor_review": anchor_review, "diff_errors": diff_errors, "diff_lines": diff_lines, "go_flow_review": go_flow_review, "discover_review": discover_review, "context_review": context_review}
 
 
 class Duck:
@@ -276,3 +289,4 @@ SQL["anchor_review"] = f"""WITH {_GUARDED}, s AS (SELECT *, regexp_replace(lower
 f AS (SELECT *, doc_id + 1 AS line FROM s WHERE len(list_filter(need, lambda w: contains(gone, w))) > 0 AND NOT len(list_filter(need, lambda w: contains(CASE WHEN contains(come, lower(anchor)) THEN '' ELSE come END, w))) > 0)
 SELECT (doc_id // 4)::VARCHAR AS diff_id, left(sha256(rule_id || '|' || path || '|' || line || '|added|' || anchor), 16) AS id, rule_id, severity, 'high' AS confidence, path, line, 'added' AS side, 'snapshot anchor: ' || anchor AS snippet FROM f"""
 SQL["warm_scan"] = Q._SCAN.replace(Q._FILES, f"""f AS (SELECT doc_id, 'src/' || doc_id || '.py' AS path, coalesce(text, '') || chr(10) || replace(({Q._SECRETS})[(CASE WHEN doc_id % 7 = 0 THEN doc_id + 3 ELSE doc_id END) % {len(Q.SECRETS)} + 1], '{{n}}', (doc_id % 9000 + 1000)::VARCHAR) AS content FROM documents WHERE doc_id % 11 <> 0)""") + " SELECT id, rule_id, path, line, snippet, replace(replace(path, 'src/', ''), '.py', '')::BIGINT % 7 = 0 AS anew FROM found"
+SQL["stream_scan"] = SQL["warm_scan"].replace("replace(replace(path, 'src/', ''), '.py', '')::BIGINT % 7 = 0 AS anew", "CASE WHEN replace(replace(path, 'src/', ''), '.py', '')::BIGINT % 7 = 0 THEN 2 ELSE 1 END::BIGINT AS mod_time, 1::BIGINT AS times")

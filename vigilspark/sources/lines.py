@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,11 +87,11 @@ def diff_errors(diffs: DataFrame) -> DataFrame:
     return fatal.unionByName(short.select("diff_id", (F.col("line_ix") + 1).alias("line_no"), F.lit("line count").alias("error"), "value", F.lit(False).alias("fatal")))
 
 
-def file_lines(files: DataFrame, as_review: bool = True) -> DataFrame:
-    """(path, content) files as path, line_no, text.  For a review, CRLF is LF and one empty last line is dropped; a secret scan splits as it is."""
+def file_lines(files: DataFrame, as_review: bool = True, keep: Sequence[str] = ()) -> DataFrame:
+    """(path, content) files as path, line_no, text, and the columns to keep.  For a review, CRLF is LF and one empty last line is dropped; a secret scan splits as it is."""
     content = F.regexp_replace("content", "\r\n", "\n") if as_review else F.col("content")
     content = F.regexp_replace(content, "\n\\z", "") if as_review else content
-    return files.select("path", F.posexplode(F.split(content, "\n")).alias("line_ix", "text")).select("path", (F.col("line_ix") + 1).alias("line_no"), "text")
+    return files.select("path", *keep, F.posexplode(F.split(content, "\n")).alias("line_ix", "text")).select("path", *keep, (F.col("line_ix") + 1).alias("line_no"), "text")
 
 
 def files_as_diff(files: DataFrame) -> DataFrame:
