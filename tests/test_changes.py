@@ -168,3 +168,20 @@ def test_caches_from_run_to_run(spark, tmp_path):
         part.write_bytes(b"broken")
         (part.parent / f".{part.name}.crc").unlink()
     assert next_run(first) == [("a", "x"), ("b", "y")] and read == ["a", "b", "c"]
+
+
+def test_diffs_are_read_where_their_rows_are(spark):
+    """No task gathers the lines of many diffs: a diff's row is exchanged for nothing, and many hunks keep their numbers."""
+    files = "".join(f"diff --git a/f{i} b/f{i}\n@@ -{i + 1},2 +{2 * i + 1},2 @@\n a{i}\n-b\n+c\n@@ -90 +90 @@\n+++ b/g{i}\n+d\n" for i in range(300))
+    rows = spark.createDataFrame([("1", "@@ -1 +1 @@\n+early\n" + files), ("2", None), ("3", "")], "diff_id string, raw string")
+    read = lines.diff_lines(rows)
+    assert "Exchange" not in read._jdf.queryExecution().executedPlan().toString()
+    got = [(r.file_ix, r.hunk_ix, r.line_ix, r.path, r.kind, r.text, r.old_no, r.new_no) for r in read.orderBy("line_ix").collect()]
+    want = []
+    for i in range(300):
+        at = 2 + 8 * i
+        want += [(i, 2 * i + 1, at + 2, f"g{i}", "context", f"a{i}", i + 1, 2 * i + 1), (i, 2 * i + 1, at + 3, f"g{i}", "deleted", "b", i + 2, None), (i, 2 * i + 1, at + 4, f"g{i}", "added", "c", None, 2 * i + 2), (i, 2 * i + 2, at + 7, f"g{i}", "added", "d", None, 90)]
+    assert got == want
+    # A line count is told of each hunk that lacks its lines; only what is wrong is exchanged.
+    told = lines.diff_errors(rows).collect()
+    assert sorted((r.line_no, r.error, r.value, r.fatal) for r in told) == sorted((2 + 8 * i + 6, "line count", "-90 +90", False) for i in range(300))
