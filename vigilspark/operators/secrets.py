@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilspark.functions import text as T
@@ -49,17 +49,17 @@ def scan(files: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS, allow_value
     files = files.filter(~T.any_glob(F.col("path"), skipped)) if skipped else files
     lines = file_lines(files.filter(F.instr("content", "\0") == 0), as_review=False, keep=keep).filter(F.octet_length("text") <= MAX_LINE_BYTES)
     some = lambda tests: reduce(lambda a, b: a | b, tests, F.lit(False))
-    folded = T.folded(F.col("text"))
-    hint = lambda p: some([F.contains(folded, F.lit(w)) for w in T.literals(p.regex)]) if T.literals(p.regex) else F.lit(True)
-    lines = lines.filter(some([hint(p) for p in patterns]))
+    hint = lambda p, folded: T.may_fit(folded, p.regex)
+    # Bound by a lambda: a filter on a column is pushed below it and folds the line once for each literal.
+    lines = lines.filter(F.exists(F.array(T.folded(F.col("text"))), lambda folded: T.may_fit(folded, *[p.regex for p in patterns])))
     allowed = lambda c: some([*[F.contains(c, F.lit(v)) for v in allow_values if v], *[c.rlike(T.re2(r)) for r in allow_regexes]])
 
-    def taken(p: Pattern):
-        fits = hint(p) & F.col("path").rlike(T.re2(p.path)) if p.path else hint(p)
+    def taken(p: Pattern, folded: Column) -> Column:
+        fits = hint(p, folded) & F.col("path").rlike(T.re2(p.path)) if p.path else hint(p, folded)
         value = F.regexp_extract("text", T.re2(p.regex), p.group)
         return F.when(fits, F.struct(F.lit(p.id).alias("rule_id"), F.lit(p.severity).alias("severity"), F.lit(p.confidence).alias("confidence"), value.alias("value"), F.lit(p.entropy).alias("floor")))
 
-    values = F.filter(F.array(*[taken(p) for p in patterns]), lambda h: h.isNotNull() & (h["value"] != ""))
+    values = F.filter(T.let(T.folded(F.col("text")), lambda folded: F.array(*[taken(p, folded) for p in patterns])), lambda h: h.isNotNull() & (h["value"] != ""))
     strong = F.when(~allowed(F.col("text")), F.filter(values, lambda h: ~allowed(h["value"]) & ((h["floor"] == 0) | (T.entropy(h["value"]) >= h["floor"]))))
     # The generic pattern gives way to any other on its line.
     hits = F.transform(F.array(strong), lambda hs: F.filter(hs, lambda h: (h["rule_id"] != GENERIC) | (F.size(hs) == 1)))[0]
