@@ -3,8 +3,8 @@
 Terms are counted within a task, a bounded table at a time, and added up by one
 aggregation over (lang, source, term).  Each kept term of a language is then one
 row with an array of its counts, indexed by the language's sources.  Higher-order
-functions turn the counts into scaled probabilities and these into the
-contributions of the pairs of sources, which are added up before any exchange.
+functions turn the counts into scaled probabilities, and these give the
+contributions of the pairs of sources, each a row, which are added up before any exchange.
 Terms with equal arrays contribute alike, so they are one row with a multiplicity.
 
 All arithmetic is on whole numbers: a probability is 1 + floor(SCALE * (n + 1) /
@@ -111,8 +111,9 @@ def audit(docs: DataFrame, min_docs: int = 3, top: int = 200, text: str = "text"
     # v is at least the number of a language's arrays: fewer than 256 languages have more than a 256th of all terms.
     dealt = textkit.meet(alike, facts.select("lang", "sizes", "v"), "lang", "v", n_terms).select("lang", "times", _probabilities().alias("p"))
     first = dealt.select("lang", "times", "p", F.posexplode("p").alias("a", "own"))
-    given = first.select("lang", "a", F.posexplode(F.transform("p", lambda q: divergence(F.col("own"), q) * F.col("times"))).alias("b", "value"))
-    added = given.filter("a <> b").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
+    # Pairs are rows before they are rated, so that this runs as compiled code; equal probabilities give 0, which the join below puts in.
+    met = first.select("lang", "times", "a", "own", F.posexplode("p").alias("b", "other")).filter("a <> b and own <> other")
+    added = met.groupBy("lang", "a", "b").agg(F.sum(divergence(F.col("own"), F.col("other")) * F.col("times")).alias("value"))
     one = facts.select("lang", "sources", F.posexplode("sources").alias("a", "source"))
     both = one.select("lang", "a", "source", F.posexplode("sources").alias("b", "item")).filter("a <> b")
     valued = both.join(added, ["lang", "a", "b"], "left").select("lang", "source", "item", F.coalesce("value", F.lit(0).cast("long")).alias("value"))
