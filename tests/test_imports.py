@@ -3,7 +3,8 @@
 import random
 import re
 
-from vigilspark.operators import imports
+from vigilspark.operators import context, imports
+from vigilspark.sources import lines
 
 
 def tree(spark, files):
@@ -75,3 +76,13 @@ def test_discovery_reads_texts_once(spark):
     assert [(r.path, r["from"], r.depth) for r in sorted(rows.collect(), key=lambda r: r.place)] == [("b.ts", "a.ts", 1), ("c.ts", "a.ts", 1), ("d.ts", "c.ts", 2)]
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "content" not in plan and "regexp_extract_all" not in plan
+
+
+def test_context_is_found_once(spark):
+    """The lines of a change's context come from a table of what was found: the search isn't run again for each reader."""
+    files = tree(spark, {"a.ts": "import x from './b'\nimport y from './a'", "b.ts": "one\ntwo", "c.ts": "unread"})
+    change = spark.createDataFrame([("1", "diff --git a/a.ts b/a.ts\n+++ b/a.ts\n@@ -1 +1 @@\n+x\n")], "diff_id string, raw string")
+    out = context.with_context(lines.diff_lines(change), files)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains" not in plan and plan.count("LeftSemi") == 1
+    assert [(r.path, r.line_ix, r.text) for r in out.filter("context").orderBy("line_ix").collect()] == [("b.ts", 0, "one"), ("b.ts", 1, "two")]
